@@ -48,7 +48,8 @@ def exact_duplicates(
         .withColumn("_row", F.monotonically_increasing_id())
     )
     rank = F.struct((-F.col("_cp")).alias("a"), F.col("_id").isNull().alias("b"), F.col("_id").alias("c"), F.col("_row").alias("d"))
-    groups = again.groupBy("_sha").agg(F.min(rank).alias("_best"), F.count("*").alias("_n"))
+    # written before the join, so that the join has an exchange of its own on both sides, which AQE can split
+    groups = materialize(again.groupBy("_sha").agg(F.min(rank).alias("_best"), F.count("*").alias("_n")))
     carried = [f"_c_{n}" for n in carry or {}]
     grouped = again.join(groups, "_sha").select(
         "_id", F.col("_best.c").alias("keep_id"), F.col("_n").alias("group_size"),

@@ -9,6 +9,7 @@ from .common import strip_white_space, text_or_empty
 from .exact_dedup import exact_duplicates
 from .kd_shards import kd_shards
 from .mixing import mix_sources
+from .ngram_join import jaccard_components
 from .packing import pack
 
 
@@ -26,6 +27,10 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,6 +48,7 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_ngram_join": op2_ngram_join,
     "op5_source_mix": op5_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_length_packing": op10_length_packing,
