@@ -35,7 +35,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/aerolith-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option, "false")
+    spark.conf.set(option, "true")  # the shuffle files of this write are not needed once it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(option, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._aerolith_path = path

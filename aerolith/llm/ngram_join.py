@@ -24,8 +24,9 @@ from .textkernel import U, mix, shingle_sets, slices
 
 #: Cells of the frequency sketch (counts of all shingles of all documents) and its blocks; a fixed size.
 CELL_BITS, SKETCH_BLOCKS = 18, 16
-#: Coordinates of a point, and members of a block that one task compares with as many others.
-GROUPS, TILE, FANOUT = 64, 2048, 16
+#: Coordinates of a point (counts to 254; 255 stands for more), members of a block that one task compares
+#: with as many others, children of a tree node, and rounds in which a block's members meet one pivot.
+GROUPS, TILE, FANOUT, ROUNDS = 256, 2048, 16, 3
 
 
 def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -101,7 +102,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             sets, points = [], []
             for s in shingle_sets(part.column("text"), words):
                 sets.append(s.tobytes())
-                points.append(np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                points.append(np.minimum(np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes())
             yield pa.record_batch([part.column("cls"), pa.array(sets, pa.binary()), pa.array(points, pa.binary())], names=["cls", "set", "point"])
 
 
@@ -116,6 +117,12 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _may_link(p: np.ndarray, q: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Whether summed coordinate minima reach the overlap that sets of ``both`` shingles together need."""
+    least = np.minimum(p, q)
+    return ((100 + percent) * least.sum(axis=1, dtype=np.int64) >= percent * both) | (least == 255).any(axis=1)
+
+
 class CountTree:
     """A bulk-loaded R-tree over count vectors: members sorted by size, leaves of ``FANOUT``, boxes of minima and maxima."""
 
@@ -149,8 +156,7 @@ class CountTree:
             fine = np.zeros(len(i), dtype=bool)
             for c in range(0, len(i), 1 << 14):
                 x, y = i[c : c + (1 << 14)], j[c : c + (1 << 14)]
-                overlap = np.minimum(p[x], q[y]).sum(axis=1, dtype=np.int64)
-                fine[c : c + (1 << 14)] = (100 + percent) * overlap >= percent * (s[x] + t[y])
+                fine[c : c + (1 << 14)] = _may_link(p[x], q[y], s[x] + t[y], percent)
             i, j = i[fine], j[fine]
             if not depth:
                 return self.order[i], other.order[j]
@@ -173,7 +179,7 @@ def _block_pairs(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray,
     if len(left) * len(right) <= 64:
         i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
     else:
-        points = np.stack([np.frombuffer(x, dtype=np.uint32) for x in rows["point"]]).astype(np.int64)
+        points = np.stack([np.frombuffer(x, dtype=np.uint8) for x in rows["point"]])
         x, y = CountTree(points[left], n[left]), CountTree(points[right], n[right])
         i, j = x.matches(y, percent)
         i, j = left[i], right[j]
@@ -184,8 +190,8 @@ def _block_pairs(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray,
     ok &= (comp[i] != comp[j]) & ((100 + percent) * most >= percent * both)
     i, j = i[ok], j[ok]
     if len(left) * len(right) <= 64 and len(i):
-        p = np.stack([np.frombuffer(rows["point"][k], dtype=np.uint32) for k in range(len(n))]).astype(np.int64)
-        fine = (100 + percent) * np.minimum(p[i], p[j]).sum(axis=1) >= percent * (n[i] + n[j])
+        p = np.stack([np.frombuffer(x, dtype=np.uint8) for x in rows["point"]])
+        fine = _may_link(p[i], p[j], n[i] + n[j], percent)
         i, j = i[fine], j[fine]
     return np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
 
@@ -245,7 +251,8 @@ def jaccard_components(
 
     1. A scan gives every row its set size and class, and a sketch of all shingles' counts.
     2. Every class sends its rarest 1 - percent/100 shingles (and one more) to blocks; blocks of one class end.
-    3. Every member of a block is verified against the block's smallest class: linear in the rows.
+    3. In ``ROUNDS`` rounds every member of a block is verified against a pivot, by another hash order each
+       round: linear in the rows. Blocks whose members are all in one component end.
     4. Blocks whose members are still in several components are searched whole: tiles of bounded size, a
        count-vector tree on each side, positions and points as bounds; surviving pairs are verified.
     5. Components over the links, in shared scratch tables.
@@ -275,34 +282,45 @@ def jaccard_components(
     members = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     sent = texts.where("text is not null").select("text").mapInArrow(lambda it: _prefix_rows(it, words, percent, rank.value), "key long, cls long, n int, pos int")
     by_key = Window.partitionBy("key")
-    me = F.struct("cls", "n", "pos")
-    blocks = materialize(
-        sent.withColumn("pivot", F.min(me).over(by_key)).withColumn("_last", F.max("cls").over(by_key))
-        .where(F.col("pivot.cls") < F.col("_last")).drop("_last").distinct()
+    met = (
+        sent.withColumn("_lo", F.min("cls").over(by_key)).withColumn("_hi", F.max("cls").over(by_key))
+        .where("_lo < _hi").select("key", "cls", "n", "pos").distinct()
     )
-    met = blocks.select("cls").distinct()
-    chosen = rows.where("cls is not null and doc_id is not null").join(met, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    blocks = materialize(met.withColumn("comp", F.col("cls")))
+    chosen = rows.where("cls is not null and doc_id is not null").join(blocks.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     sets = materialize(_chosen_texts(texts, materialize(chosen)).mapInArrow(lambda it: _sets(it, words), "cls long, set binary, point binary"))
 
-    near = (100 + percent) * (F.least("pos", "pivot.pos") + F.least(F.col("n") - F.col("pos"), F.col("pivot.n") - F.col("pivot.pos"))) >= percent * (F.col("n") + F.col("pivot.n"))
-    sizes = (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n"))
-    stars = blocks.where((F.col("cls") > F.col("pivot.cls")) & near & sizes).select(F.col("pivot.cls").alias("a"), F.col("cls").alias("b")).distinct()
-    links = materialize(_links(stars, sets, percent))
-    joined = materialize(connected_components(links))
-
-    comps = blocks.drop("pivot").join(joined, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-    split = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    open_rows = comps.join(split.select("key", "members"), "key").join(sets.select("cls", "point"), "cls")
+    links, comps = None, None
+    for turn in range(ROUNDS):
+        pivot = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp", "n", "pos")).over(by_key)
+        near = (100 + percent) * (F.least("pos", "pivot.pos") + F.least(F.col("n") - F.col("pos"), F.col("pivot.n") - F.col("pivot.pos"))) >= percent * (F.col("n") + F.col("pivot.n"))
+        sizes = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+        stars = (
+            blocks.withColumn("pivot", pivot).where((F.col("comp") != F.col("pivot.comp")) & near & sizes)
+            .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")).distinct()
+        )
+        found = materialize(_links(stars, sets, percent))
+        links = found if links is None else links.unionByName(found)
+        comps = materialize(connected_components(links))
+        now = blocks.drop("comp").join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
+        still = materialize(
+            now.withColumn("_lo", F.min("comp").over(by_key)).withColumn("_hi", F.max("comp").over(by_key))
+            .where("_lo < _hi").drop("_lo", "_hi")
+        )
+        release(blocks)
+        blocks = still
+
+    members_of = blocks.groupBy("key").agg(F.count("*").alias("members"))
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    mine = F.pmod(F.hash("cls"), F.col("tiles"))
     tiled = (
-        open_rows.withColumn("tiles", tiles).withColumn("mine", mine)
+        blocks.join(members_of, "key").join(sets.select("cls", "point"), "cls")
+        .withColumn("tiles", tiles).withColumn("mine", F.pmod(F.hash("cls"), F.col("tiles")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("key", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"),
                 F.signum(F.col("mine") - F.col("other")).cast("int").alias("side"), "cls", "comp", "n", "pos", "point")
         .repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
     )
-    pairs = tiled.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct()
+    pairs = materialize(tiled.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct())
     more = materialize(_links(pairs, sets, percent))
     comps = connected_components(links.unionByName(more))
     whole = members.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
