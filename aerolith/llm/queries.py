@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import strip_white_space, text_or_empty
 from .exact_dedup import exact_duplicates
+from .fingerprints import fingerprint_pairs
 from .kd_shards import kd_shards
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .packing import pack
+from .quality import quality_scores
+from .tokens import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,22 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+    out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~fold("doc_id"))
+    return out.select("doc_id", F.coalesce(fold("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -49,6 +68,9 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_ngram_join": op2_ngram_join,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_fingerprints": op4_fingerprints,
+    "op6_token_counts": op6_token_counts,
     "op5_source_mix": op5_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_length_packing": op10_length_packing,
