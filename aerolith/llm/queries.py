@@ -12,6 +12,7 @@ from .kd_shards import kd_shards
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .packing import pack
+from .pii import find_personal_data
 from .quality import quality_scores
 from .tokens import token_counts
 
@@ -50,6 +51,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
     "op6_token_counts": op6_token_counts,
+    "op7_personal_data": op7_personal_data,
     "op5_source_mix": op5_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_length_packing": op10_length_packing,

@@ -116,6 +116,6 @@ def shingle_sets(texts: pa.Array, size: int = 5, lower: bool = True) -> Iterator
                 s = s[np.concatenate([[True], s[1:] != s[:-1]])]
             yield s
         elif b > a:
-            yield mix((h[a:b] * _PLACE[: b - a]).sum(dtype=U, keepdims=True) + U(b - a) * U(0xA24BAED4963EE407))
+            yield mix((h[a:b] * _PLACE[: b - a]).sum(dtype=U, keepdims=True) + U((b - a) * 0xA24BAED4963EE407 % (1 << 64)))
         else:
             yield h[:0]
