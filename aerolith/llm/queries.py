@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import strip_white_space, text_or_empty
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprint_pairs
+from .html_extract import extract_main_text
 from .kd_shards import kd_shards
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
@@ -55,6 +56,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -77,6 +82,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op6_token_counts": op6_token_counts,
     "op7_personal_data": op7_personal_data,
+    "op9_main_text": op9_main_text,
     "op5_source_mix": op5_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_length_packing": op10_length_packing,
