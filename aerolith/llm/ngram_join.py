@@ -40,7 +40,7 @@ def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             n, cls, seen = [], [], []
             for s in shingle_sets(part.column("text"), words):
                 n.append(len(s))
-                cls.append(int(mix(s ^ U(len(s))).sum(dtype=U).view(np.int64)) if len(s) else None)
+                cls.append(_class_of(s))
                 seen.append(s)
             cells = (np.concatenate(seen) >> U(64 - CELL_BITS)).astype(np.int64)
             counts += np.bincount(cells, minlength=1 << CELL_BITS).astype(np.uint32)
@@ -77,7 +77,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, ra
             for s in shingle_sets(part.column("text"), words):
                 if not len(s):
                     continue
-                c = int(mix(s ^ U(len(s))).sum(dtype=U).view(np.int64))
+                c = _class_of(s)
                 if c in met:
                     continue
                 met.add(c)
@@ -95,15 +95,25 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, ra
                 ], names=["key", "cls", "n", "pos"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the chosen classes, with their points: counts of shingles by group."""
+def _class_of(s: np.ndarray) -> int | None:
+    """A set's class: a hash of its shingles and their number; none for the empty set."""
+    return int(mix(s ^ U(len(s))).sum(dtype=U).view(np.int64)) if len(s) else None
+
+
+def _chosen_sets(batches: Iterator[pa.RecordBatch], words: int, points: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows (cls, text) the whole sets, or their points: counts of shingles by group.
+
+    A row whose text is of another class (its id was repeated) gives nothing.
+    """
     for batch in batches:
         for part in slices(batch, "text"):
-            sets, points = [], []
-            for s in shingle_sets(part.column("text"), words):
-                sets.append(s.tobytes())
-                points.append(np.minimum(np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes())
-            yield pa.record_batch([part.column("cls"), pa.array(sets, pa.binary()), pa.array(points, pa.binary())], names=["cls", "set", "point"])
+            cls, out = [], []
+            for c, s in zip(part.column("cls").to_pylist(), shingle_sets(part.column("text"), words)):
+                if c == _class_of(s):
+                    cls.append(c)
+                    counts = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS) if points else None
+                    out.append(np.minimum(counts, 255).astype(np.uint8).tobytes() if points else s.tobytes())
+            yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "point" if points else "set"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -230,15 +240,23 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield from compared(rest)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verify pairs (a, b) of classes; one key may have many pairs, so AQE is left to split the joins."""
-    s = sets.select("cls", "set")
+def _links(pairs: DataFrame, texts: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verify pairs (a, b) of classes on whole sets, which are made for the classes of these pairs only.
+
+    A class may have many pairs, so both joins keep an exchange on each side, which AQE can split.
+    """
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    chosen = materialize(ids.join(wanted, "cls", "left_semi"))
+    sets = materialize(_chosen_texts(texts, chosen).mapInArrow(lambda it: _chosen_sets(it, words, False), "cls long, set binary"))
     full = (
-        pairs.join(s.withColumnsRenamed({"cls": "a", "set": "set_a"}), "a")
-        .join(s.withColumnsRenamed({"cls": "b", "set": "set_b"}), "b")
+        pairs.join(sets.withColumnsRenamed({"cls": "a", "set": "set_a"}), "a")
+        .join(sets.withColumnsRenamed({"cls": "b", "set": "set_b"}), "b")
         .select("a", "b", "set_a", "set_b")
     )
-    return full.mapInArrow(lambda it: _verified(it, percent), "a long, b long")
+    out = materialize(full.mapInArrow(lambda it: _verified(it, percent), "a long, b long"))
+    release(pairs, chosen, sets)
+    return out
 
 
 def jaccard_components(
@@ -260,8 +278,8 @@ def jaccard_components(
     No link between different components is lost: step 4 sees every pair of classes that share a block and
     are apart, in tiles, with no cap. Sets are compared by 64-bit shingle hashes.
     Null and empty texts have no set and are their own component; rows with fewer than ``words`` words have
-    one shingle; repeated rows share class and component; a null id gets the smallest id of its class, or
-    null if there is none; an empty table gives no rows.
+    one shingle; repeated rows share class and component; a row without an id gets its component's smallest
+    id, but a class in which no row has an id is linked with nothing (null); an empty table gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -287,8 +305,8 @@ def jaccard_components(
         .where("_lo < _hi").select("key", "cls", "n", "pos").distinct()
     )
     blocks = materialize(met.withColumn("comp", F.col("cls")))
-    chosen = rows.where("cls is not null and doc_id is not null").join(blocks.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(_chosen_texts(texts, materialize(chosen)).mapInArrow(lambda it: _sets(it, words), "cls long, set binary, point binary"))
+    ids = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    ids = materialize(ids.join(blocks.select("cls").distinct(), "cls", "left_semi"))
 
     links, comps = None, None
     for turn in range(ROUNDS):
@@ -299,7 +317,7 @@ def jaccard_components(
             blocks.withColumn("pivot", pivot).where((F.col("comp") != F.col("pivot.comp")) & near & sizes)
             .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")).distinct()
         )
-        found = materialize(_links(stars, sets, percent))
+        found = _links(stars, texts, ids, words, percent)
         links = found if links is None else links.unionByName(found)
         comps = materialize(connected_components(links))
         now = blocks.drop("comp").join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
@@ -311,22 +329,23 @@ def jaccard_components(
         blocks = still
 
     members_of = blocks.groupBy("key").agg(F.count("*").alias("members"))
+    apart = materialize(ids.join(blocks.select("cls").distinct(), "cls", "left_semi"))
+    points = materialize(_chosen_texts(texts, apart).mapInArrow(lambda it: _chosen_sets(it, words, True), "cls long, point binary"))
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     tiled = (
-        blocks.join(members_of, "key").join(sets.select("cls", "point"), "cls")
+        blocks.join(members_of, "key").join(points, "cls")
         .withColumn("tiles", tiles).withColumn("mine", F.pmod(F.hash("cls"), F.col("tiles")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("key", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"),
                 F.signum(F.col("mine") - F.col("other")).cast("int").alias("side"), "cls", "comp", "n", "pos", "point")
         .repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
     )
-    pairs = materialize(tiled.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct())
-    more = materialize(_links(pairs, sets, percent))
+    more = _links(tiled.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct(), texts, ids, words, percent)
     comps = connected_components(links.unionByName(more))
     whole = members.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
     lows = whole.groupBy("comp").agg(F.min("low").alias("component_low"))
     named = materialize(whole.select("cls", "comp").join(lows, "comp"))
-    release(blocks, sets)
+    release(blocks, points, ids, apart)
     return (
         rows.join(named, "cls", "left")
         .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
