@@ -106,28 +106,34 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
     return QualityModel(table, weights, intercept)
 
 
+def score_texts(texts: pa.Array, lean: np.ndarray, bias: float, known: bool) -> np.ndarray:
+    """Probability of label 1 for each text: the softmax of two classes on the mean of its features' leans."""
+    rows = len(texts)
+    total, count = np.zeros(rows), np.zeros(rows)
+    for idx, off, inside in _features(texts) if known else []:
+        w = lean[idx]
+        if inside is not None:
+            w[~inside] = 0
+        some = np.flatnonzero(off[1:] > off[:-1])
+        if len(some):
+            total[some] += np.add.reduceat(w, off[:-1][some], dtype=np.float64)
+            count[some] += off[1:][some] - off[:-1][some] if inside is None else np.add.reduceat(inside, off[:-1][some], dtype=np.int64)
+    z = np.where(count > 0, total / np.maximum(count, 1), 0.0) + bias
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def _scores(batches: Iterator[pa.RecordBatch], lean: np.ndarray, bias: float, known: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = part.num_rows
-            total, count = np.zeros(rows), np.zeros(rows)
-            for idx, off, inside in _features(part.column("text")) if known else []:
-                w = lean[idx]
-                if inside is not None:
-                    w[~inside] = 0
-                some = np.flatnonzero(off[1:] > off[:-1])
-                if len(some):
-                    total[some] += np.add.reduceat(w, off[:-1][some], dtype=np.float64)
-                n = off[1:] - off[:-1]
-                if inside is not None:
-                    n = np.add.reduceat(inside, off[:-1][some], dtype=np.int64) if len(some) else n[:0]
-                    count[some] += n
-                else:
-                    count += n
-            z = np.where(count > 0, total / np.maximum(count, 1), 0.0) + bias
-            score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             columns = {n: part.column(n) for n in part.schema.names if n != "text"}
-            yield pa.record_batch([*columns.values(), pa.array(score)], names=[*columns, "score"])
+            score = pa.array(score_texts(part.column("text"), lean, bias, known))
+            yield pa.record_batch([*columns.values(), score], names=[*columns, "score"])
+
+
+def _passed(batches: Iterator[pa.RecordBatch], text: str, lean: np.ndarray, bias: float, known: bool, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, text):
+            yield part.filter(pa.array(score_texts(part.column(text), lean, bias, known) >= threshold))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int, learn: Column, seed: int = 5, most_bytes: int = 1 << 18) -> list:
@@ -147,6 +153,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int, lea
     return sorted(((r["doc_id"], r["text"], int(r["quality"])) for r in found))
 
 
+def _learnt(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column | None, rows_per_label: int):
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sample = labelled_sample(named, labels, rows_per_label, F.lit(True) if learn is None else learn)
+    model = train([t for _, t, _ in sample], [q for _, _, q in sample])
+    lean = docs.sparkSession.sparkContext.broadcast(model.lean if model else np.zeros(1, np.float32))
+    return lean, model.bias if model else 0.0, model is not None
+
+
+def keep_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_label: int = 1500, threshold: float = 0.5,
+) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all columns; learns and scores as :func:`quality_scores`."""
+    lean, bias, known = _learnt(docs, labels, id_col, text_col, None, rows_per_label)
+    return docs.mapInArrow(lambda it: _passed(it, text_col, lean.value, bias, known, threshold), docs.schema)
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None,
     rows_per_label: int = 1500, threshold: float = 0.5, keep: list[str] | None = None,
@@ -160,12 +182,7 @@ def quality_scores(
     Null and empty texts get the model's score of no features; without both labels every score is 0.5;
     repeated rows are scored each; an empty table gives no rows; clashing names don't matter, as only named columns are read.
     """
-    spark = docs.sparkSession
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = labelled_sample(named, labels, rows_per_label, F.lit(True) if learn is None else learn)
-    model = train([t for _, t, _ in sample], [q for _, _, q in sample])
-    lean = spark.sparkContext.broadcast(model.lean if model else np.zeros(1, np.float32))
-    bias, known = (model.bias, True) if model else (0.0, False)
+    lean, bias, known = _learnt(docs, labels, id_col, text_col, learn, rows_per_label)
     kept = docs.select(F.col(id_col), *(keep or []), F.col(text_col).alias("text"))
     types = {f.name: f.dataType.simpleString() for f in kept.schema if f.name != "text"}
     schema = ", ".join(f"`{n}` {t}" for n, t in types.items()) + ", score double"
