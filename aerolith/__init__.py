@@ -1,0 +1,25 @@
+"""A PySpark engine for aerial geolocation and for preparing training data."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on every executor, once for each application, whatever their working folders."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="aerolith-")) / "aerolith_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("aerolith") / p.relative_to(root))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)

@@ -1,0 +1,50 @@
+"""Simulated flights and detections, distributed; noise is seeded by row, and absent where amplitudes are 0."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators.localize import in_frame, project_to_image
+from ..schemas import FIELD_CAMERA_FLAT, M_PER_DEG, NED, Camera, Convention
+
+
+def _noise(seed: int, channel: int) -> Column:
+    """A standard normal number from row and seed alone, so reruns and other partitionings agree."""
+    unit = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(channel), F.lit(k)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
+    return F.sqrt(F.lit(-2.0) * F.log(unit(0))) * F.cos(F.lit(2 * math.pi) * unit(1))
+
+
+def simulate_flight(
+    spark: SparkSession, flag_lat: float, flag_lon: float, altitude_m: float = 80.0, heading_deg: float = 0.0, speed_m_s: float = 18.0,
+    pass_duration_s: float = 20.0, fps: float = 30.0, gps_noise_m: float = 3.0, alt_noise_m: float = 1.5, att_noise_deg: float = 1.0,
+    wind_pitch_deg: float = 2.0, seed: int = 42, lon_scale: float = NED.lon_scale,
+) -> DataFrame:
+    """A straight pass with the target at its middle; altitude ripples by half a metre."""
+    t = F.col("id") / F.lit(fps)
+    north, east = geo.straight_line_offset((t - F.lit(pass_duration_s / 2)) * F.lit(speed_m_s), F.lit(heading_deg))
+    n = lambda k, a: _noise(seed, k) * F.lit(a) if a else F.lit(0.0)
+    return spark.range(int(pass_duration_s * fps)).select(
+        F.col("id").alias("frame_idx"), t.alias("time_s"),
+        (F.lit(flag_lat) + (north + n(0, gps_noise_m)) / F.lit(M_PER_DEG)).alias("lat_uav"), (F.lit(flag_lon) + (east + n(1, gps_noise_m)) / F.lit(lon_scale)).alias("lon_uav"),
+        (F.lit(altitude_m) + F.lit(0.5) * F.sin(F.lit(0.3) * t) + n(2, alt_noise_m)).alias("altitude"),
+        n(3, att_noise_deg).alias("roll_deg"), (F.lit(wind_pitch_deg) + n(4, att_noise_deg)).alias("pitch_deg"), (F.lit(heading_deg) + n(5, att_noise_deg)).alias("yaw_deg"),
+        north.alias("_n"), east.alias("_e"),
+    )
+
+
+def simulate_detections(
+    flight: DataFrame, cam: Camera = FIELD_CAMERA_FLAT, how: Convention = NED, bbox_noise_px: float = 3.0, detection_rate: float = 0.8,
+    conf_noise: float = 0.15, seed: int = 42,
+) -> DataFrame:
+    """Pixels of the target in the frames that see it, kept at ``detection_rate``, with jitter and a confidence."""
+    seen = in_frame(project_to_image(flight.withColumns({"_n": -F.col("_n"), "_e": -F.col("_e"), "id": F.col("frame_idx")}), "_n", "_e", cam, how))
+    seen = seen.withColumn("id", F.col("frame_idx"))
+    kept = seen.where(F.pmod(F.xxhash64("id", F.lit(seed), F.lit("kept")), F.lit(1 << 20)) / F.lit(float(1 << 20)) <= F.lit(detection_rate))
+    return kept.withColumns({
+        "u": F.col("u") + _noise(seed, 10) * F.lit(bbox_noise_px), "v": F.col("v") + _noise(seed, 11) * F.lit(bbox_noise_px),
+        "confidence": F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.lit(0.75) + _noise(seed, 12) * F.lit(conf_noise))),
+    }).drop("id")
