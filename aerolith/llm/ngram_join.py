@@ -25,8 +25,9 @@ from .textkernel import U, mix, shingle_sets, slices
 #: Cells of the frequency sketch (counts of all shingles of all documents) and its blocks; a fixed size.
 CELL_BITS, SKETCH_BLOCKS = 18, 16
 #: Coordinates of a point (counts to 254; 255 stands for more), members of a block that one task compares
-#: with as many others, children of a tree node, and rounds in which a block's members meet one pivot.
-GROUPS, TILE, FANOUT, ROUNDS = 256, 2048, 16, 3
+#: with as many others, children of a tree node, rounds in which a block's members meet one pivot, and
+#: rounds in which they meet the most promising member of each other component.
+GROUPS, TILE, FANOUT, STARS, BEST = 256, 2048, 16, 2, 1
 
 
 def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -179,13 +180,17 @@ class CountTree:
             i, j = ci, cj
 
 
-def _block_pairs(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one tile of a block whose bounds allow a link, of two classes not yet connected."""
+def _block_pairs(rows: dict[str, np.ndarray], percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one tile of a block whose bounds allow a link, of two classes not yet connected.
+
+    With ``best``, of the pairs of a class with another component only the one with the largest bound.
+    """
     side = rows["side"]
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
     n, pos, cls, comp = rows["n"], rows["pos"], rows["cls"], rows["comp"]
     if len(left) == 0 or len(right) == 0:
         return cls[:0], cls[:0]
+    points = None
     if len(left) * len(right) <= 64:
         i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
     else:
@@ -193,20 +198,29 @@ def _block_pairs(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray,
         x, y = CountTree(points[left], n[left]), CountTree(points[right], n[right])
         i, j = x.matches(y, percent)
         i, j = left[i], right[j]
-    both = n[i] + n[j]
-    # a shared shingle at these places of the two orders leaves at most this overlap
-    most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+    # if the shared shingle is the pair's first, at most what follows it is shared too; a link shows at its first
+    most = np.minimum(n[i] - pos[i], n[j] - pos[j])
     ok = (cls[i] < cls[j]) if (side == 0).all() else (cls[i] != cls[j])
-    ok &= (comp[i] != comp[j]) & ((100 + percent) * most >= percent * both)
+    ok &= (comp[i] != comp[j]) & ((100 + percent) * most >= percent * (n[i] + n[j]))
     i, j = i[ok], j[ok]
-    if len(left) * len(right) <= 64 and len(i):
-        p = np.stack([np.frombuffer(x, dtype=np.uint8) for x in rows["point"]])
-        fine = _may_link(p[i], p[j], n[i] + n[j], percent)
+    if len(i) and points is None:
+        points = np.stack([np.frombuffer(x, dtype=np.uint8) for x in rows["point"]])
+        fine = _may_link(points[i], points[j], n[i] + n[j], percent)
         i, j = i[fine], j[fine]
+    if best and len(i) > 1:
+        _, of, size = np.unique(comp, return_inverse=True, return_counts=True)
+        swap = size[of[i]] > size[of[j]]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)  # from the smaller component to the larger one
+        bound = np.concatenate([
+            np.minimum(points[i[c : c + (1 << 14)]], points[j[c : c + (1 << 14)]]).sum(axis=1, dtype=np.int64) for c in range(0, len(i), 1 << 14)
+        ]) / (n[i] + n[j])
+        order = np.lexsort((cls[j], -bound, of[j], i))
+        first = np.concatenate([[True], (np.diff(i[order]) != 0) | (np.diff(of[j][order]) != 0)])
+        i, j = i[order][first], j[order][first]
     return np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
     """Stream rows sorted by (key, ti, tj); a tile (at most 2 * TILE rows) is complete when the next one starts."""
     rest: pa.Table | None = None
 
@@ -219,7 +233,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         a, b = [], []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if hi - lo > 1:
-                x, y = _block_pairs({c: v[lo:hi] for c, v in cols.items()} | {"point": points[lo:hi]}, percent)
+                x, y = _block_pairs({c: v[lo:hi] for c, v in cols.items()} | {"point": points[lo:hi]}, percent, best)
                 a.append(x)
                 b.append(y)
         if a:
@@ -269,13 +283,15 @@ def jaccard_components(
 
     1. A scan gives every row its set size and class, and a sketch of all shingles' counts.
     2. Every class sends its rarest 1 - percent/100 shingles (and one more) to blocks; blocks of one class end.
-    3. In ``ROUNDS`` rounds every member of a block is verified against a pivot, by another hash order each
+    3. In ``STARS`` rounds every member of a block is verified against a pivot, by another hash order each
        round: linear in the rows. Blocks whose members are all in one component end.
     4. Blocks whose members are still in several components are searched whole: tiles of bounded size, a
-       count-vector tree on each side, positions and points as bounds; surviving pairs are verified.
+       count-vector tree on each side, positions and points as bounds. In ``BEST`` rounds each class is verified
+       against the most promising member of each other component, which joins what belongs together with few
+       pairs; in the last round all surviving pairs of classes still apart are verified.
     5. Components over the links, in shared scratch tables.
 
-    No link between different components is lost: step 4 sees every pair of classes that share a block and
+    No link between different components is lost: the last round of step 4 sees every pair of classes that share a block and
     are apart, in tiles, with no cap. Sets are compared by 64-bit shingle hashes.
     Null and empty texts have no set and are their own component; rows with fewer than ``words`` words have
     one shingle; repeated rows share class and component; a row without an id gets its component's smallest
@@ -308,40 +324,33 @@ def jaccard_components(
     ids = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     ids = materialize(ids.join(blocks.select("cls").distinct(), "cls", "left_semi"))
 
-    links, comps = None, None
-    for turn in range(ROUNDS):
-        pivot = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp", "n", "pos")).over(by_key)
-        near = (100 + percent) * (F.least("pos", "pivot.pos") + F.least(F.col("n") - F.col("pos"), F.col("pivot.n") - F.col("pivot.pos"))) >= percent * (F.col("n") + F.col("pivot.n"))
-        sizes = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
-        stars = (
-            blocks.withColumn("pivot", pivot).where((F.col("comp") != F.col("pivot.comp")) & near & sizes)
-            .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")).distinct()
-        )
-        found = _links(stars, texts, ids, words, percent)
+    links = None
+    for turn in range(STARS + BEST + 1):
+        if turn < STARS:
+            pivot = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp", "n", "pos")).over(by_key)
+            near = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("pivot.n") - F.col("pivot.pos")) >= percent * (F.col("n") + F.col("pivot.n"))
+            sizes = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+            pairs = (
+                blocks.withColumn("pivot", pivot).where((F.col("comp") != F.col("pivot.comp")) & near & sizes)
+                .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")).distinct()
+            )
+        else:
+            if turn == STARS:
+                apart = materialize(ids.join(blocks.select("cls").distinct(), "cls", "left_semi"))
+                points = materialize(_chosen_texts(texts, apart).mapInArrow(lambda it: _chosen_sets(it, words, True), "cls long, point binary"))
+            pairs = _compared(blocks, points, percent, turn < STARS + BEST)
+        found = _links(pairs, texts, ids, words, percent)
         links = found if links is None else links.unionByName(found)
         comps = materialize(connected_components(links))
+        if turn == STARS + BEST:
+            break
         now = blocks.drop("comp").join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
         still = materialize(
             now.withColumn("_lo", F.min("comp").over(by_key)).withColumn("_hi", F.max("comp").over(by_key))
             .where("_lo < _hi").drop("_lo", "_hi")
         )
-        release(blocks)
+        release(blocks, comps)
         blocks = still
-
-    members_of = blocks.groupBy("key").agg(F.count("*").alias("members"))
-    apart = materialize(ids.join(blocks.select("cls").distinct(), "cls", "left_semi"))
-    points = materialize(_chosen_texts(texts, apart).mapInArrow(lambda it: _chosen_sets(it, words, True), "cls long, point binary"))
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    tiled = (
-        blocks.join(members_of, "key").join(points, "cls")
-        .withColumn("tiles", tiles).withColumn("mine", F.pmod(F.hash("cls"), F.col("tiles")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"),
-                F.signum(F.col("mine") - F.col("other")).cast("int").alias("side"), "cls", "comp", "n", "pos", "point")
-        .repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-    )
-    more = _links(tiled.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct(), texts, ids, words, percent)
-    comps = connected_components(links.unionByName(more))
     whole = members.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
     lows = whole.groupBy("comp").agg(F.min("low").alias("component_low"))
     named = materialize(whole.select("cls", "comp").join(lows, "comp"))
@@ -354,6 +363,20 @@ def jaccard_components(
     )
 
 
+def _compared(blocks: DataFrame, points: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs (a, b) of all blocks, searched in tiles: rows of part i of a block meet part j, for all i <= j."""
+    members = blocks.groupBy("key").agg(F.count("*").alias("members"))
+    tiled = (
+        blocks.join(members, "key").join(points, "cls")
+        .withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("mine", F.pmod(F.hash("cls"), F.col("tiles")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("key", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"),
+                F.signum(F.col("mine") - F.col("other")).cast("int").alias("side"), "cls", "comp", "n", "pos", "point")
+        .repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
+    )
+    return tiled.mapInArrow(lambda it: _tiles(it, percent, best), "a long, b long").distinct()
+
+
 def _chosen_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     """The texts of the chosen rows: by broadcast when the counted ids are few, else by a shuffled join."""
     return texts.join(small_or_not(chosen, 24), "doc_id").select("cls", "text")
