@@ -223,7 +223,7 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def labelled_pages(pages: int = 160, seed: int = 19) -> list[str]:
+def labelled_pages(pages: int = 240, seed: int = 19) -> list[str]:
     """The labelled pages, written by a seeded rule from usual layouts; ``data-y`` marks blocks as content (1) or not (0).
 
     Blocks without a mark take their parent's.
@@ -247,7 +247,9 @@ def labelled_pages(pages: int = 160, seed: int = 19) -> list[str]:
         return f'<div data-y="0" {pick(["class", "class", "id"])}="{name}{pick(["", "-box", "-wrap", " block"])}">{inner}</div>'
 
     def comments() -> str:
-        each = "".join(f'<{t} class="{pick(["comment", "reply", "comment-body"])}"><p>{text(3, 40)}</p></{t}>' for t in [pick(["div", "li", "article"])] * int(rng.integers(1, 5)))
+        t, name = pick(["div", "li", "article"]), pick(["comment", "reply", "comment-body"])
+        form = pick([f'<{t} class="{name}"><p>%s</p></{t}>', f'<{t} class="{name}">%s</{t}>', "<p>%s</p>", "<p>%s"])
+        each = "".join(form % text(2, 40) for _ in range(int(rng.integers(1, 5))))
         tag = pick(["section", "div", "ol"])
         return f'<{tag} data-y="0" {pick(["id", "class"])}="{pick(["comments", "comment-list", "responses", "discussion", "replies"])}">{pick(["", f"<h2>{short()}</h2>"])}{each}</{tag}>'
 
@@ -280,14 +282,14 @@ def labelled_pages(pages: int = 160, seed: int = 19) -> list[str]:
                 out.append(f"<pre>{text(3, 20)}</pre>")
             else:
                 out.append(f"<figure><figcaption>{text(3, 12)}</figcaption></figure>")
-            if some(0.12):
+            if some(0.15):
                 out.append(pick([junk, aside, form])())
         return "".join(out)
 
     made = []
     for _ in range(pages):
         wrap = pick([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="article-body"'), ("div", ' class="entry"'), ("section", ' class="story"'), ("div", ' class="post-text"')])
-        main = f'<{wrap[0]} data-y="1"{wrap[1]}>{body()}{comments() if some(0.15) else ""}</{wrap[0]}>'
+        main = f'<{wrap[0]} data-y="1"{wrap[1]}>{body()}{comments() if some(0.35) else ""}</{wrap[0]}>'
         if some(0.3):
             main = f'<div class="{pick(["container", "wrap", "page", "row"])}" data-y="0">{main}{aside() if some(0.4) else ""}</div>'
         before = [pick([menu(), menu("div").replace("<div", '<div class="menu"', 1), ""])]
@@ -299,7 +301,7 @@ def labelled_pages(pages: int = 160, seed: int = 19) -> list[str]:
     return made
 
 
-def train_tree(pages: list[str], epochs: int = 6, rate: float = 0.25, seed: int = 23) -> TreeModel:
+def train_tree(pages: list[str], epochs: int = 8, rate: float = 0.25, seed: int = 23) -> TreeModel:
     """Likelihood ascent page by page: observed minus expected features, expectations from the model's own messages."""
     model = TreeModel({}, {})
     data = []
