@@ -35,7 +35,7 @@ def test_entry(spark):
 
 def test_filters_reach_the_scan_and_columns_are_pruned(spark, sf):
     plan = QUERIES["agg_median"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<event_id:bigint,event_type:string,user_id:bigint,value:double,props:string>" in plan
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double,props:string>" in plan
 
 
 def test_streaming_window(spark, sf, tmp_path):
