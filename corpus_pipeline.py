@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith import ship
 from aerolith.llm.common import materialize, small_or_not
 from aerolith.llm.exact_dedup import drop_exact_duplicates
 from aerolith.llm.mixing import mix_sources
@@ -15,6 +16,7 @@ from aerolith.llm.quality import keep_quality
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, taught by ``labels``, doesn't reject; columns as they come."""
+    ship(spark)
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -28,6 +30,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Dropped ids leave by an anti join: broadcast when they are few by count, else shuffled.
     """
+    ship(spark)
     groups = jaccard_components(docs)
     dropped = materialize(groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_dropped")))
     return docs.join(small_or_not(dropped, 16), F.col("doc_id") == F.col("_dropped"), "left_anti")
