@@ -23,7 +23,7 @@ from .components import connected_components
 from .textkernel import U, mix, shingle_sets, slices
 
 #: Cells of the frequency sketch (counts of all shingles of all documents) and its blocks; a fixed size.
-CELL_BITS, SKETCH_BLOCKS = 18, 16
+CELL_BITS, SKETCH_BLOCKS = 22, 64
 #: Coordinates of a point (counts to 254; 255 stands for more), members of a block that one task compares
 #: with as many others, children of a tree node, rounds in which a block's members meet one pivot, and
 #: rounds in which they meet the most promising member of each other component.
@@ -44,7 +44,7 @@ def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
                 cls.append(_class_of(s))
                 seen.append(s)
             cells = (np.concatenate(seen) >> U(64 - CELL_BITS)).astype(np.int64)
-            counts += np.bincount(cells, minlength=1 << CELL_BITS).astype(np.uint32)
+            np.add.at(counts, cells, 1)
             k = part.num_rows
             yield pa.record_batch([
                 part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
@@ -310,7 +310,7 @@ def jaccard_components(
     counts = np.zeros((SKETCH_BLOCKS, (1 << CELL_BITS) // SKETCH_BLOCKS), dtype=np.uint64)
     for r in sketch:
         counts[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["sketch"])), dtype=np.uint64)
-    # a fixed 256 KiB: twice the binary logarithm of each cell's count
+    # a fixed 4 MiB: twice the binary logarithm of each cell's count
     rank = spark.sparkContext.broadcast((2 * np.log2(counts.ravel() + 1.0)).astype(np.uint8).tobytes())
 
     members = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
