@@ -36,13 +36,19 @@ def labels_in_memory(x: np.ndarray, y: np.ndarray, order: np.ndarray, eps: float
     return np.where(label == np.iinfo(np.int64).max, -1, label)
 
 
-def _by_group(points: DataFrame, by: str, order: str, eps: float, least: int) -> DataFrame:
+def _by_group(points: DataFrame, by: str, order: str, eps: float, least: int, together: int = 64) -> DataFrame:
+    """About ``together`` groups, by hash, are one call into Python; each is clustered on its own."""
     schema = T.StructType([*points.schema.fields, T.StructField("cluster", T.LongType())])
+    calls = max(1, -(-points.select(by).distinct().count() // together))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(cluster=labels_in_memory(*(pdf[c].to_numpy() for c in ("x_m", "y_m", order)), eps, least))
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = np.empty(len(pdf), dtype=np.int64)
+        x, y, o = (pdf[c].to_numpy() for c in ("x_m", "y_m", order))
+        for rows in pdf.groupby(by, dropna=False, sort=False).indices.values():
+            found[rows] = labels_in_memory(x[rows], y[rows], o[rows], eps, least)
+        return pdf.drop(columns="_call").assign(cluster=found)
 
-    return points.groupBy(by).applyInPandas(one, schema)
+    return points.withColumn("_call", F.pmod(F.hash(by), F.lit(calls))).groupBy("_call").applyInPandas(some, schema)
 
 
 def _by_grid(points: DataFrame, by: str, order: str, eps: float, least: int) -> DataFrame:
@@ -92,9 +98,13 @@ def clustered_position(
 
     Estimates strictly above ``least_confidence`` count, and a group needs ``least_frames`` of them.
     """
-    valid = df.where((F.col("confidence") > F.lit(least_confidence)) & F.col("est_lat").isNotNull() & F.col("est_lon").isNotNull())
+    # six narrow columns, written once: sizes, centres, clusters and means all read them, and geometry runs once
+    valid = written(
+        df.where((F.col("confidence") > F.lit(least_confidence)) & F.col("est_lat").isNotNull() & F.col("est_lon").isNotNull())
+        .select(by, order, "est_lat", "est_lon", "confidence")
+    )
     enough = valid.groupBy(by).agg(F.count("*").alias("n_frames")).where(F.col("n_frames") >= least_frames)
-    labelled = dbscan(valid.join(enough.select(by), by, "left_semi"), by, order, **more)
+    labelled = written(dbscan(valid.join(enough.select(by), by, "left_semi"), by, order, **more).select(by, "cluster", "est_lat", "est_lon", "confidence"))
     sizes = labelled.groupBy(by, "cluster").agg(F.count("*").alias("n_used"), weighted("est_lat").alias("lat"), weighted("est_lon").alias("lon"))
     everyone = labelled.groupBy(by).agg(F.max(F.col("cluster")).alias("_any"), weighted("est_lat").alias("_lat"), weighted("est_lon").alias("_lon"))
     best = sizes.where("cluster >= 0").groupBy(by).agg(F.max_by(F.struct("cluster", "n_used", "lat", "lon"), F.struct("n_used", -F.col("cluster"))).alias("b"))
