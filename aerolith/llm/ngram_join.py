@@ -4,7 +4,8 @@ A count-vector R-tree over a whole corpus prunes nothing once documents have man
 as group counts of unrelated documents then overlap by chance. So rows first meet in blocks that no linked
 pair can miss: the prefix of a document is its rarest shingles, one more than it may lack, and a linked pair
 shares a shingle of both prefixes. Each block's documents are points of group counts in a bulk-loaded tree;
-summed coordinate minima bound the overlap of nodes and of points, and surviving pairs are verified on whole sets.
+summed coordinate minima bound the overlap of nodes and of points. Surviving pairs meet the same bound on far finer
+count vectors, of 2^20 groups and a byte or two a shingle, before the last of them are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CELL_BITS, SKETCH_BLOCKS = 22, 64
 #: with as many others, children of a tree node, rounds in which a block's members meet one pivot, and
 #: rounds in which they meet the most promising member of each other component.
 GROUPS, TILE, FANOUT, STARS, BEST = 256, 2048, 16, 2, 1
+#: Binary logarithm of the groups of a fine count vector (at most 21, for three bytes a difference).
+FINE_BITS = 20
 
 
 def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -101,20 +104,65 @@ def _class_of(s: np.ndarray) -> int | None:
     return int(mix(s ^ U(len(s))).sum(dtype=U).view(np.int64)) if len(s) else None
 
 
-def _chosen_sets(batches: Iterator[pa.RecordBatch], words: int, points: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows (cls, text) the whole sets, or their points: counts of shingles by group.
+def _packed(s: np.ndarray) -> bytes:
+    """A fine count vector: the groups of a sorted set in order, with repeats, as differences of one to three bytes."""
+    d = np.diff((s >> U(64 - FINE_BITS)).astype(np.int64), prepend=0)
+    size = 1 + (d >= 1 << 7) + (d >= 1 << 14)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), dtype=np.uint8)
+    for k in range(3):
+        m = size > k
+        out[at[m] + k] = ((d[m] >> 7 * k) & 127) | np.where(size[m] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    """The groups of a fine count vector, each made distinct by the number of equal ones before it."""
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
+    x = np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, starts))
+    return (x << 32) | (np.arange(len(x)) - np.searchsorted(x, x))
+
+
+def _chosen_points(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (cls, text) the points (counts of shingles by group) and the fine count vectors.
 
     A row whose text is of another class (its id was repeated) gives nothing.
     """
+    for batch in batches:
+        for part in slices(batch, "text"):
+            cls, point, fine = [], [], []
+            for c, s in zip(part.column("cls").to_pylist(), shingle_sets(part.column("text"), words)):
+                if c == _class_of(s):
+                    counts = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                    cls.append(c)
+                    point.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+                    fine.append(_packed(s))
+            yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(point, pa.binary()), pa.array(fine, pa.binary())], names=["cls", "point", "fine"])
+
+
+def _chosen_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (cls, text) the whole sets; a row whose text is of another class gives nothing."""
     for batch in batches:
         for part in slices(batch, "text"):
             cls, out = [], []
             for c, s in zip(part.column("cls").to_pylist(), shingle_sets(part.column("text"), words)):
                 if c == _class_of(s):
                     cls.append(c)
-                    counts = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS) if points else None
-                    out.append(np.minimum(counts, 255).astype(np.uint8).tobytes() if points else s.tobytes())
-            yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "point" if points else "set"])
+                    out.append(s.tobytes())
+            yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "set"])
+
+
+def _may_verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both fine count vectors, those whose summed minima allow a link."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("fine_a"), batch.column("fine_b")):
+            x, y = (_unpacked(np.frombuffer(z.as_buffer(), dtype=np.uint8)) for z in (x, y))
+            most = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append((100 + percent) * most >= percent * (len(x) + len(y)))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -254,25 +302,34 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Itera
         yield from compared(rest)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verify pairs (a, b) of classes on whole sets, which are made for the classes of these pairs only.
+def _links(pairs: DataFrame, points: DataFrame, texts: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verify pairs (a, b) of classes: by fine count vectors first, then on whole sets, made for the classes of what is left only.
 
-    A class may have many pairs, so both joins keep an exchange on each side, which AQE can split.
+    A class may have many pairs, so all joins keep an exchange on each side, which AQE can split.
     """
     pairs = materialize(pairs)
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    chosen = materialize(ids.join(wanted, "cls", "left_semi"))
-    sets = materialize(_chosen_texts(texts, chosen).mapInArrow(lambda it: _chosen_sets(it, words, False), "cls long, set binary"))
-    full = (
-        pairs.join(sets.withColumnsRenamed({"cls": "a", "set": "set_a"}), "a")
-        .join(sets.withColumnsRenamed({"cls": "b", "set": "set_b"}), "b")
-        .select("a", "b", "set_a", "set_b")
-    )
-    out = materialize(full.mapInArrow(lambda it: _verified(it, percent), "a long, b long"))
-    release(pairs, chosen, sets)
+    fine = points.select("cls", "fine").join(small_or_not(_ends(pairs), 16), "cls", "left_semi")
+    left = materialize(_with_both(pairs, fine, "fine").mapInArrow(lambda it: _may_verify(it, percent), "a long, b long"))
+    chosen = materialize(ids.join(small_or_not(_ends(left), 16), "cls", "left_semi"))
+    sets = materialize(_chosen_texts(texts, chosen).mapInArrow(lambda it: _chosen_sets(it, words), "cls long, set binary"))
+    out = materialize(_with_both(left, sets, "set").mapInArrow(lambda it: _verified(it, percent), "a long, b long"))
+    release(pairs, left, chosen, sets)
     return out
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def _with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """Pairs (a, b) with column ``name`` of both classes."""
+    return (
+        pairs.join(of.select(F.col("cls").alias("a"), F.col(name).alias(f"{name}_a")), "a")
+        .join(of.select(F.col("cls").alias("b"), F.col(name).alias(f"{name}_b")), "b")
+        .select("a", "b", f"{name}_a", f"{name}_b")
+    )
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
 ) -> DataFrame:
@@ -291,6 +348,7 @@ def jaccard_components(
        pairs; in the last round all surviving pairs of classes still apart are verified.
     5. Components over the links, in shared scratch tables.
 
+    Every pair under test first meets the bound of fine count vectors, then whole sets (see ``_links``).
     No link between different components is lost: the last round of step 4 sees every pair of classes that share a block and
     are apart, in tiles, with no cap. Sets are compared by 64-bit shingle hashes.
     Null and empty texts have no set and are their own component; rows with fewer than ``words`` words have
@@ -323,6 +381,7 @@ def jaccard_components(
     blocks = materialize(met.withColumn("comp", F.col("cls")))
     ids = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     ids = materialize(ids.join(blocks.select("cls").distinct(), "cls", "left_semi"))
+    points = materialize(_chosen_texts(texts, ids).mapInArrow(lambda it: _chosen_points(it, words), "cls long, point binary, fine binary"))
 
     links = None
     for turn in range(STARS + BEST + 1):
@@ -335,11 +394,8 @@ def jaccard_components(
                 .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")).distinct()
             )
         else:
-            if turn == STARS:
-                apart = materialize(ids.join(blocks.select("cls").distinct(), "cls", "left_semi"))
-                points = materialize(_chosen_texts(texts, apart).mapInArrow(lambda it: _chosen_sets(it, words, True), "cls long, point binary"))
-            pairs = _compared(blocks, points, percent, turn < STARS + BEST)
-        found = _links(pairs, texts, ids, words, percent)
+            pairs = _compared(blocks, points.select("cls", "point"), percent, turn < STARS + BEST)
+        found = _links(pairs, points, texts, ids, words, percent)
         links = found if links is None else links.unionByName(found)
         comps = materialize(connected_components(links))
         if turn == STARS + BEST:
@@ -354,7 +410,7 @@ def jaccard_components(
     whole = members.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
     lows = whole.groupBy("comp").agg(F.min("low").alias("component_low"))
     named = materialize(whole.select("cls", "comp").join(lows, "comp"))
-    release(blocks, points, ids, apart)
+    release(blocks, points, ids)
     return (
         rows.join(named, "cls", "left")
         .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -17,7 +17,7 @@ from aerolith.llm.components import connected_components
 from aerolith.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from aerolith.llm.kd_shards import kd_shards
 from aerolith.llm.mixing import mix_sources, sainte_lague, source_targets
-from aerolith.llm.ngram_join import CountTree, jaccard_components
+from aerolith.llm.ngram_join import CountTree, _packed, _unpacked, jaccard_components
 from aerolith.llm.packing import optimal_boundaries, pack
 from aerolith.llm.textkernel import shingle_sets
 
@@ -118,6 +118,17 @@ def test_count_tree_bound_loses_no_pair():
     assert set(zip(i.tolist(), j.tolist())) == want
 
 
+def test_fine_count_vectors_bound_the_overlap():
+    rng = np.random.default_rng(11)
+    for n in (1, 3, 200, 50_000):
+        pool = rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
+        pool[: n // 2] = (pool[: n // 2] >> np.uint64(60)) << np.uint64(60) | np.arange(n // 2, dtype=np.uint64)  # many in one group
+        a, b = np.unique(pool[: n + n // 2]), np.unique(pool[n // 2 :])
+        x, y = (_unpacked(np.frombuffer(_packed(s), dtype=np.uint8)) for s in (a, b))
+        assert (x >> 32 == (a >> np.uint64(44)).astype(np.int64)).all() and len(np.unique(x)) == len(a)
+        assert len(np.intersect1d(x, y)) >= len(np.intersect1d(a, b))
+
+
 def test_connected_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (20, 10), (20, 11), (20, 12), (2, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
