@@ -1,16 +1,20 @@
-"""Mount calibration: small offset angles that bring known targets into place, by a simplex search on the driver."""
+"""Mount calibration: small offset angles that bring known targets into place, by a simplex search over sums from Spark."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..schemas import CALIBRATION_GUARD, FIELD_CAMERA_FLAT, M_PER_DEG, MOUNT_NED, Camera
+from .scratch import written
 
 
 def euler_matrix(a: float, b: float, c: float) -> np.ndarray:
-    """Rotation by a about x, then b about y, then c about z of fixed axes (radians)."""
+    """Rotation by a about x, then b about y, then c about z of fixed axes (radians); arrays of n angles give 3 x 3 x n."""
     (sa, sb, sc), (ca, cb, cc) = np.sin([a, b, c]), np.cos([a, b, c])
     return np.array([
         [cc * cb, cc * sb * sa - sc * ca, cc * sb * ca + sc * sa],
@@ -19,33 +23,37 @@ def euler_matrix(a: float, b: float, c: float) -> np.ndarray:
     ])
 
 
-def simplex_minimum(f, start: np.ndarray, step: float = 0.02, tolerance: float = 1e-5, most: int = 5000) -> tuple[np.ndarray, float]:
-    """Nelder-Mead with the usual coefficients; ends when points and values are both within ``tolerance``."""
+def simplex_minimum(
+    f: Callable | None, start: np.ndarray, step: float = 0.02, tolerance: float = 1e-5, most: int = 5000, several: Callable | None = None,
+) -> tuple[np.ndarray, float]:
+    """Nelder-Mead with the usual coefficients; ends when points and values are both within ``tolerance``.
+
+    ``several`` takes a list of points to their values at once, in place of ``f``: each step asks for all
+    points it may need in one call.
+    """
+    several = several or (lambda points: [f(p) for p in points])
     n = len(start)
     points = np.vstack([start, start + step * np.eye(n)])
-    values = np.array([f(p) for p in points])
+    values = np.array(several(list(points)))
     for _ in range(most):
         order = np.argsort(values, kind="stable")
         points, values = points[order], values[order]
         if np.abs(points[1:] - points[0]).max() <= tolerance and np.abs(values[1:] - values[0]).max() <= tolerance:
             break
         centre, worst = points[:-1].mean(axis=0), points[-1]
-        tried = {k: centre + k * (centre - worst) for k in (1.0,)}
-        r = f(tried[1.0])
+        tried = [centre + k * (centre - worst) for k in (1.0, 2, 0.5, -0.5)]
+        r, e, outer, inner = several(tried)
         if r < values[0]:
-            far = centre + 2 * (centre - worst)
-            e = f(far)
-            points[-1], values[-1] = (far, e) if e < r else (tried[1.0], r)
+            points[-1], values[-1] = (tried[1], e) if e < r else (tried[0], r)
         elif r < values[-2]:
-            points[-1], values[-1] = tried[1.0], r
+            points[-1], values[-1] = tried[0], r
         else:
-            near = centre + (0.5 if r < values[-1] else -0.5) * (centre - worst)
-            c = f(near)
+            near, c = (tried[2], outer) if r < values[-1] else (tried[3], inner)
             if c < min(r, values[-1]):
                 points[-1], values[-1] = near, c
             else:
                 points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                values[1:] = [f(p) for p in points[1:]]
+                values[1:] = several(list(points[1:]))
     best = int(values.argmin())
     return points[best], float(values[best])
 
@@ -63,22 +71,33 @@ def squared_error(offsets: np.ndarray, rays: np.ndarray, attitude: np.ndarray, h
     return float((n * n + e * e).sum())
 
 
-def calibrate_mount(observations: DataFrame, cam: Camera = FIELD_CAMERA_FLAT, mount: tuple = MOUNT_NED, most_rows: int = 20_000, seed: int = 1) -> DataFrame:
+def calibrate_mount(observations: DataFrame, cam: Camera = FIELD_CAMERA_FLAT, mount: tuple = MOUNT_NED) -> DataFrame:
     """One row ``roll_deg, pitch_deg, yaw_deg, rms_m, n_rows``: the mount's offsets that fit the observations best.
 
     ``observations`` has ``u, v, altitude, lat_uav, lon_uav, roll_deg, pitch_deg, yaw_deg, true_lat, true_lon``.
-    A fit of three angles needs few rows: at most ``most_rows``, those with the smallest seeded hash, reach
-    the driver. The root mean square counts skipped rows too. No rows give no result row.
+    All of them count: they are written once, each step of the search sums squared errors over them in
+    Spark, and only sums reach the driver. The root mean square counts skipped rows too. No rows give no
+    result row.
     """
     spark = observations.sparkSession
     cols = ["u", "v", "altitude", "lat_uav", "lon_uav", "roll_deg", "pitch_deg", "yaw_deg", "true_lat", "true_lon"]
     schema = "roll_deg double, pitch_deg double, yaw_deg double, rms_m double, n_rows long"
-    rows = observations.select(*cols).dropna().orderBy(F.xxhash64(*cols, F.lit(seed)), *cols).limit(most_rows).collect()
-    if not rows:
+    rows = written(observations.select(*[observations[c].cast("double") for c in cols]).dropna())
+    n = rows.count()
+    if not n:
         return spark.createDataFrame([], schema)
-    a = np.array(rows, dtype=float)
-    rays = np.stack([(a[:, 0] - cam.cx) / cam.fx, (a[:, 1] - cam.cy) / cam.fy, np.ones(len(a))], axis=1)
-    attitude = np.stack([euler_matrix(*np.radians(r)) for r in a[:, 5:8]])
-    f = lambda x: squared_error(x, rays, attitude, a[:, 2], a[:, 3:5], a[:, 8:10], np.array(mount, dtype=float))
-    best, value = simplex_minimum(f, np.zeros(3))
-    return spark.createDataFrame([(*(float(x) for x in np.degrees(best)), float(np.sqrt(value / max(len(a), 1))), len(a))], schema)
+    turn = np.array(mount, dtype=float)
+
+    def several(points: list[np.ndarray]) -> list[float]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+                rays = np.stack([(a[:, 0] - cam.cx) / cam.fx, (a[:, 1] - cam.cy) / cam.fy, np.ones(len(a))], axis=1)
+                attitude = np.moveaxis(euler_matrix(*np.radians(a[:, 5:8].T)), 2, 0)
+                yield pa.record_batch([pa.array([squared_error(x, rays, attitude, a[:, 2], a[:, 3:5], a[:, 8:10], turn)]) for x in points], names=[f"e{i}" for i in range(len(points))])
+
+        parts = rows.mapInArrow(sums, ", ".join(f"e{i} double" for i in range(len(points)))).collect()
+        return [math.fsum(p[i] for p in parts) for i in range(len(points))]
+
+    best, value = simplex_minimum(None, np.zeros(3), several=several)
+    return spark.createDataFrame([(*(float(x) for x in np.degrees(best)), math.sqrt(value / n), n)], schema)

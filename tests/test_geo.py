@@ -182,3 +182,22 @@ def test_planted_mount_offset_is_recovered(spark, sf):
         "u": (x * math.cos(a) + y * math.sin(a)) * FIELD_CAMERA_FLAT.fx + FIELD_CAMERA_FLAT.cx, "v": (y * math.cos(a) - x * math.sin(a)) * FIELD_CAMERA_FLAT.fy + FIELD_CAMERA_FLAT.cy})
     r = calibrate_mount(obs).first()
     assert abs(abs(r.yaw_deg) - 3.0) < 0.05 and abs(r.roll_deg) < 0.05 and abs(r.pitch_deg) < 0.05 and r.rms_m < 0.1
+
+
+def test_every_observation_takes_part_in_the_mount_fit(spark):
+    from aerolith.operators.calibrate import calibrate_mount, squared_error
+    from aerolith.schemas import FIELD_CAMERA_FLAT as cam
+    from aerolith.schemas import MOUNT_NED
+
+    n = 20_500
+    h = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("double")
+    obs = spark.range(n).select(
+        (h(1, 1200) + 360).alias("u"), (h(2, 700) + 190).alias("v"), (h(3, 20) + 70).alias("altitude"), F.lit(30.0).alias("lat_uav"), F.lit(31.0).alias("lon_uav"),
+        (h(4, 5) - 2).alias("roll_deg"), h(5, 4).alias("pitch_deg"), (h(6, 8) * 45).alias("yaw_deg"), (F.lit(30.0) + (h(7, 21) - 10) / 111320).alias("true_lat"), (F.lit(31.0) + (h(8, 21) - 10) / 96360).alias("true_lon"))
+    r = calibrate_mount(obs).first()
+    a = np.array(obs.collect(), dtype=float)
+    rays = np.stack([(a[:, 0] - cam.cx) / cam.fx, (a[:, 1] - cam.cy) / cam.fy, np.ones(n)], axis=1)
+    attitude = np.stack([euler_matrix(*np.radians(x)) for x in a[:, 5:8]])
+    x, v = simplex_minimum(lambda p: squared_error(p, rays, attitude, a[:, 2], a[:, 3:5], a[:, 8:10], np.array(MOUNT_NED, dtype=float)), np.zeros(3))
+    assert r.n_rows == n and r.rms_m == pytest.approx(math.sqrt(v / n), abs=1e-9)
+    assert np.allclose([r.roll_deg, r.pitch_deg, r.yaw_deg], np.degrees(x), atol=1e-3)
