@@ -51,28 +51,105 @@ def _by_group(points: DataFrame, by: str, order: str, eps: float, least: int, to
     return points.withColumn("_call", F.pmod(F.hash(by), F.lit(calls))).groupBy("_call").applyInPandas(some, schema)
 
 
-def _by_grid(points: DataFrame, by: str, order: str, eps: float, least: int) -> DataFrame:
-    """Cells of side eps; each point meets the 3 x 3 cells around it by an equi-join, then labels spread over core pairs."""
-    cell = points.select(by, order, "x_m", "y_m", F.floor(F.col("x_m") / eps).alias("cx"), F.floor(F.col("y_m") / eps).alias("cy"))
-    step = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
-    asks = cell.withColumn("_dx", step).withColumn("_dy", step).select(
-        by, F.col(order).alias("a"), F.col("x_m").alias("ax"), F.col("y_m").alias("ay"), (F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cy") + F.col("_dy")).alias("cy"))
-    dx, dy = F.col("ax") - F.col("x_m"), F.col("ay") - F.col("y_m")
-    pairs = written(asks.join(cell, [by, "cx", "cy"]).where(dx * dx + dy * dy <= F.lit(eps * eps)).select(by, "a", F.col(order).alias("b")))
-    core = written(pairs.groupBy(by, "a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(by, "a"))
-    to_core = pairs.join(core.withColumnRenamed("a", "b"), [by, "b"])
-    links = written(to_core.join(core, [by, "a"]))
-    label = written(core.withColumn("label", F.col("a")))
+def touch(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether a point of ``a`` and one of ``b`` (n x 2) are within ``eps``: halves by median, decided by boxes where these suffice."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        (al, ah), (bl, bh) = (a.min(axis=0), a.max(axis=0)), (b.min(axis=0), b.max(axis=0))
+        gap, far = np.maximum(np.maximum(bl - ah, al - bh), 0.0), np.maximum(ah - bl, bh - al)
+        if (gap * gap).sum() > eps * eps:
+            continue
+        if (far * far).sum() <= eps * eps:
+            return True
+        if len(a) * len(b) <= 4096 or max((ah - al).max(), (bh - bl).max()) == 0:
+            if (((a[:, None] - b[None, :]) ** 2).sum(axis=2) <= eps * eps).any():
+                return True
+            continue
+        if (ah - al).max() < (bh - bl).max():
+            a, b, al, ah = b, a, bl, bh
+        k = int((ah - al).argmax())
+        low = a[:, k] < (al[k] + ah[k]) / 2
+        if not 0 < low.sum() < len(a):  # neighbouring doubles have no middle
+            low = a[:, k] == al[k]
+        todo += [(a[low], b), (a[~low], b)]
+    return False
+
+
+def _components(nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
+    """``by, a, label``: the smallest node that each node is linked with; ``links`` has both directions."""
+    links = written(links.unionByName(nodes.select(by, "a", F.col("a").alias("b"))))
+    label = written(nodes.select(by, "a", F.col("a").alias("label")))
     while True:
         spread = links.join(label.withColumnsRenamed({"a": "b", "label": "low"}), [by, "b"]).groupBy(by, "a").agg(F.min("low").alias("low"))
-        # the label's own point is a core point too, so its label is as good: halves the way of long chains
+        # the label's own node has a label that is as good: halves the way of long chains
         jump = label.withColumnsRenamed({"a": "low", "label": "lower"})
         new = written(spread.join(jump, [by, "low"], "left").select(by, "a", F.least("low", "lower").alias("label")))
         if not new.join(label.withColumnRenamed("label", "was"), [by, "a"]).where("label <> was").limit(1).count():
-            break
+            return new
         label = new
-    found = to_core.join(label.withColumnsRenamed({"a": "b"}), [by, "b"]).groupBy(by, "a").agg(F.min("label").alias("cluster"))
-    return points.join(found.withColumnRenamed("a", order), [by, order], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("long"))
+
+
+def _around(df: DataFrame, half: bool = False) -> DataFrame:
+    """Rows once for each of the 5 x 5 cells about their own, ``cx, cy`` moved; ``half`` takes each pair of two cells once."""
+    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if not half or (i, j) > (0, 0)]
+    moved = df.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
+    return moved.withColumns({"cx": F.col("cx") + F.col("_s.i"), "cy": F.col("cy") + F.col("_s.j")}).drop("_s")
+
+
+def _by_grid(points: DataFrame, by: str, order: str, eps: float, least: int) -> DataFrame:
+    """Cells so small that all their points are neighbours: pairs of points are made only for points in cells of fewer than ``least``.
+
+    All points of a fuller cell are core points of one cluster, so clusters spread over cells, not points.
+    Two cells are linked by their outermost core points; where these are too far apart and nothing else
+    links the cells, all of their core points near each other are tested.
+    """
+    key, side, e2 = [by, "cx", "cy"], 0.7071 * eps, F.lit(eps * eps)
+    cell = written(points.select(by, F.col(order).alias("id"), "x_m", "y_m", F.floor(F.col("x_m") / side).alias("cx"), F.floor(F.col("y_m") / side).alias("cy")))
+    size = written(cell.groupBy(*key).agg(F.count("*").alias("n")))
+    within = lambda ax, ay, bx, by_: (ax - bx) * (ax - bx) + (ay - by_) * (ay - by_) <= e2
+    sparse = written(cell.join(size.where(F.col("n") < least).select(*key), key, "left_semi"))
+    asks = lambda df: _around(df.select(by, F.col("id").alias("a"), F.col("x_m").alias("ax"), F.col("y_m").alias("ay"), "cx", "cy"))
+    close = within(F.col("ax"), F.col("ay"), F.col("x_m"), F.col("y_m"))
+    reach = _around(size).groupBy(*key).agg(F.sum("n").alias("r")).where(F.col("r") >= least)
+    counted = asks(sparse.join(reach.select(*key), key, "left_semi")).join(cell, key).where(close).groupBy(by, "a").agg(F.count("*").alias("n"))
+    lone = counted.where(F.col("n") >= least).select(by, F.col("a").alias("id"))
+    core = written(cell.join(size.where(F.col("n") >= least).select(*key), key, "left_semi").unionByName(sparse.join(lone, [by, "id"], "left_semi")))
+    border = written(sparse.join(core.select(by, "id"), [by, "id"], "left_anti"))
+
+    x, y = F.col("x_m"), F.col("y_m")
+    outer = F.array(*[f(F.struct("x_m", "y_m"), v) for v in (x, y, x + y, x - y) for f in (F.min_by, F.max_by)])
+    cells = written(core.groupBy(*key).agg(F.min("id").alias("a"), F.min("x_m").alias("x0"), F.max("x_m").alias("x1"), F.min("y_m").alias("y0"), F.max("y_m").alias("y1"), outer.alias("outer")))
+    other = cells.select(*key, *[F.col(c).alias(f"o_{c}") for c in ("a", "x0", "x1", "y0", "y1", "outer")])
+    gap = lambda c: F.greatest(F.col(f"o_{c}0") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"o_{c}1"), F.lit(0.0))
+    met = F.exists("outer", lambda p: F.exists("o_outer", lambda q: within(p["x_m"], p["y_m"], q["x_m"], q["y_m"])))
+    near = written(
+        _around(cells.withColumns({"ax": F.col("cx"), "ay": F.col("cy")}), half=True).join(other, key).where(gap("x") * gap("x") + gap("y") * gap("y") <= e2)
+        .select(by, "a", F.col("o_a").alias("b"), F.col("ax").alias("acx"), F.col("ay").alias("acy"), F.col("cx").alias("bcx"), F.col("cy").alias("bcy"),
+                *[c for o in ("", "o_") for c in (f"{o}x0", f"{o}x1", f"{o}y0", f"{o}y1")], met.alias("met")))
+    both = lambda df: df.select(by, "a", "b").unionByName(df.select(by, F.col("b").alias("a"), F.col("a").alias("b")))
+    label = _components(cells.select(by, "a"), both(near.where("met")), by)
+    la, lb = label.withColumnRenamed("label", "la"), label.withColumnsRenamed({"a": "b", "label": "lb"})
+    apart = written(near.where("not met").join(la, [by, "a"]).join(lb, [by, "b"]).where("la <> lb"))
+    if apart.limit(1).count():
+
+        def part(own: str, box: str) -> DataFrame:
+            dx, dy = (F.greatest(F.col(f"{box}{c}0") - F.col(f"{c}_m"), F.col(f"{c}_m") - F.col(f"{box}{c}1"), F.lit(0.0)) for c in "xy")
+            at = apart.withColumnsRenamed({f"{own}cx": "cx", f"{own}cy": "cy"}).select(*key, "a", "b", *[f"{box}{c}" for c in ("x0", "x1", "y0", "y1")])
+            return at.join(core.drop("id"), key).where(dx * dx + dy * dy <= e2).select(by, "a", "b", F.lit(own == "a").alias("first"), "x_m", "y_m")
+
+        def test(pdf: pd.DataFrame) -> pd.DataFrame:
+            xy, first = pdf[["x_m", "y_m"]].to_numpy(), pdf["first"].to_numpy()
+            joined = first.any() and not first.all() and touch(xy[first], xy[~first], eps)
+            return pdf[[by, "a", "b"]].head(1 if joined else 0)
+
+        kinds = T.StructType([f for f in apart.select(by, "a", "b").schema.fields])
+        more = part("a", "o_").unionByName(part("b", "")).groupBy(by, "a", "b").applyInPandas(test, kinds)
+        label = _components(cells.select(by, "a"), both(near.where("met").select(by, "a", "b").unionByName(more)), by)
+    labelled = core.join(cells.select(*key, "a").join(label, [by, "a"]).select(*key, F.col("label").alias("cluster")), key)
+    edge = asks(border).join(labelled, key).where(close).groupBy(by, "a").agg(F.min("cluster").alias("cluster"))
+    found = labelled.select(by, F.col("id").alias(order), "cluster").unionByName(edge.withColumnRenamed("a", order))
+    return points.join(found, [by, order], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("long"))
 
 
 def dbscan(

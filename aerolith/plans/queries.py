@@ -294,11 +294,17 @@ def dbscan_no_cluster_fallback(spark, d):
 
 @query
 def pooled_all_flags(spark, d):
-    """One group of all detections: the weighted mean when no cluster can form."""
+    """One group of all detections: their weighted mean, which the SQL of this name also takes; for the largest cluster see ``pooled_largest_cluster``."""
     pooled = localize(_det(spark, d), FIELD_CAMERA_FLAT).withColumn("flag_id", F.lit(0).cast("long"))
     return _positions(agg.weighted_position(pooled, ["flag_id"]), "n_frames")
 
 
+@query
+def pooled_largest_cluster(spark, d):
+    """All detections as one group, clustered: the weighted mean of the largest cluster. No SQL; tests hold it against brute force."""
+    return _positions(pipelines.pooled_position(localize(_det(spark, d), FIELD_CAMERA_FLAT)), "n_frames", "n_used", "cluster")
+
+
 @query
 def telemetry_exact_join(spark, d):
     sparse = frames_from_messages(view(spark, d, "messages_v"))

@@ -201,3 +201,39 @@ def test_every_observation_takes_part_in_the_mount_fit(spark):
     x, v = simplex_minimum(lambda p: squared_error(p, rays, attitude, a[:, 2], a[:, 3:5], a[:, 8:10], np.array(MOUNT_NED, dtype=float)), np.zeros(3))
     assert r.n_rows == n and r.rms_m == pytest.approx(math.sqrt(v / n), abs=1e-9)
     assert np.allclose([r.roll_deg, r.pitch_deg, r.yaw_deg], np.degrees(x), atol=1e-3)
+
+
+def test_pool_of_all_targets_gives_its_largest_cluster(spark, sf):
+    from aerolith.operators.dbscan import labels_in_memory
+    from aerolith.plans.queries import QUERIES
+    from aerolith.schemas import FIELD_CAMERA_FLAT
+    from aerolith.sources.fixtures import view
+
+    e = localize(view(spark, sf, "detections_v"), FIELD_CAMERA_FLAT).where("confidence > 0.4 and est_lat is not null").select("frame_idx", "est_lat", "est_lon", "confidence")
+    o, lat, lon, c = (np.array(x) for x in zip(*e.collect()))
+    label = labels_in_memory((lon - lon.mean()) * M_PER_DEG * math.cos(math.radians(lat.mean())), (lat - lat.mean()) * M_PER_DEG, o, 15.0, 3)
+    sizes = {int(k): int((label == k).sum()) for k in set(label[label >= 0].tolist())}
+    best = min(sizes, key=lambda k: (-sizes[k], k))
+    used = label == best
+    r = QUERIES["pooled_largest_cluster"](spark, sf).first()
+    assert (r.n_frames, r.n_used, r.cluster) == (len(o), int(used.sum()), best) and r.n_used < r.n_frames
+    assert r.lat == pytest.approx((lat * c)[used].sum() / c[used].sum(), abs=2e-7) and r.lon == pytest.approx((lon * c)[used].sum() / c[used].sum(), abs=2e-7)
+    pool = e.withColumn("flag_id", F.lit(0).cast("long"))
+    assert {x.frame_idx: x.cluster for x in dbscan(pool, method="grid").collect()} == dict(zip(o.tolist(), label.tolist()))
+
+
+@pytest.mark.parametrize("least", [3, 12])
+def test_dense_cells_link_as_points_do(spark, least):
+    from aerolith.operators.dbscan import labels_in_memory, touch
+
+    rng = np.random.default_rng(least)
+    # two dense bands that meet, if at all, by a point in the middle of a side; loose points and a border point
+    band = lambda n, e0: [(float(a), float(b)) for a, b in zip(rng.uniform(-20, 20, n), rng.uniform(e0, e0 + 6, n))]
+    pts = band(400, 0) + band(400, 20.7) + band(400, 46) + [(3.0, 30.0)] + [(float(a), float(b)) for a, b in rng.uniform(-150, 150, (80, 2))]
+    e = estimates(spark, [(*p, 0.9) for p in pts])
+    got = dbscan(e, method="grid", least=least).orderBy("frame_idx").collect()
+    x, y = np.array([r.x_m for r in got]), np.array([r.y_m for r in got])
+    assert [r.cluster for r in got] == labels_in_memory(x, y, np.arange(len(pts)), 15.0, least).tolist()
+    for k in range(60):
+        a, b = rng.normal(0, 3, (150, 2)), rng.normal(0, 3, (150, 2)) + [14 + k / 4, 0]
+        assert touch(a, b, 15.0) == bool((((a[:, None] - b[None]) ** 2).sum(axis=2) <= 225.0).any())
