@@ -237,3 +237,19 @@ def test_dense_cells_link_as_points_do(spark, least):
     for k in range(60):
         a, b = rng.normal(0, 3, (150, 2)), rng.normal(0, 3, (150, 2)) + [14 + k / 4, 0]
         assert touch(a, b, 15.0) == bool((((a[:, None] - b[None]) ** 2).sum(axis=2) <= 225.0).any())
+
+
+def test_nine_scenarios_fly_as_their_table_says(spark, sf):
+    from aerolith.plans import reports
+    from aerolith.plans.queries import QUERIES
+
+    rows = {r.scenario: r for r in QUERIES["scenario_flights"](spark, sf).collect()}
+    assert {k: r.n_dets for k, r in rows.items()} == {f[0]: f[-1] for f in reports.FLIGHTS} and len(rows) == 9
+    dets = reports.simulated_detections(spark).collect()
+    for name, heading, altitude, wind, _, attitude, frames in reports.FLIGHTS:
+        mine = [r for r in dets if r.scenario == name]
+        assert abs(np.mean([r.yaw_deg for r in mine]) - heading) < 4 and abs(np.mean([r.altitude for r in mine]) - altitude) < 6
+        assert abs(np.mean([r.pitch_deg for r in mine]) - (wind if attitude else 0.0)) < (4 if attitude else 1e-9)
+        assert attitude == (rows[name].error_m < 3) and (rows[name].points == 15) == (rows[name].error_m <= 20)
+    blind = reports.scenario_flights(spark, (("blind", 0.0, -80.0, 0.0, 1.0, True, 5),)).first()
+    assert (blind.n_dets, blind.error_m, blind.points) == (0, None, 0)
