@@ -64,8 +64,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(word: str) -> str:
     """Runs of letters as a or A, of digits as 9 and their capped length, other characters as they are."""
-    s = re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 20)};", re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() else "a", word[:64]))
-    return s[:40]
+    s = re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 20)};", re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() else "a", word))
+    return s
 
 
 def _core(word: str) -> tuple[int, int]:
@@ -163,10 +163,12 @@ class Crf:
 
     def scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(LABELS)))
-        for i, f in enumerate(features(words)):
-            rows = [self.index[x] for x in f if x in self.index]
-            if rows:
-                out[i] = self.emit[rows].sum(axis=0)
+        for lo in range(0, len(words), 4096):  # with a neighbour on each side, which is as far as features look
+            first = max(0, lo - 1)
+            for i, f in enumerate(features(words[first : lo + 4097])[lo - first :][:4096], lo):
+                rows = [self.index[x] for x in f if x in self.index]
+                if rows:
+                    out[i] = self.emit[rows].sum(axis=0)
         return out
 
 
@@ -268,19 +270,20 @@ def _sequences(text: str) -> list[list[tuple[int, int]]]:
 
 def found_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
     """For each text the base spans, and all spans: the base ones and those of the model that overlap none of them."""
-    cut, owner = [], []
+    runs, owner = [], []
     for k, t in enumerate(texts):
         for s in _sequences(t):
-            # long runs of numbers are cut, so that a padded batch stays small
-            for i in range(0, len(s), 256):
-                cut.append(s[i : i + 256])
-                owner.append(k)
+            runs.append(s)
+            owner.append(k)
     more: dict[int, list] = {}
-    order = sorted(range(len(cut)), key=lambda i: len(cut[i]))
-    for lo in range(0, len(order), 512):
-        some = order[lo : lo + 512]
-        for i, y in zip(some, viterbi(model, [[texts[owner[i]][a:b] for a, b in cut[i]] for i in some])):
-            text, spans, j = texts[owner[i]], cut[i], 0
+    order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+    lo = 0
+    while lo < len(order):
+        # whole runs, so that no entity is split; the longer they are, the fewer share a padded batch
+        some = [i for j, i in enumerate(order[lo : lo + 512], 1) if j == 1 or j * len(runs[i]) <= 512 * 256]
+        lo += len(some)
+        for i, y in zip(some, viterbi(model, [[texts[owner[i]][a:b] for a, b in runs[i]] for i in some])):
+            text, spans, j = texts[owner[i]], runs[i], 0
             while j < len(y):
                 if y[j] == 0:
                     j += 1
@@ -329,7 +332,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The counts and ``base_sha256`` are of the checked patterns; ``spans`` has these and what the random field
     adds where no base span lies. The field learns from the small ``table`` on the driver, and goes to executors as weights.
-    It decodes runs of words near digits or an @, in padded numpy batches.
+    It decodes whole runs of words near digits or an @, however long, in padded numpy batches.
 
     Null and empty texts have no spans, counts of 0 and the hash of the empty string; repeated rows are
     searched each; an empty table gives no rows; offsets are code points, ends exclusive.

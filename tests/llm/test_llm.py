@@ -349,6 +349,18 @@ def test_random_field(spark, rows):
     assert next(r for r in out if r.doc_id == 7000).n_email == 1
 
 
+def test_an_entity_in_a_long_run_is_not_cut():
+    model = pii.train_crf(pii.labelled_table())
+    for before in range(250, 260):  # a number of two words at each place about word 256
+        text = "v3 " * before + "call (212) 555-0100 now" + " v3" * 300
+        found = {text[a:b] for a, k, b in pii.found_spans([text], model)[0][1]}
+        assert found == {"(212) 555-0100"}, before
+    long = ["v3", "call", "(212)", "555-0100"] * 2500  # scores in parts are those of the whole
+    want = np.array([model.emit[[model.index[x] for x in f if x in model.index]].sum(axis=0) for f in pii.features(long)])
+    assert np.array_equal(model.scores(long), want)
+    assert pii.shape("a" * 64 + "@9") == "a@91;" and pii.shape("-a" * 30) == "-a" * 30
+
+
 def test_messages_are_exact_marginals():
     model = html_extract.train_tree(html_extract.labelled_pages(40))
     nodes, _ = html_extract.parse("<body><nav><a href=x>y</a></nav><article><p>Some text here.<ul><li>a<li>b</ul></article></body>")
