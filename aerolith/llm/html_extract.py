@@ -20,6 +20,8 @@ BLOCKS = frozenset("""address article aside blockquote body button caption cente
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select
 summary table tbody td tfoot th thead tr ul""".split())
 SILENT = frozenset("script style noscript template iframe object svg textarea title noframes xmp".split())
+#: Of these, the ones whose content is markup: skipped only up to an end tag of their own, and inline without one.
+NESTED = frozenset("noscript object svg template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -49,12 +51,27 @@ class Node:
     children: list = field(default_factory=list)
 
 
+def _ends(page: str, at: int, tag: str) -> dict[int, int]:
+    """From where each element of ``tag`` begins to where its end tag stops, in one pass; nested ones pair up, those without an end tag are absent."""
+    out: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).finditer(page, at):
+        if m.group(1):
+            if begun:
+                out[begun.pop()] = m.end()
+        elif not (tag == "svg" and m.group().endswith("/>")):
+            begun.append(m.start())
+    return out
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Blocks of a page in order, parents first, and its text runs (block, text) in page order.
 
     A run is the text between two block boundaries: inline tags add nothing, a line break is white space.
     Character references are decoded, white space is one space, empty runs are left out. Missing end tags are
     implied as browsers do for paragraphs, list items, table cells and the like; a tag cut by the page's end is dropped.
+    Scripts, styles and the like without an end tag run to the page's end, as in browsers; of svg, object, noscript and
+    template only elements with an end tag are skipped.
     """
     nodes = [Node("html", (), -1)]
     stack: list[tuple[str, int]] = [("html", 0)]
@@ -62,6 +79,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     held: list[str] = []
     links = linked = 0
     at, n = 0, len(page)
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -107,6 +125,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                         del stack[k:]
                         break
             continue
+        if tag in NESTED:
+            if tag not in ends:
+                ends[tag] = _ends(page, m.start(), tag)
+            at = ends[tag].get(m.start(), at)
+            continue
         if tag in SILENT:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else n

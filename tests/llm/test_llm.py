@@ -361,6 +361,16 @@ def test_an_entity_in_a_long_run_is_not_cut():
     assert pii.shape("a" * 64 + "@9") == "a@91;" and pii.shape("-a" * 30) == "-a" * 30
 
 
+@pytest.mark.parametrize("inner,kept", [
+    ("<svg class=x/>", True), ("<svg><svg/><text>hid</text></svg>", True), ("<svg><svg>hid</svg>hid</svg>", True), ("<object data=x>", True), ("<noscript>", True), ("<template>", True),
+    ("<object>hid<object>hid</object>hid</object>", True), ("<script>", False), ("<style>", False),
+])
+def test_elements_without_an_end_tag_keep_the_page(inner, kept):
+    _, runs = html_extract.parse(f"<body><p>One before.</p>{inner}<p>Two after.</p></body>")
+    said = " ".join(t for _, t in runs)
+    assert "One before" in said and ("Two after" in said) == kept and "hid" not in said
+
+
 def test_messages_are_exact_marginals():
     model = html_extract.train_tree(html_extract.labelled_pages(40))
     nodes, _ = html_extract.parse("<body><nav><a href=x>y</a></nav><article><p>Some text here.<ul><li>a<li>b</ul></article></body>")
