@@ -2,22 +2,77 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_tables: dict[str, SparkSession] = {}
+
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset."""
+    """``spark.checkpoint.dir`` of the session. Only a local master may do without: it gets a temporary folder, which all its tasks see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="aerolith-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    path = f"{shared_root(df.sparkSession)}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    This cuts lineage in a way that survives lost executors and keeps Parquet's column pruning.
+    Empty tables keep their schema. The files go when the driver ends, or by :func:`release`.
+    """
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/aerolith-{uuid.uuid4().hex}"
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option, "false")
+    spark.conf.set(option, "true")  # the shuffle files of this write are not needed once it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(option, before)
+    _tables[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._aerolith_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` which nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_aerolith_path", None)
+        if path in _tables:
+            _delete(df.sparkSession, path)
+            del _tables[path]
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """Write the result of ``make``, then delete every other table that was written on the way to it."""
+    before = set(_tables)
+    out = written(make())
+    for path in set(_tables) - before - {out._aerolith_path}:
+        _delete(_tables.pop(path), path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in _tables.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before us; its folder is the cluster's to clear
+            return
