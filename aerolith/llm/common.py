@@ -1,75 +1,21 @@
-"""Shared pieces of the training-data operators: scratch tables, row numbering, joins by size."""
+"""Shared pieces of the training-data operators: row numbering, joins by size, rows kept by key."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.scratch import release, settled, written
+
 #: Fixed value: the six ASCII white-space characters of every contract here, space and 0x09 to 0x0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one is set only where none is configured (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="aerolith-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back.
-
-    This cuts lineage in a way that survives lost executors and keeps Parquet's column pruning.
-    Empty tables keep their schema. The files go when the driver ends, or by :func:`release`.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/aerolith-{uuid.uuid4().hex}"
-    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(option, "false")
-    spark.conf.set(option, "true")  # the shuffle files of this write are not needed once it is done
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(option, before)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._aerolith_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`materialize` which nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_aerolith_path", None)
-        if path:
-            _delete(df.sparkSession, path)
-            _written[:] = [x for x in _written if x[1] != path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended before us; its folder is the cluster's to clear
-            return
+__all__ = ["BROADCAST_BYTES", "WHITE_SPACE", "dense_index", "free_names", "keep_rows", "materialize", "release", "same_keys", "settled", "small_or_not",
+           "strip_white_space", "text_or_empty", "word_count"]
+materialize = written
 
 
 def text_or_empty(text: str | Column = "text") -> Column:
@@ -93,6 +39,39 @@ def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``found`` (``id, text_hash, kept``, a row for each row in question) gives up.
+
+    A row is named by its id and the hash of its whole text, so one of several texts under one id can go alone. Of rows
+    equal in both one stays if ``kept``, any of them if other columns differ. Keys that go leave by an anti join, so
+    texts are shuffled only when these keys are too many to broadcast. All columns stay, whatever their names.
+    """
+    keys = materialize(
+        found.groupBy("id", "text_hash").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where(~F.col("stays") | (F.col("rows") > 1))
+    )
+    th, kid, kth = free_names(docs, "_hash", "_key_id", "_key_hash")
+    marked = docs.withColumn(th, F.xxhash64(text_or_empty(text_col)))
+    on = F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(th) == F.col(kth))
+    named = lambda df: small_or_not(df.select(F.col("id").alias(kid), F.col("text_hash").alias(kth)), 32)
+    out = marked.join(named(keys), on, "left_anti")
+    repeated = keys.where("stays")
+    if not repeated.isEmpty():
+        out = out.unionByName(marked.join(named(repeated), on, "left_semi").dropDuplicates([id_col, th]))
+    return out.drop(th)
+
+
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_not, strip_white_space, text_or_empty
+from .common import keep_rows, materialize, small_or_not, strip_white_space, text_or_empty
 
 
 def exact_duplicates(
@@ -21,8 +21,8 @@ def exact_duplicates(
     3. Only rows of surviving pairs are read again for their SHA-256; equal digests form the groups.
 
     Defined cases: a null text counts as empty, and all empty texts are one group; repeated rows (same id
-    and text) form a group of which one row is kept; null ids sort last; an empty table gives no rows;
-    other columns of ``docs`` are ignored, whatever their names.
+    and text) form a group of which one row is kept; null ids sort last; very long texts are compared by length, prefix
+    and SHA-256 of the whole; an empty table gives no rows; other columns of ``docs`` are ignored, whatever their names.
     Hot groups: group sizes come from partial aggregates, and the join back is an equi-join that AQE may split.
     """
     norm = strip_white_space(text_or_empty(text_col))
@@ -65,24 +65,7 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept.
 
-    The dropped rows' keys (id and hash of the whole text) leave ``docs`` by an anti join, so texts are
-    shuffled only when the dropped keys are too many to broadcast. Repeated rows of one key that is kept
-    are reduced to one by the same key.
+    The cases are those of :func:`exact_duplicates`; very long texts are hashed whole. How rows leave: see ``keep_rows``.
     """
-    key = F.xxhash64(text_or_empty(text_col))
-    found = materialize(exact_duplicates(docs, id_col, text_col, carry={"_text_key": key}))
-    dropped = found.where(~F.col("kept")).groupBy(id_col, "_text_key").agg(F.count("*").alias("_lost"))
-    kept_too = found.where(F.col("kept") & (F.col("group_size") > 1)).select(id_col, "_text_key").withColumn("_stays", F.lit(True))
-    d, k = dropped.alias("d"), kept_too.alias("k")
-    keys = materialize(
-        d.join(k, F.col(f"d.{id_col}").eqNullSafe(F.col(f"k.{id_col}")) & (F.col("d._text_key") == F.col("k._text_key")), "left")
-        .select(F.col(f"d.{id_col}").alias("_kid"), F.col("d._text_key").alias("_kkey"), F.coalesce("_stays", F.lit(False)).alias("_stays"))
-    )
-    marked = docs.withColumn("_tkey", key)
-    on = F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_tkey") == F.col("_kkey"))
-    out = marked.join(small_or_not(keys, 32), on, "left_anti")
-    repeated = keys.where("_stays")
-    if repeated.limit(1).count():
-        twins = marked.join(small_or_not(repeated, 32), on, "left_semi").dropDuplicates([id_col, "_tkey"])
-        out = out.unionByName(twins)
-    return out.drop("_tkey")
+    found = materialize(exact_duplicates(docs, id_col, text_col, carry={"text_hash": F.xxhash64(text_or_empty(text_col))}))
+    return keep_rows(docs, found.where("group_size > 1").withColumnRenamed(id_col, "id"), id_col, text_col)
