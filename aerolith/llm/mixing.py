@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return table.select("source", "source_size", F.when(F.col("stops"), F.col("cap")).otherwise(F.col("w") * rate).alias("target"))
 
 
-def sainte_lague(cells: DataFrame, votes: str, seats: Column, within: list[str], order: list[Column], name: str, capped: str | None = None) -> DataFrame:
+def sainte_lague(cells: DataFrame, votes: str, seats: Column, within: list[str], order: list[Column], name: str) -> DataFrame:
     """``seats`` (equal in each ``within`` group) dealt to the rows of ``cells`` by the highest quotients votes / (2k - 1).
 
     Rounding votes * (seats - n/2) / total gives at most ``seats`` seats and rounding votes * (seats + n/2) /
@@ -55,7 +55,6 @@ def sainte_lague(cells: DataFrame, votes: str, seats: Column, within: list[str],
         .withColumn("_left", F.col("_seats") - F.sum("_sure").over(g))
     )
     quotient = F.col(votes) / (F.col("_k") * 2 - 1)
-    ranked = Window.partitionBy(*within).orderBy(quotient.desc(), *order, F.col("_k"))
     key = [c for c in cells.columns]
     more = F.when(F.col("_upto") > F.col("_sure"), F.sequence(F.col("_sure") + 1, F.col("_upto"))).otherwise(F.array(F.lit(0).cast("long")))
     dealt = (
@@ -63,15 +62,14 @@ def sainte_lague(cells: DataFrame, votes: str, seats: Column, within: list[str],
         .withColumn("_rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.col("_k") == 0, quotient.desc(), *order, F.col("_k"))))
         .withColumn("_won", ((F.col("_k") > 0) & (F.col("_rank") <= F.col("_left"))).cast("long"))
     )
-    del ranked
     return dealt.groupBy(*key, "_sure").agg(F.sum("_won").alias("_w")).withColumn(name, F.col("_sure") + F.col("_w")).drop("_sure", "_w")
 
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
-    shard_words: int = 1 << 16, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST,
+    shard_words: int = 1 << 16, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, carry: dict | None = None,
 ) -> DataFrame:
-    """How many words the mix takes of every document: ``id_col, size, source_size, target, taken`` and ``source``.
+    """How many words the mix takes of every document: ``id_col, size, source_size, target, taken``, ``source`` and ``carry``'s columns.
 
     Documents fall into seeded shards, of about ``shard_words`` words at least and 65536 shards at most, by a
     hash of id and size. Words of one source in one shard, in seeded order, are cut into blocks of equal size.
@@ -80,11 +78,13 @@ def mix_sources(
     one more run of blocks from a seeded start, around the shard's end. ``taken`` is what these blocks cut of a document.
 
     Null texts have size 0 and nothing taken; the null source is a source of its own, sorted last; repeated
-    rows are rows of their own; an empty table gives no rows. A hot source has cells in all shards, so no
+    rows are rows of their own; words of texts of any length are counted whole; an empty table gives no rows; other columns
+    of ``docs`` are not read, whatever their names. A hot source has cells in all shards, so no
     task orders more than a shard. Reruns agree: nothing depends on partitioning.
     """
     sizes = materialize(docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        *[e.alias(f"_c_{n}") for n, e in (carry or {}).items()],
     ))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     shard = max(shard_words, -(-total // 65536))
@@ -111,4 +111,5 @@ def mix_sources(
     taken = F.col("size") * F.col("_whole") + overlap(a, F.least(b, end)) + overlap(F.lit(0), F.greatest(b - end, F.lit(0)))
     return lines.join(cells, ["_src", "_shard"]).select(
         F.col("_id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"),
+        *[F.col(f"_c_{n}").alias(n) for n in carry or {}],
     )
