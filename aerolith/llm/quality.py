@@ -65,7 +65,17 @@ class QualityModel:
         return float(self.intercept[1] - self.intercept[0])
 
 
-def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> QualityModel | None:
+def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of every text its distinct buckets and the share of its features that each has."""
+    out = []
+    for k in range(len(texts)):  # one by one: the features of one text are all that is held
+        parts = [idx if inside is None else idx[inside] for idx, _, inside in _features(texts.slice(k, 1))]
+        ids, n = np.unique(np.concatenate(parts), return_counts=True)
+        out.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+    return out
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> QualityModel | None:
     """SGD over documents in a seeded order; the hidden vector is the mean of a document's feature vectors.
 
     Without both labels there is nothing to learn and the result is None.
@@ -73,13 +83,6 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    bags = []
-    for t in texts:
-        parts = []
-        for idx, _, inside in _features(pa.array([t], pa.large_string())):
-            parts.append(idx if inside is None else idx[inside])
-        ids, n = np.unique(np.concatenate(parts), return_counts=True)
-        bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     table = rng.uniform(-1 / dim, 1 / dim, (KINDS << BITS, dim)).astype(np.float32)
     weights, intercept = np.zeros((dim, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
     y = np.asarray(labels)
@@ -106,6 +109,25 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
     return QualityModel(table, weights, intercept)
 
 
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            made = bags(part.column("text"))
+            yield pa.record_batch([
+                part.column("doc_id").cast(pa.string()), part.column("quality").cast(pa.int32()),
+                pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary()),
+            ], names=["doc_id", "quality", "ids", "share"])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all bags as one row: each bucket's lean, and the bias; no row where there is nothing to learn."""
+    rows = [(r["doc_id"], r["quality"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for b in batches for r in b.to_pylist()]
+    rows.sort(key=lambda r: r[0])
+    model = train([(i, s) for _, _, i, s in rows], [q for _, q, _, _ in rows])
+    if model is not None:
+        yield pa.record_batch([pa.array([model.lean.tobytes()], pa.binary()), pa.array([model.bias])], names=["lean", "bias"])
+
+
 def score_texts(texts: pa.Array, lean: np.ndarray, bias: float, known: bool) -> np.ndarray:
     """Probability of label 1 for each text: the softmax of two classes on the mean of its features' leans."""
     rows = len(texts)
@@ -136,11 +158,11 @@ def _passed(batches: Iterator[pa.RecordBatch], text: str, lean: np.ndarray, bias
             yield part.filter(pa.array(score_texts(part.column(text), lean, bias, known) >= threshold))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int, learn: Column, seed: int = 5, most_bytes: int = 1 << 18) -> list:
-    """(text, quality) of at most ``rows_per_label`` rows of each label, those with the smallest seeded hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int, learn: Column, seed: int = 5) -> DataFrame:
+    """``doc_id, text, quality`` of at most ``rows_per_label`` documents of each label, those with the smallest seeded hash of the id.
 
-    The bound holds for what the driver gets: rows, and ``most_bytes`` a text. A document labelled twice
-    keeps its larger label; labels other than 0 and 1 and null ids are left out.
+    A document labelled twice keeps its larger label; of an id with several texts the one of the smallest hash counts; labels other
+    than 0 and 1 and null ids are left out. Texts are whole, however long.
     """
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
@@ -148,23 +170,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int, lea
     for q in (0, 1):
         part = marks.where(F.col("quality") == q).orderBy(*order).limit(rows_per_label)
         some = part if some is None else some.unionByName(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
-    found = texts.join(small_or_not(some, 24), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return sorted(((r["doc_id"], r["text"], int(r["quality"])) for r in found))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(small_or_not(some, 24), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("quality").alias("quality"))
 
 
 def _learnt(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column | None, rows_per_label: int):
+    """The model, learnt in one task from at most 2 * ``rows_per_label`` bags of features, which other tasks make of the texts.
+
+    A bag has at most 2^18 buckets (1.5 MB), whatever its text's length. The driver gets one number a bucket.
+    """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = labelled_sample(named, labels, rows_per_label, F.lit(True) if learn is None else learn)
-    model = train([t for _, t, _ in sample], [q for _, _, q in sample])
-    lean = docs.sparkSession.sparkContext.broadcast(model.lean if model else np.zeros(1, np.float32))
-    return lean, model.bias if model else 0.0, model is not None
+    made = sample.mapInArrow(_bag_rows, "doc_id string, quality int, ids binary, share binary")
+    model = made.repartition(1).mapInArrow(_fitted, "lean binary, bias double").collect()
+    lean = np.frombuffer(model[0]["lean"], np.float32) if model else np.zeros(1, np.float32)
+    return docs.sparkSession.sparkContext.broadcast(lean), model[0]["bias"] if model else 0.0, bool(model)
 
 
 def keep_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_label: int = 1500, threshold: float = 0.5,
 ) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all columns; learns and scores as :func:`quality_scores`."""
+    """The rows of ``docs`` that score at least ``threshold``, with all columns, whatever their names; learns and scores as :func:`quality_scores`."""
     lean, bias, known = _learnt(docs, labels, id_col, text_col, None, rows_per_label)
     return docs.mapInArrow(lambda it: _passed(it, text_col, lean.value, bias, known, threshold), docs.schema)
 
@@ -177,9 +204,10 @@ def quality_scores(
 
     The model learns from a bounded sample of the labelled rows for which ``learn`` (over ``labels``) holds:
     ``rows_per_label`` is that bound. It sees texts only. Since the hidden vector is a mean, the logit is a
-    mean of one number for each bucket; executors get that table (768 KiB, whatever the corpus) and score whole texts.
+    mean of one number for each bucket; executors get that table (1 MiB, whatever the corpus) and score whole texts.
 
-    Null and empty texts get the model's score of no features; without both labels every score is 0.5;
+    Null and empty texts get the model's score of no features; very long texts are scored whole, one being the least a task
+    holds; without both labels every score is 0.5; ids and labels that come twice: see ``labelled_sample``;
     repeated rows are scored each; an empty table gives no rows; clashing names don't matter, as only named columns are read.
     """
     lean, bias, known = _learnt(docs, labels, id_col, text_col, learn, rows_per_label)
