@@ -17,49 +17,51 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize, release, small_or_not
-from .components import connected_components
+from .common import materialize, release, small_or_not, text_or_empty
+from .components import connected_components, relabelled
 from .textkernel import U, mix, shingle_sets, slices
 
 #: Cells of the frequency sketch (counts of all shingles of all documents) and its blocks; a fixed size.
 CELL_BITS, SKETCH_BLOCKS = 22, 64
 #: Coordinates of a point (counts to 254; 255 stands for more), members of a block that one task compares
-#: with as many others, children of a tree node, rounds in which a block's members meet one pivot, and
-#: rounds in which they meet the most promising member of each other component.
-GROUPS, TILE, FANOUT, STARS, BEST = 256, 2048, 16, 2, 1
+#: with as many others, children of a tree node, and rounds in which a block's members meet the most promising
+#: member of each other component before all pairs still apart are tested.
+GROUPS, TILE, FANOUT, BEST = 64, 2048, 16, 1
 #: Binary logarithm of the groups of a fine count vector (at most 21, for three bytes a difference).
 FINE_BITS = 20
 
 
 def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Id, set size and set hash (the class) of every row; at the end this task's sketch of shingle counts."""
+    """Id, text hash, set size and the set's two hashes of every row; at the end this task's sketch of shingle counts."""
     from pyspark import TaskContext
 
     counts = np.zeros(1 << CELL_BITS, dtype=np.uint32)
     none = lambda n, t: pa.nulls(n, t)
+    names = ["doc_id", "th", "n", "cls", "chk", "block", "salt", "sketch"]
     for batch in batches:
         for part in slices(batch, "text"):
-            n, cls, seen = [], [], []
+            n, cls, chk, seen = [], [], [], []
             for s in shingle_sets(part.column("text"), words):
                 n.append(len(s))
-                cls.append(_class_of(s))
+                c, k = _hashes_of(s)
+                cls.append(c)
+                chk.append(k)
                 seen.append(s)
             cells = (np.concatenate(seen) >> U(64 - CELL_BITS)).astype(np.int64)
             np.add.at(counts, cells, 1)
             k = part.num_rows
             yield pa.record_batch([
-                part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
+                part.column("doc_id").cast(pa.int64()), part.column("th"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(chk, pa.int64()),
                 none(k, pa.int32()), none(k, pa.int32()), none(k, pa.binary()),
-            ], names=["doc_id", "n", "cls", "block", "salt", "sketch"])
+            ], names=names)
     if counts.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_BLOCKS)]
         k = len(parts)
         yield pa.record_batch([
-            none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array(range(k), pa.int32()),
+            *[none(k, pa.int64())] * 5, pa.array(range(k), pa.int32()),
             pa.array([TaskContext.get().partitionId() // 256] * k, pa.int32()), pa.array(parts, pa.binary()),
-        ], names=["doc_id", "n", "cls", "block", "salt", "sketch"])
+        ], names=names)
 
 
 def _add_sketches(table: pa.Table) -> pa.Table:
@@ -71,7 +73,14 @@ def _add_sketches(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "sketch": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, rank: bytes) -> Iterator[pa.RecordBatch]:
+def _ranked(table: pa.Table) -> pa.Table:
+    """The rarity of one block's cells, a byte each: twice the binary logarithm of the count."""
+    total = np.frombuffer(zlib.decompress(_add_sketches(table).column("sketch")[0].as_py()), dtype=np.uint64)
+    ranks = (2 * np.log2(total + 1.0)).astype(np.uint8)
+    return pa.table({"block": table.column("block")[:1], "sketch": pa.array([ranks.tobytes()], pa.binary())})
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, rank: bytes, split: frozenset) -> Iterator[pa.RecordBatch]:
     """(key, class, set size, position) for the rarest shingles of each class this task meets, keys in the order of rarity."""
     rarity = np.frombuffer(rank, dtype=np.uint8)
     met: set[int] = set()
@@ -81,7 +90,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, ra
             for s in shingle_sets(part.column("text"), words):
                 if not len(s):
                     continue
-                c = _class_of(s)
+                c = _class_of(s, split)
                 if c in met:
                     continue
                 met.add(c)
@@ -99,9 +108,19 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, ra
                 ], names=["key", "cls", "n", "pos"])
 
 
-def _class_of(s: np.ndarray) -> int | None:
-    """A set's class: a hash of its shingles and their number; none for the empty set."""
-    return int(mix(s ^ U(len(s))).sum(dtype=U).view(np.int64)) if len(s) else None
+def _hashes_of(s: np.ndarray) -> tuple[int | None, int | None]:
+    """Two independent 64-bit hashes of a set's shingles and their number; none for the empty set."""
+    if not len(s):
+        return None, None
+    x = s ^ U(len(s))
+    a, b = mix(x).sum(dtype=U), mix(x * U(0xC2B2AE3D27D4EB4F) + U(0x165667B19E3779F9)).sum(dtype=U)
+    return int(a.view(np.int64)), int(b.view(np.int64))
+
+
+def _class_of(s: np.ndarray, split: frozenset) -> int | None:
+    """A set's class: its first hash, or the second where sets of one first hash are known to differ."""
+    a, b = _hashes_of(s)
+    return b if a in split else a
 
 
 def _packed(s: np.ndarray) -> bytes:
@@ -125,33 +144,28 @@ def _unpacked(raw: np.ndarray) -> np.ndarray:
     return (x << 32) | (np.arange(len(x)) - np.searchsorted(x, x))
 
 
-def _chosen_points(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (cls, text) the points (counts of shingles by group) and the fine count vectors.
+def _chosen(batches: Iterator[pa.RecordBatch], words: int, split: frozenset, made: dict) -> Iterator[pa.RecordBatch]:
+    """Of rows (cls, text) the columns of ``made``, functions of the set; a class once a task.
 
-    A row whose text is of another class (its id was repeated) gives nothing.
+    A row whose text is of another class (a clash of text hashes) gives nothing.
     """
+    met: set[int] = set()
     for batch in batches:
         for part in slices(batch, "text"):
-            cls, point, fine = [], [], []
+            cls, out = [], [[] for _ in made]
             for c, s in zip(part.column("cls").to_pylist(), shingle_sets(part.column("text"), words)):
-                if c == _class_of(s):
-                    counts = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                if c not in met and c == _class_of(s, split):
+                    met.add(c)
                     cls.append(c)
-                    point.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
-                    fine.append(_packed(s))
-            yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(point, pa.binary()), pa.array(fine, pa.binary())], names=["cls", "point", "fine"])
+                    for x, f in zip(out, made.values()):
+                        x.append(f(s))
+            yield pa.record_batch([pa.array(cls, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], names=["cls", *made])
 
 
-def _chosen_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (cls, text) the whole sets; a row whose text is of another class gives nothing."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            cls, out = [], []
-            for c, s in zip(part.column("cls").to_pylist(), shingle_sets(part.column("text"), words)):
-                if c == _class_of(s):
-                    cls.append(c)
-                    out.append(s.tobytes())
-            yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "set"])
+def _point(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by group."""
+    counts = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _may_verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -162,7 +176,7 @@ def _may_verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             x, y = (_unpacked(np.frombuffer(z.as_buffer(), dtype=np.uint8)) for z in (x, y))
             most = len(np.intersect1d(x, y, assume_unique=True))
             keep.append((100 + percent) * most >= percent * (len(x) + len(y)))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield _ids_of(batch).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -173,7 +187,16 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             x, y = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield _ids_of(batch).filter(pa.array(keep, pa.bool_()))
+
+
+#: A pair: two classes and the components they were in when the pair was found.
+PAIR = ("a", "b", "ca", "cb")
+_PAIR = ", ".join(f"{c} long" for c in PAIR)
+
+
+def _ids_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(c) for c in PAIR], names=list(PAIR))
 
 
 def _may_link(p: np.ndarray, q: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
@@ -228,16 +251,18 @@ class CountTree:
             i, j = ci, cj
 
 
-def _block_pairs(rows: dict[str, np.ndarray], percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one tile of a block whose bounds allow a link, of two classes not yet connected.
+def _block_pairs(rows: dict[str, np.ndarray], percent: int, best: bool) -> np.ndarray:
+    """Pairs of one tile of a block whose bounds allow a link, of two classes not yet connected: rows of ``PAIR``.
 
-    With ``best``, of the pairs of a class with another component only the one with the largest bound.
+    ``side`` is -1 for a row of the tile's left, 1 for one of its right, 0 for one of both; ``stray`` marks those outside
+    the block's largest component, of which all of the left are. With ``best``, of the pairs of a class with another
+    component only the one with the largest bound.
     """
     side = rows["side"]
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-    n, pos, cls, comp = rows["n"], rows["pos"], rows["cls"], rows["comp"]
+    n, pos, cls, comp, stray = rows["n"], rows["pos"], rows["cls"], rows["comp"], rows["stray"]
     if len(left) == 0 or len(right) == 0:
-        return cls[:0], cls[:0]
+        return np.empty((0, 4), dtype=np.int64)
     points = None
     if len(left) * len(right) <= 64:
         i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
@@ -248,8 +273,7 @@ def _block_pairs(rows: dict[str, np.ndarray], percent: int, best: bool) -> tuple
         i, j = left[i], right[j]
     # if the shared shingle is the pair's first, at most what follows it is shared too; a link shows at its first
     most = np.minimum(n[i] - pos[i], n[j] - pos[j])
-    ok = (cls[i] < cls[j]) if (side == 0).all() else (cls[i] != cls[j])
-    ok &= (comp[i] != comp[j]) & ((100 + percent) * most >= percent * (n[i] + n[j]))
+    ok = (comp[i] != comp[j]) & (~stray[j] | (cls[i] < cls[j])) & ((100 + percent) * most >= percent * (n[i] + n[j]))
     i, j = i[ok], j[ok]
     if len(i) and points is None:
         points = np.stack([np.frombuffer(x, dtype=np.uint8) for x in rows["point"]])
@@ -265,35 +289,34 @@ def _block_pairs(rows: dict[str, np.ndarray], percent: int, best: bool) -> tuple
         order = np.lexsort((cls[j], -bound, of[j], i))
         first = np.concatenate([[True], (np.diff(i[order]) != 0) | (np.diff(of[j][order]) != 0)])
         i, j = i[order][first], j[order][first]
-    return np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+    i, j = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
+    return np.stack([cls[i], cls[j], comp[i], comp[j]], axis=1)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Stream rows sorted by (key, ti, tj); a tile (at most 2 * TILE rows) is complete when the next one starts."""
+    """Stream rows sorted by (block, ti, tj); a tile (about 2 * TILE rows) is complete when the next one starts."""
     rest: pa.Table | None = None
 
     def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cols = {c: table.column(c).to_numpy() for c in ("key", "ti", "tj", "side", "cls", "comp", "n", "pos")}
+        cols = {c: table.column(c).to_numpy() for c in ("block", "ti", "tj", "side", "stray", "cls", "comp", "n", "pos")}
         cols["n"], cols["pos"] = cols["n"].astype(np.int64), cols["pos"].astype(np.int64)
         points = table.column("point").to_pylist()
-        new = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["ti"]) != 0) | (np.diff(cols["tj"]) != 0)) + 1
+        new = np.flatnonzero((np.diff(cols["block"]) != 0) | (np.diff(cols["ti"]) != 0) | (np.diff(cols["tj"]) != 0)) + 1
         cut = np.concatenate([[0], new, [len(points)]])
-        a, b = [], []
+        found = []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if hi - lo > 1:
-                x, y = _block_pairs({c: v[lo:hi] for c, v in cols.items()} | {"point": points[lo:hi]}, percent, best)
-                a.append(x)
-                b.append(y)
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                found.append(_block_pairs({c: v[lo:hi] for c, v in cols.items()} | {"point": points[lo:hi]}, percent, best))
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, k]) for k in range(4)], names=list(PAIR))
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
         if not table.num_rows:
             continue
-        k = [table.column(c).to_numpy() for c in ("key", "ti", "tj")]
+        k = [table.column(c).to_numpy() for c in ("block", "ti", "tj")]
         last = np.logical_and.reduce([x == x[-1] for x in k])
         at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
         yield from compared(table.slice(0, at))
@@ -302,137 +325,194 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Itera
         yield from compared(rest)
 
 
-def _links(pairs: DataFrame, points: DataFrame, texts: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verify pairs (a, b) of classes: by fine count vectors first, then on whole sets, made for the classes of what is left only.
+class _Corpus:
+    """Whole texts by class: what the classes chosen so far are made of, each read from one row that holds it."""
+
+    def __init__(self, texts: DataFrame, words: int, split: frozenset):
+        self.texts, self.words, self.split = texts, words, split
+
+    def of(self, chosen: DataFrame, made: dict) -> DataFrame:
+        """A written table ``cls`` and the columns of ``made`` for the classes of ``chosen`` (``cls, low, th``)."""
+        c = small_or_not(chosen.select("cls", F.col("low").alias("_low"), F.col("th").alias("_th")), 32)
+        # by broadcast when the counted classes are few, else by a shuffled join
+        rows = self.texts.join(c, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_low"))).select("cls", "text")
+        words, split = self.words, self.split
+        out = materialize(rows.mapInArrow(lambda it: _chosen(it, words, split, made), "cls long, " + ", ".join(f"{n} binary" for n in made)))
+        if out.count() == chosen.count():
+            return out
+        once = materialize(out.dropDuplicates(["cls"]))  # a repeated row was met by several tasks
+        release(out)
+        return once
+
+
+def _links(pairs: DataFrame, points: DataFrame, corpus: _Corpus, classes: DataFrame, percent: int) -> DataFrame:
+    """Verify pairs of classes: by fine count vectors first, then on whole sets, made for the classes of what is left only.
 
     A class may have many pairs, so all joins keep an exchange on each side, which AQE can split.
     """
     pairs = materialize(pairs)
+    if pairs.isEmpty():
+        return pairs
     fine = points.select("cls", "fine").join(small_or_not(_ends(pairs), 16), "cls", "left_semi")
-    left = materialize(_with_both(pairs, fine, "fine").mapInArrow(lambda it: _may_verify(it, percent), "a long, b long"))
-    chosen = materialize(ids.join(small_or_not(_ends(left), 16), "cls", "left_semi"))
-    sets = materialize(_chosen_texts(texts, chosen).mapInArrow(lambda it: _chosen_sets(it, words), "cls long, set binary"))
-    out = materialize(_with_both(left, sets, "set").mapInArrow(lambda it: _verified(it, percent), "a long, b long"))
+    left = materialize(_with_both(pairs, fine, "fine").mapInArrow(lambda it: _may_verify(it, percent), _PAIR))
+    chosen = materialize(classes.join(small_or_not(_ends(left), 16), "cls", "left_semi"))
+    sets = corpus.of(chosen, {"set": np.ndarray.tobytes})
+    out = materialize(_with_both(left, sets, "set").mapInArrow(lambda it: _verified(it, percent), _PAIR))
     release(pairs, left, chosen, sets)
     return out
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b) with column ``name`` of both classes."""
+    """Pairs with column ``name`` of both classes."""
     return (
         pairs.join(of.select(F.col("cls").alias("a"), F.col(name).alias(f"{name}_a")), "a")
         .join(of.select(F.col("cls").alias("b"), F.col(name).alias(f"{name}_b")), "b")
-        .select("a", "b", f"{name}_a", f"{name}_b")
+        .select(*PAIR, f"{name}_a", f"{name}_b")
     )
 
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id_col, n_shingles, component_id`` (smallest id reachable by links) and ``class_id``.
+    """One row per row of ``docs``: ``id_col, n_shingles, component_id`` (smallest id reachable by links), ``class_id``, ``component_class`` and ``text_hash``.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their distinct ``words``-word shingles,
     A-Z lower-cased. Rows of equal sets are one class, so copies never multiply work.
 
-    1. A scan gives every row its set size and class, and a sketch of all shingles' counts.
-    2. Every class sends its rarest 1 - percent/100 shingles (and one more) to blocks; blocks of one class end.
-    3. In ``STARS`` rounds every member of a block is verified against a pivot, by another hash order each
-       round: linear in the rows. Blocks whose members are all in one component end.
-    4. Blocks whose members are still in several components are searched whole: tiles of bounded size, a
-       count-vector tree on each side, positions and points as bounds. In ``BEST`` rounds each class is verified
+    1. A scan gives every row its set size and class (two 64-bit hashes; a first hash that two sets share gives way to
+       the second), and a sketch of all shingles' counts.
+    2. Every class sends its rarest 1 - percent/100 shingles (and one more). Shingles of one class end; those with the
+       same members are one block, so a passage that documents share is one block and not one for each of its shingles.
+    3. Every member of a block is verified against two pivots, its smallest and its largest class: linear in the rows.
+       Blocks whose members are all in one component end.
+    4. Of the other blocks, members outside the largest component meet all members: in tiles of bounded size, with a
+       count-vector tree on each side, and positions and points as bounds. In ``BEST`` rounds each class is verified
        against the most promising member of each other component, which joins what belongs together with few
        pairs; in the last round all surviving pairs of classes still apart are verified.
-    5. Components over the links, in shared scratch tables.
+    5. Links between components are contracted after each round, in shared scratch tables.
 
     Every pair under test first meets the bound of fine count vectors, then whole sets (see ``_links``).
     No link between different components is lost: the last round of step 4 sees every pair of classes that share a block and
-    are apart, in tiles, with no cap. Sets are compared by 64-bit shingle hashes.
-    Null and empty texts have no set and are their own component; rows with fewer than ``words`` words have
-    one shingle; repeated rows share class and component; a row without an id gets its component's smallest
-    id, but a class in which no row has an id is linked with nothing (null); an empty table gives no rows.
+    are apart, in tiles, with no cap. Shingles are compared by 64-bit hashes. All group sizes come from partial aggregates.
+
+    Null and empty texts have no set and are their own component (``class_id`` null); rows with fewer than ``words`` words have
+    one shingle; repeated rows share class and component; a row without an id, or one of several texts under one id, is
+    linked like any other (``component_class`` tells components apart even so) and gets its component's smallest
+    id, null where no row of the component has one; very long texts are read whole, one text being the least a task
+    holds; other columns of ``docs`` are not read, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = materialize(texts.mapInArrow(lambda it: _classes(it, words), "doc_id long, n long, cls long, block int, salt int, sketch binary"))
-    rows = first.where("block is null").select("doc_id", "n", "cls")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64(text_or_empty("text")))
+    first = materialize(texts.mapInArrow(
+        lambda it: _classes(it, words), "doc_id long, th long, n long, cls long, chk long, block int, salt int, sketch binary"))
     shape = "block int, sketch binary"
-    sketch = (
+    ranks = (
         first.where("block is not null").select("block", "salt", "sketch")
         .groupBy("block", "salt").applyInArrow(_add_sketches, shape)
-        .groupBy("block").applyInArrow(_add_sketches, shape).collect()
+        .groupBy("block").applyInArrow(_ranked, shape).collect()
     )
-    counts = np.zeros((SKETCH_BLOCKS, (1 << CELL_BITS) // SKETCH_BLOCKS), dtype=np.uint64)
-    for r in sketch:
-        counts[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["sketch"])), dtype=np.uint64)
-    # a fixed 4 MiB: twice the binary logarithm of each cell's count
-    rank = spark.sparkContext.broadcast((2 * np.log2(counts.ravel() + 1.0)).astype(np.uint8).tobytes())
-
-    members = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-    sent = texts.where("text is not null").select("text").mapInArrow(lambda it: _prefix_rows(it, words, percent, rank.value), "key long, cls long, n int, pos int")
-    by_key = Window.partitionBy("key")
-    met = (
-        sent.withColumn("_lo", F.min("cls").over(by_key)).withColumn("_hi", F.max("cls").over(by_key))
-        .where("_lo < _hi").select("key", "cls", "n", "pos").distinct()
+    rarity = bytearray(1 << CELL_BITS)  # a fixed 4 MiB
+    for r in ranks:
+        rarity[r["block"] * len(r["sketch"]) : (r["block"] + 1) * len(r["sketch"])] = r["sketch"]
+    rank = spark.sparkContext.broadcast(bytes(rarity))
+
+    hashed = first.where("cls is not null").groupBy("cls").agg(
+        F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("n").alias("n"), F.min("doc_id").alias("low"),
+        F.min_by("th", "doc_id").alias("th"), F.min("th").alias("any_th"),
+    ).withColumn("th", F.coalesce("th", "any_th")).drop("any_th")
+    hashed = materialize(hashed)
+    # different sets of one 64-bit hash: about n^2 / 2^65 of n classes, three of 10^10
+    split = frozenset(r[0] for r in hashed.where("chk <> chk2").select("cls").collect())
+    rows = first.where("block is null").select("doc_id", "th", "n", "cls", "chk")
+    classes = hashed.select("cls", "n", "low", "th")
+    if split:
+        rows = rows.withColumn("cls", F.when(F.col("cls").isin(*split), F.col("chk")).otherwise(F.col("cls")))
+        again = rows.join(F.broadcast(hashed.where("chk <> chk2").select(F.col("cls").alias("_c"))), F.col("cls") == F.col("_c"), "left_anti")
+        classes = materialize(again.where("cls is not null").groupBy("cls").agg(
+            F.min("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("th", "doc_id").alias("th"), F.min("th").alias("any_th"),
+        ).withColumn("th", F.coalesce("th", "any_th")).drop("any_th"))
+    corpus = _Corpus(texts, words, split)
+
+    sent = texts.where("text is not null").select("text").mapInArrow(
+        lambda it: _prefix_rows(it, words, percent, rank.value, split), "key long, cls long, n int, pos int")
+    shared = materialize(sent.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key"))
+    met = materialize(sent.join(shared, "key", "left_semi").groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
+    rank.destroy()  # nothing is computed from it any more: what follows reads written tables
+    # the members of a key by their number and two sums without carry; keys of the same members are one block
+    alike = materialize(met.groupBy("key").agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("y"),
+        F.min("cls").alias("lo"), F.max("cls").alias("hi"),
+    ).select("key", F.xxhash64("m", "x", "y").alias("block"), "lo", "hi"))
+    blocks = materialize(
+        met.join(alike, "key").groupBy("block", "cls", "lo", "hi").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     )
-    blocks = materialize(met.withColumn("comp", F.col("cls")))
-    ids = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    ids = materialize(ids.join(blocks.select("cls").distinct(), "cls", "left_semi"))
-    points = materialize(_chosen_texts(texts, ids).mapInArrow(lambda it: _chosen_points(it, words), "cls long, point binary, fine binary"))
-
-    links = None
-    for turn in range(STARS + BEST + 1):
-        if turn < STARS:
-            pivot = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp", "n", "pos")).over(by_key)
-            near = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("pivot.n") - F.col("pivot.pos")) >= percent * (F.col("n") + F.col("pivot.n"))
-            sizes = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
-            pairs = (
-                blocks.withColumn("pivot", pivot).where((F.col("comp") != F.col("pivot.comp")) & near & sizes)
-                .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")).distinct()
-            )
-        else:
-            pairs = _compared(blocks, points.select("cls", "point"), percent, turn < STARS + BEST)
-        found = _links(pairs, points, texts, ids, words, percent)
-        links = found if links is None else links.unionByName(found)
-        comps = materialize(connected_components(links))
-        if turn == STARS + BEST:
-            break
-        now = blocks.drop("comp").join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-        still = materialize(
-            now.withColumn("_lo", F.min("comp").over(by_key)).withColumn("_hi", F.max("comp").over(by_key))
-            .where("_lo < _hi").drop("_lo", "_hi")
-        )
-        release(blocks, comps)
-        blocks = still
-    whole = members.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
+    release(shared, met, alike)
+    chosen = materialize(classes.join(blocks.select("cls").distinct(), "cls", "left_semi"))
+    points = corpus.of(chosen, {"point": _point, "fine": _packed})
+
+    pivots = blocks.select("cls", "n", "pos", F.explode(F.array("lo", "hi")).alias("p")).where("cls <> p").groupBy("cls", "p").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    near = ((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.col("pn"))) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+    pairs = pivots.join(chosen.select(F.col("cls").alias("p"), F.col("n").alias("pn")), "p").where(near)
+    pairs = pairs.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct().select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    comps = None
+    for turn in range(BEST + 2):
+        if turn:
+            pairs = _compared(blocks, points.select("cls", "point"), percent, turn <= BEST)
+        found = _links(pairs, points, corpus, classes, percent)
+        comps = relabelled(comps, connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        release(found)
+        if turn <= BEST:
+            blocks = _apart(blocks, comps)
+    whole = classes.select("cls", "low").join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
     lows = whole.groupBy("comp").agg(F.min("low").alias("component_low"))
     named = materialize(whole.select("cls", "comp").join(lows, "comp"))
-    release(blocks, points, ids)
+    release(blocks, points, chosen, comps)
     return (
         rows.join(named, "cls", "left")
         .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
                 F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_low")).alias("component_id"),
-                F.col("cls").alias("class_id"))
+                F.col("cls").alias("class_id"), F.col("comp").alias("component_class"), F.col("th").alias("text_hash"))
     )
 
 
-def _compared(blocks: DataFrame, points: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) of all blocks, searched in tiles: rows of part i of a block meet part j, for all i <= j."""
-    members = blocks.groupBy("key").agg(F.count("*").alias("members"))
-    tiled = (
-        blocks.join(members, "key").join(points, "cls")
-        .withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("mine", F.pmod(F.hash("cls"), F.col("tiles")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"),
-                F.signum(F.col("mine") - F.col("other")).cast("int").alias("side"), "cls", "comp", "n", "pos", "point")
-        .repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
+def _apart(blocks: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the blocks whose members are in several components: ``block, cls, comp, n, pos``, the block's members and strays, and whether the row is one."""
+    now = materialize(
+        blocks.select("block", "cls", "n", "pos").join(comps, F.col("cls") == F.col("node"), "left")
+        .select("block", "cls", F.coalesce("component", "cls").alias("comp"), "n", "pos")
     )
-    return tiled.mapInArrow(lambda it: _tiles(it, percent, best), "a long, b long").distinct()
+    release(blocks)
+    largest = materialize(
+        now.groupBy("block", "comp").agg(F.count("*").alias("k")).groupBy("block")
+        .agg(F.max_by("comp", F.col("k")).alias("big"), F.max("k").alias("most"), F.sum("k").alias("members")).where("most < members")
+        .select("block", "big", "members", (F.col("members") - F.col("most")).alias("strays"))
+    )
+    out = materialize(now.join(largest, "block").withColumn("stray", F.col("comp") != F.col("big")).drop("big"))
+    release(now, largest)
+    return out
 
 
-def _chosen_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The texts of the chosen rows: by broadcast when the counted ids are few, else by a shuffled join."""
-    return texts.join(small_or_not(chosen, 24), "doc_id").select("cls", "text")
+def _compared(blocks: DataFrame, points: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs of all blocks, searched in tiles: part i of the strays meets part j of all members.
+
+    A block of m members and s strays takes s / TILE copies of its rows and m / TILE of its strays; most take none.
+    """
+    many = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    mine = lambda c: F.pmod(F.hash("cls"), F.col(c))
+    tile = lambda i, j, side: F.struct(i.alias("ti"), j.alias("tj"), F.lit(side).alias("side"))
+    whole = (F.col("ts") == 1) & (F.col("to") == 1)
+    numbers = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    right = F.transform(numbers("ts"), lambda i: tile(i, mine("to"), 1))
+    left = F.transform(numbers("to"), lambda j: tile(mine("ts"), j, -1))
+    both = F.array(tile(F.lit(0), F.lit(0), 0))
+    places = F.when(~F.col("stray"), right).when(whole, both).otherwise(F.concat(left, right))
+    tiled = (
+        blocks.join(points, "cls").withColumn("ts", many("strays")).withColumn("to", many("members")).withColumn("at", F.explode(places))
+        .select("block", "at.ti", "at.tj", "at.side", "stray", "cls", "comp", "n", "pos", "point")
+        .repartition("block", "ti", "tj").sortWithinPartitions("block", "ti", "tj")
+    )
+    return tiled.mapInArrow(lambda it: _tiles(it, percent, best), _PAIR).distinct()
