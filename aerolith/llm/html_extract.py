@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +32,9 @@ CLOSES = {
 }
 _CLOSES_NO_P = frozenset("button caption dd dt head html body label legend li optgroup option tbody td tfoot th thead tr summary select".split())
 
+#: An open paragraph outside of the innermost of these stays open.
+_HOLDS_P = ("button", "table", "td", "th", "caption")
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S
 )
@@ -64,17 +69,19 @@ def _ends(page: str, at: int, tag: str) -> dict[int, int]:
     return out
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
+def parse(page: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
     """Blocks of a page in order, parents first, and its text runs (block, text) in page order.
 
     A run is the text between two block boundaries: inline tags add nothing, a line break is white space.
     Character references are decoded, white space is one space, empty runs are left out. Missing end tags are
     implied as browsers do for paragraphs, list items, table cells and the like; a tag cut by the page's end is dropped.
     Scripts, styles and the like without an end tag run to the page's end, as in browsers; of svg, object, noscript and
-    template only elements with an end tag are skipped.
+    template only elements with an end tag are skipped. Work is linear in the page, however deep it nests. ``labelled``
+    pages carry labels in ``data-y``; in others this attribute, like any but class, id and role, means nothing.
     """
     nodes = [Node("html", (), -1)]
     stack: list[tuple[str, int]] = [("html", 0)]
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack, ascending
     runs: list[tuple[int, str]] = []
     held: list[str] = []
     links = linked = 0
@@ -95,6 +102,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.ends += text[-1] in ".!?…:;\"»”"
         linked = 0
 
+    def shut_from(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -119,11 +133,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        flush()
-                        del stack[k:]
-                        break
+                if places[tag]:
+                    flush()
+                    shut_from(places[tag][-1])
             continue
         if tag in NESTED:
             if tag not in ends:
@@ -144,30 +156,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         flush()
         if tag in CLOSES:
             shut, wall = CLOSES[tag]
-            k = len(stack)
-            while k > 1 and stack[k - 1][0] not in wall:
-                k -= 1
-                if stack[k][0] in shut:
-                    del stack[k:]
-        elif tag not in _CLOSES_NO_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("button", "table", "td", "th", "caption"):
-                    break
+            above = last(wall)
+            first = [x[k] for t in shut for x in (places[t],) if (k := bisect_right(x, above)) < len(x)]
+            if first:
+                shut_from(min(first))
+        elif tag not in _CLOSES_NO_P and last("p") > last(_HOLDS_P):
+            shut_from(last("p"))
         if tag in ("body", "head"):
-            del stack[1:]
+            shut_from(1)
         names, label = (), None
         if "=" in m.group(3):
             found = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(m.group(3))}
             names = tuple(sorted({w for a in ("class", "id", "role") for w in _NAME.findall(found.get(a, "").lower())}))
-            label = int(found["data-y"]) if "data-y" in found else None
+            label = int(found["data-y"]) if labelled and "data-y" in found else None
         if tag in VOID:
             continue
         parent = stack[-1][1]
         nodes.append(Node(tag, names, parent, label))
         nodes[parent].children.append(len(nodes) - 1)
+        places[tag].append(len(stack))
         stack.append((tag, len(nodes) - 1))
         links = 0 if tag in ("nav", "article", "section", "main") else links
     flush()
@@ -329,7 +336,7 @@ def train_tree(pages: list[str], epochs: int = 8, rate: float = 0.25, seed: int
     model = TreeModel({}, {})
     data = []
     for p in pages:
-        nodes, _ = parse(p)
+        nodes, _ = parse(p, labelled=True)
         y = []
         for node in nodes:
             y.append(node.label if node.label is not None else y[node.parent] if node.parent >= 0 else 0)
@@ -376,7 +383,9 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple = ("
     driver from ``labelled`` pages; executors get the weights (a few hundred numbers). A block's text is kept when its content
     marginal is at least one half. Work and memory are linear in a page; nothing crosses pages.
 
-    Null and empty pages, and pages without content, give the empty text; repeated rows are read each; an empty table gives no rows.
+    Null and empty pages, and pages without content, give the empty text; very long and deeply nested pages are read whole, one
+    being the least a task holds; repeated rows are read each; an empty table gives no rows; columns other than ``keep`` and
+    the page are not read, whatever their names.
     """
     model = pages.sparkSession.sparkContext.broadcast(train_tree(labelled or labelled_pages()))
     rows = pages.select(*keep, F.col(html_col).alias("html"))
