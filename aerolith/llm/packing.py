@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from .common import dense_index, materialize, word_count
 
-#: Lengths up to this are told apart exactly; above, bucket boundaries fall on a grid of this many steps an octave.
-EXACT, STEPS = 1024, 512
+#: Lengths up to this are told apart one by one; above, those of one of this many steps an octave are one cell.
+EXACT, STEPS = 1 << 14, 1 << 12
 
 
-def boundary_grid(length):
-    """The candidate boundary at or above a length (a Column): itself up to EXACT, then rounded up to 1/STEPS of its octave."""
+def length_cell(length):
+    """A cell of lengths (a Column), by its upper end: the length itself up to EXACT, then rounded up to 1/STEPS of its octave."""
     octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))
     step = F.greatest(F.pow(F.lit(2.0), octave) / STEPS, F.lit(1.0)).cast("long")
     return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("long")
@@ -63,20 +63,24 @@ def pack(
 ) -> DataFrame:
     """Every row in a padded batch: ``id_col, length, bucket, bucket_len, batch, slot`` and ``carry``'s columns.
 
-    ``length`` is a Column over ``docs`` (default: words of ``text``). The histogram counts every row; the
-    driver sees one number per boundary of the grid, of which there are at most EXACT plus STEPS an octave.
-    Boundaries minimise total padding. Batches of a bucket hold floor(token_budget / bucket_len) rows, at
+    ``length`` is a Column over ``docs`` (default: words of ``text``; give tokens where a batch is to hold at most so many tokens).
+    The histogram counts every row; the driver sees a count and the largest length of each cell, of which there are at most
+    EXACT plus STEPS an octave. Boundaries are lengths of rows and minimise total padding; longer than EXACT, only the largest length
+    of a cell can be one, which pads a row by at most 1 / STEPS of its length more than the best boundaries would.
+    Batches of a bucket hold floor(token_budget / bucket_len) rows, at
     least one; a row longer than the budget is a batch of its own and is not cut. ``batch`` is gapless from
     0 in its bucket, ``slot`` from 0 in its batch; nothing orders a bucket in one task.
-    Null or empty texts have length 0 and the bucket that covers it; repeated rows take slots of their own;
-    an empty table gives no rows.
+
+    Null or empty texts have length 0 and the bucket that covers it; very long texts are measured whole; repeated rows, and rows
+    with equal or null ids, take slots of their own; an empty table gives no rows; columns that neither ``length`` nor ``carry``
+    names are not read, whatever their names.
     """
     length = word_count(F.col("text")) if length is None else length
     rows = materialize(docs.select(
         F.col(id_col).alias("_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length"),
         *[e.alias(f"_c_{n}") for n, e in (carry or {}).items()],
     ))
-    hist = sorted((r[0], r[1]) for r in rows.groupBy(boundary_grid(F.col("length")).alias("b")).agg(F.count("*")).collect())
+    hist = sorted((r[1], r[2]) for r in rows.groupBy(length_cell(F.col("length")).alias("b")).agg(F.max("length"), F.count("*")).collect())
     ends = optimal_boundaries(np.array([b for b, _ in hist], dtype=np.float64), np.array([n for _, n in hist]), buckets) or [0]
     bucket = F.lit(len(ends) - 1)
     for k in range(len(ends) - 2, -1, -1):
