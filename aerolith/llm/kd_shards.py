@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import dense_index, materialize
-
-#: Histogram cells collected at once over all nodes of a level; the driver never holds more.
-CELLS = 1 << 19
+from .common import dense_index, materialize, release, small_or_not
 
-
-@dataclass
-class _Node:
-    ident: int
-    leaves: int
-    first: int
+#: Cells of one node's histogram; a zoom divides a cell by as many again.
+BINS = 1024
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -43,11 +34,13 @@ def kd_shards(
     The leaf count is ``shards``, or total bytes / ``target_bytes`` rounded up. A node of k leaves splits
     its bytes as floor(k/2) to the rest, at the weighted quantile of its widest dimension (range over the
     root's range; the first listed on a tie). Equal values are told apart by a hash of the row's id and
-    text hash, so hot values split as well as any. The quantile is found by three zooming histograms whose sums
-    Spark aggregates; the driver sees at most ``CELLS`` cells of them.
+    text hash, so hot values split as well as any. The quantile is found by three zooming histograms: by value, inside the
+    cell by value again, inside that by the hash. Nodes, histograms and cuts are tables; the driver only counts levels,
+    log2 of the leaves, so their number is not bounded by it.
 
-    Size is the UTF-8 bytes of the text (null: none) plus 1. Null dimensions count as 0, null ids hash
-    like any value, repeated rows stay together or apart but are all kept, an empty table gives no rows.
+    Size is the UTF-8 bytes of the text (null: none; however long) plus 1. Null dimensions count as 0, null ids hash
+    like any value, repeated rows stay together or apart but are all kept, an empty table gives no rows, columns of ``docs``
+    that neither ``dims`` nor ``carry`` names are not read, whatever their names.
     Shards are numbered in tree order; ``slot`` is gapless from 0 in every shard.
     """
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
@@ -57,81 +50,76 @@ def kd_shards(
         *[_number(docs, d).alias(f"_d{i}") for i, d in enumerate(dims)],
         *[e.alias(f"_c_{n}") for n, e in (carry or {}).items()],
     ))
-    spark = docs.sparkSession
-    total, n_rows = rows.agg(F.sum("_size"), F.count("*")).first()
-    leaves = shards or max(1, -(-(total or 0) // (target_bytes or 512 << 20)))
+    ends = [f(f"_d{i}").alias(f"{m}{i}") for i in range(len(dims)) for m, f in (("lo", F.min), ("hi", F.max))]
+    root = rows.agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows"), *ends).first()
+    leaves = shards or max(1, -(-(root["bytes"] or 0) // (target_bytes or 512 << 20)))
+    ranges = [max((root[f"hi{i}"] or 0.0) - (root[f"lo{i}"] or 0.0), 1e-300) for i in range(len(dims))]
+    nodes = docs.sparkSession.range(1).select(F.col("id").alias("_node"), F.lit(leaves).cast("long").alias("leaves"), F.lit(0).cast("long").alias("first"))
     placed = rows.withColumn("_node", F.lit(0).cast("long"))
-    nodes, root_range, depth = [_Node(0, leaves, 0)], None, 0
-    done: dict[int, int] = {0: 0} if leaves == 1 else {}
-    while n_rows and any(n.leaves > 1 for n in nodes):
-        live = [n for n in nodes if n.leaves > 1]
-        stats = {r["_node"]: r for r in placed.groupBy("_node").agg(
-            F.sum("_size").alias("b"),
-            *[f(f"_d{i}").alias(f"{m}{i}") for i in range(len(dims)) for m, f in (("lo", F.min), ("hi", F.max))],
-        ).collect()}
-        if root_range is None:
-            root_range = [max(stats[0][f"hi{i}"] - stats[0][f"lo{i}"], 1e-300) for i in range(len(dims))]
-        bins = max(16, min(1024, CELLS // len(live)))
-        plan = []
-        for n in live:
-            s = stats.get(n.ident)
-            wide = [(s[f"hi{i}"] - s[f"lo{i}"]) / root_range[i] if s else 0.0 for i in range(len(dims))]
-            dim = int(np.argmax(wide))
-            plan.append((n.ident, dim, float(s[f"lo{dim}"]) if s else 0.0, float(s[f"hi{dim}"]) if s else 0.0,
-                         (s["b"] if s else 0) * (n.leaves // 2) / n.leaves))
-        cuts = spark.createDataFrame([(p[0], p[1], p[2], max(p[3] - p[2], 1e-300)) for p in plan], "_node long, _dim int, _lo double, _w double")
-        # ``cuts`` has a row for each live node: no more than the leaves asked for
-        cut_rows = placed.join(F.broadcast(cuts) if len(live) <= 100_000 else cuts, "_node", "left")
-        value = F.col("_d0")
-        for i in range(1, len(dims)):
-            value = F.when(F.col("_dim") == i, F.col(f"_d{i}")).otherwise(value)
-        scaled = (value - F.col("_lo")) / F.col("_w") * bins
-        b1 = F.least(F.floor(scaled), F.lit(bins - 1))
-        b2 = F.least(F.floor((scaled - b1) * bins), F.lit(bins - 1))
-        b3 = F.floor(F.col("_tie") * bins)
-        cut_rows = cut_rows.withColumns({"_b1": b1.cast("int"), "_b2": b2.cast("int"), "_b3": b3.cast("int")})
-        goal = {p[0]: p[4] for p in plan}
-        at = {p[0]: [] for p in plan}
-        for level in range(3):
-            found = cut_rows.where(F.col("_dim").isNotNull())
-            if level:
-                sofar = spark.createDataFrame([(k, *v) for k, v in at.items()], "_node long, " + ", ".join(f"_a{j} int" for j in range(1, level + 1)))
-                found = found.join(F.broadcast(sofar) if len(live) <= 100_000 else sofar, "_node")
-                for j in range(1, level + 1):
-                    found = found.where(F.col(f"_b{j}") == F.col(f"_a{j}"))
-            cells: dict[int, np.ndarray] = {k: np.zeros(bins) for k in at}
-            for node, b, w in found.groupBy("_node", f"_b{level + 1}").agg(F.sum("_size")).collect():
-                cells[node][b] = w
-            for k, w in cells.items():
-                c = np.cumsum(w)
-                b = min(int(np.searchsorted(c, goal[k])), bins - 1)
-                goal[k] -= c[b - 1] if b else 0
-                if level == 2 and w[b] and goal[k] > w[b] / 2:
-                    b += 1  # the nearer end of the last cell
-                at[k].append(b)
-        thresholds = spark.createDataFrame([(k, *v) for k, v in at.items()], "_node long, _t1 int, _t2 int, _t3 int")
-        left = F.struct("_b1", "_b2", "_b3") < F.struct(F.col("_t1").alias("_b1"), F.col("_t2").alias("_b2"), F.col("_t3").alias("_b3"))
-        placed = (
-            cut_rows.join(F.broadcast(thresholds) if len(live) <= 100_000 else thresholds, "_node", "left")
-            .withColumn("_node", F.when(F.col("_dim").isNull(), F.col("_node") * 2).when(left, F.col("_node") * 2).otherwise(F.col("_node") * 2 + 1))
-            .select(rows.columns + ["_node"])
+    for _ in range((leaves - 1).bit_length()):
+        cuts = _cuts(placed, nodes, ends, ranges)
+        right = F.struct("_b1", "_b2", "_b3") >= F.struct(F.col("_a1").alias("_b1"), F.col("_a2").alias("_b2"), F.col("_a3").alias("_b3"))
+        after = materialize(
+            _binned(placed, cuts, len(dims), "left")
+            .withColumn("_node", F.col("_node") * 2 + F.when(F.col("_a1").isNotNull() & right, 1).otherwise(0))
+            .select(placed.columns)
         )
-        depth += 1
-        if depth % 2 == 0:
-            placed = materialize(placed)
-        nxt = []
-        for n in nodes:
-            if n.leaves == 1:
-                nxt.append(_Node(n.ident * 2, 1, n.first))
-            else:
-                k = n.leaves // 2
-                nxt += [_Node(n.ident * 2, k, n.first), _Node(n.ident * 2 + 1, n.leaves - k, n.first + k)]
-        nodes = nxt
-    done = spark.createDataFrame([(n.ident, n.first) for n in nodes], "_node long, _shard int")
-    placed = materialize(placed.join(F.broadcast(done) if len(nodes) <= 100_000 else done, "_node").drop("_node"))
+        release(placed, cuts)
+        placed = after
+        half = F.floor(F.col("leaves") / 2).cast("long")
+        child = lambda k, n, at: F.struct((F.col("_node") * 2 + k).alias("_node"), n.alias("leaves"), at.alias("first"))
+        children = F.when(F.col("leaves") == 1, F.array(child(0, F.col("leaves"), F.col("first")))).otherwise(
+            F.array(child(0, half, F.col("first")), child(1, F.col("leaves") - half, F.col("first") + half)))
+        nodes = materialize(nodes.select(F.explode(children).alias("c")).select("c.*"))
+    named = placed.join(small_or_not(nodes.select("_node", F.col("first").cast("int").alias("_shard")), 24), "_node")
     carried = [f"_c_{n}" for n in carry or {}]
-    out = dense_index(placed.select("_id", "_size", "_shard", "_tie", *carried), n_rows, "_shard", ["_id", "_tie"])
+    placed = materialize(named.select("_id", "_size", "_shard", "_tie", *carried))
+    out = dense_index(placed, root["rows"], "_shard", ["_id", "_tie"])
     return out.select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_shard").alias("shard"), "slot",
         *[F.col(f"_c_{n}").alias(n) for n in carry or {}],
     )
+
+
+def _binned(placed: DataFrame, cuts: DataFrame, dims: int, how: str = "inner") -> DataFrame:
+    """``placed`` with the cuts of its nodes and each row's cells: of the value, inside that cell, and of the tie."""
+    joined = placed.join(small_or_not(cuts, 64), "_node", how)
+    value = F.col("_d0")
+    for i in range(1, dims):
+        value = F.when(F.col("_dim") == i, F.col(f"_d{i}")).otherwise(value)
+    scaled = (value - F.col("_lo")) / F.col("_w") * BINS
+    last = F.lit(BINS - 1)
+    joined = joined.withColumn("_b1", F.least(F.floor(scaled), last).cast("int"))
+    return joined.withColumns({
+        "_b2": F.least(F.floor((scaled - F.col("_b1")) * BINS), last).cast("int"), "_b3": F.floor(F.col("_tie") * BINS).cast("int"),
+    })
+
+
+def _cuts(placed: DataFrame, nodes: DataFrame, ends: list[Column], ranges: list[float]) -> DataFrame:
+    """For every node of several leaves that has rows: its dimension and range, and the first cells ``_a1, _a2, _a3`` of its right side."""
+    dims = range(len(ranges))
+    here = placed.groupBy("_node").agg(F.sum("_size").alias("b"), *ends).join(nodes.where("leaves > 1"), "_node")
+    wide = [(F.col(f"hi{i}") - F.col(f"lo{i}")) / F.lit(ranges[i]) for i in dims]
+    most = F.greatest(*wide) if len(wide) > 1 else wide[0]
+    dim, lo, hi = F.lit(0), F.col("lo0"), F.col("hi0")
+    for i in reversed(dims):
+        dim, lo, hi = (F.when(wide[i] == most, x).otherwise(y) for x, y in ((F.lit(i), dim), (F.col(f"lo{i}"), lo), (F.col(f"hi{i}"), hi)))
+    cuts = materialize(here.select(
+        "_node", dim.alias("_dim"), lo.alias("_lo"), F.greatest(hi - lo, F.lit(1e-300)).alias("_w"),
+        (F.col("b") * F.floor(F.col("leaves") / 2) / F.col("leaves")).alias("_goal"),
+    ))
+    for level in (1, 2, 3):
+        found = _binned(placed, cuts, len(ranges))
+        for k in range(1, level):
+            found = found.where(F.col(f"_b{k}") == F.col(f"_a{k}"))
+        cells = found.groupBy("_node", "_goal", F.col(f"_b{level}").alias("at")).agg(F.sum("_size").alias("w"))
+        upto = Window.partitionBy("_node").orderBy("at")  # at most BINS rows a node
+        reached = cells.withColumn("c", F.sum("w").over(upto)).where(F.col("c") >= F.col("_goal"))
+        picked = reached.groupBy("_node").agg(F.min("at").alias("at"), F.min_by(F.col("c") - F.col("w"), F.col("at")).alias("before"), F.min_by("w", "at").alias("w"))
+        rest = F.col("_goal") - F.col("before")
+        at = F.col("at") if level < 3 else F.col("at") + F.when(rest > F.col("w") / 2, 1).otherwise(0)  # the nearer end of the last cell
+        nxt = materialize(cuts.join(picked, "_node").select(
+            "_node", "_dim", "_lo", "_w", rest.alias("_goal"), *[f"_a{k}" for k in range(1, level)], at.cast("int").alias(f"_a{level}")))
+        release(cuts)
+        cuts = nxt
+    return cuts
