@@ -9,11 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of one Arrow batch, where the session doesn't say: documents are far longer than the rows Spark's 10,000 are meant for.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, once for each application, whatever their working folders."""
+    """Make this package importable on every executor, once for each application, whatever their working folders; bound Arrow batches."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
