@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import EARTH_RADIUS_M, M_PER_DEG, SCORE_BINS, Camera
+from ..schemas import BIN_LABELS, EARTH_RADIUS_M, M_PER_DEG, SCORE_BINS, Camera
 
 
 def rounded(x: Column, digits: int) -> Column:
@@ -94,9 +94,10 @@ def score(error_m: Column) -> Column:
 
 
 def bin_label(error_m: Column) -> Column:
-    out = F.when(error_m.isNull(), F.lit("NOT DETECTED")).otherwise(F.lit(f"> {SCORE_BINS[-1][0]:.0f} m"))
-    for edge, _ in reversed(SCORE_BINS):
-        out = F.when(error_m <= F.lit(edge), F.lit(f"<= {edge:.0f} m")).otherwise(out)
+    """The label of an error's bin; edges are inclusive, as in :func:`score`."""
+    out = F.when(error_m.isNull(), F.lit("NOT DETECTED")).otherwise(F.lit(BIN_LABELS[-1]))
+    for (edge, _), label in reversed(list(zip(SCORE_BINS, BIN_LABELS))):
+        out = F.when(error_m <= F.lit(edge), F.lit(label)).otherwise(out)
     return out
 
 

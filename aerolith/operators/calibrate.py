@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..schemas import CALIBRATION_GUARD, FIELD_CAMERA_FLAT, M_PER_DEG, MOUNT_NED, Camera
 from .scratch import written
@@ -58,46 +59,73 @@ def simplex_minimum(
     return points[best], float(values[best])
 
 
-def squared_error(offsets: np.ndarray, rays: np.ndarray, attitude: np.ndarray, height: np.ndarray, uav: np.ndarray, truth: np.ndarray, mount: np.ndarray) -> float:
-    """Sum of squared ground errors in metres; rays too flat to meet the ground are left out of the sum."""
-    turned = rays @ mount.T @ euler_matrix(*offsets).T
-    w = np.einsum("nij,nj->ni", attitude, turned)
+def squared_error(offsets: np.ndarray, rays: np.ndarray, angles: np.ndarray, height: np.ndarray, uav: np.ndarray, truth: np.ndarray, mount: np.ndarray | None) -> float:
+    """Sum of squared ground errors in metres; rays too flat to meet the ground are left out of the sum.
+
+    With a ``mount`` the offsets turn what it has turned. Without one they are the mount themselves and are added to the
+    attitude's ``angles`` too, and the first component is east: the older order, which applies them twice.
+    """
+    turned = (rays if mount is None else rays @ mount.T) @ euler_matrix(*offsets).T
+    added = angles + offsets if mount is None else angles
+    w = np.einsum("ijn,nj->ni", euler_matrix(*added.T), turned)
     ok = np.abs(w[:, 2]) >= CALIBRATION_GUARD
     t = height[ok] / w[ok, 2]
-    lat = uav[ok, 0] + t * w[ok, 0] / M_PER_DEG
-    lon = uav[ok, 1] + t * w[ok, 1] / (M_PER_DEG * np.cos(np.radians(uav[ok, 0])))
+    north, east = (w[ok, 1], w[ok, 0]) if mount is None else (w[ok, 0], w[ok, 1])
+    lat = uav[ok, 0] + t * north / M_PER_DEG
+    lon = uav[ok, 1] + t * east / (M_PER_DEG * np.cos(np.radians(uav[ok, 0])))
     n = (lat - truth[ok, 0]) * M_PER_DEG
     e = (lon - truth[ok, 1]) * M_PER_DEG * np.cos(np.radians(truth[ok, 0]))
     return float((n * n + e * e).sum())
 
 
-def calibrate_mount(observations: DataFrame, cam: Camera = FIELD_CAMERA_FLAT, mount: tuple = MOUNT_NED) -> DataFrame:
+COLUMNS = ("u", "v", "altitude", "lat_uav", "lon_uav", "roll_deg", "pitch_deg", "yaw_deg", "true_lat", "true_lon")
+
+
+def observed(observations: DataFrame, mount: tuple | None) -> DataFrame:
+    """The columns a fit reads, without rows that lack one; for the older order height and position are their means over all rows."""
+    rows = observations.select(*[observations[c].cast("double") for c in COLUMNS]).dropna()
+    if mount is None:
+        means = rows.agg(*[F.avg(c).alias(f"_{c}") for c in ("altitude", "lat_uav", "lon_uav")])
+        rows = rows.crossJoin(F.broadcast(means)).withColumns({c: F.col(f"_{c}") for c in ("altitude", "lat_uav", "lon_uav")}).select(*COLUMNS)  # one row
+    return rows
+
+
+def squared_errors(rows: DataFrame, points: list[np.ndarray], cam: Camera, mount: tuple | None) -> list[float]:
+    """The objective at each of ``points`` (offsets in radians), summed over all ``rows`` in Spark; only sums reach the driver."""
+    turn = None if mount is None else np.array(mount, dtype=float)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            rays = np.stack([(a[:, 0] - cam.cx) / cam.fx, (a[:, 1] - cam.cy) / cam.fy, np.ones(len(a))], axis=1)
+            angles = np.radians(a[:, 5:8])
+            yield pa.record_batch([pa.array([squared_error(x, rays, angles, a[:, 2], a[:, 3:5], a[:, 8:10], turn)]) for x in points], names=[f"e{i}" for i in range(len(points))])
+
+    parts = rows.mapInArrow(sums, ", ".join(f"e{i} double" for i in range(len(points)))).collect()
+    return [math.fsum(p[i] for p in parts) for i in range(len(points))]
+
+
+def mount_objective(observations: DataFrame, offsets_deg: list[tuple], cam: Camera = FIELD_CAMERA_FLAT, mount: tuple | None = MOUNT_NED) -> DataFrame:
+    """``roll_deg, pitch_deg, yaw_deg, squared_m2`` of given offsets: what :func:`calibrate_mount` minimizes."""
+    rows = written(observed(observations, mount))
+    found = squared_errors(rows, [np.radians(o) for o in offsets_deg], cam, mount)
+    return observations.sparkSession.createDataFrame([(*map(float, o), e) for o, e in zip(offsets_deg, found)], "roll_deg double, pitch_deg double, yaw_deg double, squared_m2 double")
+
+
+def calibrate_mount(observations: DataFrame, cam: Camera = FIELD_CAMERA_FLAT, mount: tuple | None = MOUNT_NED) -> DataFrame:
     """One row ``roll_deg, pitch_deg, yaw_deg, rms_m, n_rows``: the mount's offsets that fit the observations best.
 
     ``observations`` has ``u, v, altitude, lat_uav, lon_uav, roll_deg, pitch_deg, yaw_deg, true_lat, true_lon``.
     All of them count: they are written once, each step of the search sums squared errors over them in
     Spark, and only sums reach the driver. The root mean square counts skipped rows too. No rows give no
-    result row.
+    result row. Without a ``mount`` the older order is fitted, see :func:`squared_error`.
     """
     spark = observations.sparkSession
-    cols = ["u", "v", "altitude", "lat_uav", "lon_uav", "roll_deg", "pitch_deg", "yaw_deg", "true_lat", "true_lon"]
     schema = "roll_deg double, pitch_deg double, yaw_deg double, rms_m double, n_rows long"
-    rows = written(observations.select(*[observations[c].cast("double") for c in cols]).dropna())
+    rows = written(observed(observations, mount))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], schema)
-    turn = np.array(mount, dtype=float)
-
-    def several(points: list[np.ndarray]) -> list[float]:
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-                rays = np.stack([(a[:, 0] - cam.cx) / cam.fx, (a[:, 1] - cam.cy) / cam.fy, np.ones(len(a))], axis=1)
-                attitude = np.moveaxis(euler_matrix(*np.radians(a[:, 5:8].T)), 2, 0)
-                yield pa.record_batch([pa.array([squared_error(x, rays, attitude, a[:, 2], a[:, 3:5], a[:, 8:10], turn)]) for x in points], names=[f"e{i}" for i in range(len(points))])
-
-        parts = rows.mapInArrow(sums, ", ".join(f"e{i} double" for i in range(len(points)))).collect()
-        return [math.fsum(p[i] for p in parts) for i in range(len(points))]
-
+    several = lambda points: squared_errors(rows, points, cam, mount)
     best, value = simplex_minimum(None, np.zeros(3), several=several)
     return spark.createDataFrame([(*(float(x) for x in np.degrees(best)), math.sqrt(value / n), n)], schema)

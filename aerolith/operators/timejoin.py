@@ -86,3 +86,19 @@ def interpolating_join(
             v = F.pmod(a + F.col("_share") * arc, F.lit(360.0))
         out.append(F.when(t0.isNull(), b).when(t1.isNull(), a).otherwise(v).alias(c))
     return near.select(*frames.columns, *out)
+
+
+def last_known(df: DataFrame, by: str, order: str, values: dict[str, Column], bucket: float, before_row: bool = False) -> DataFrame:
+    """Add each of ``values`` as it last was (not null) at or before a row, or before it, in ``order`` inside ``by``.
+
+    Rows meet inside (``by``, bucket of ``order``), so a flight that holds most rows is still many tasks; what a bucket
+    leaves is carried over by a window over one row a bucket. ``order`` is a number, unique in its ``by``.
+    """
+    named = df.withColumns({f"_v_{n}": c for n, c in values.items()}).withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket)))
+    w = Window.partitionBy(by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before_row else 0)
+    inside = named.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(w) for n in values})
+    left = named.groupBy(by, "_bucket").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}") for n in values])
+    over = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.select(by, "_bucket", *[F.last(f"_e_{n}", ignorenulls=True).over(over).alias(f"_o_{n}") for n in values])
+    joined = inside.join(left, [by, "_bucket"])
+    return joined.select(*df.columns, *[F.coalesce(f"_i_{n}", f"_o_{n}").alias(n) for n in values])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import count_and_confidence, median_position, weighted_position
 from ..operators.dbscan import clustered_position
-from ..operators.localize import confident, every_nth_frame, localize, localize_nadir
-from ..operators.timejoin import interpolating_join
-from ..schemas import FIELD_CAMERA, NED, Camera, Convention
+from ..operators.localize import confident, detector_for, every_nth_frame, localize, localize_nadir
+from ..operators.timejoin import exact_join, interpolating_join
+from ..schemas import FIELD_CAMERA, NED, SWAPPED, Camera, Convention
 
 
 def nadir_pipeline(detections: DataFrame, cam: Camera = FIELD_CAMERA, least_frames: int = 3) -> DataFrame:
@@ -42,6 +44,21 @@ def run_recording(detections: DataFrame, frames: DataFrame, telemetry: DataFrame
     return mean.join(count_and_confidence(found, ["flag_id"]), "flag_id")
 
 
+def run_video(
+    frames: DataFrame, telemetry: DataFrame, detect: Callable[[DataFrame], DataFrame], cam: Camera = FIELD_CAMERA, how: Convention = SWAPPED,
+    every: int = 5, above_m: float = 90.0, by: str = "flight_id", **more,
+) -> DataFrame:
+    """A video's one position: every fifth frame that has all telemetry, detector by height, magnetic heading corrected, all estimates pooled and clustered.
+
+    ``frames`` has ``by, frame_idx``; ``telemetry`` ``lat, lon, h, roll_deg, pitch_deg, yaw_mag_deg`` of frames. ``detect`` gets the frames with
+    telemetry and ``detector`` and adds ``det_id, u, v, confidence``, a row for each detection.
+    """
+    seen = exact_join(every_nth_frame(frames, every), telemetry, [by, "frame_idx"], ("lat", "lon", "h", "roll_deg", "pitch_deg", "yaw_mag_deg"))
+    placed = seen.withColumnsRenamed({"lat": "lat_uav", "lon": "lon_uav", "h": "altitude", "yaw_mag_deg": "yaw_deg"})
+    found = localize(confident(detect(detector_for(placed, above_m)), 0.5), cam, how)
+    return clustered_position(found, by, "det_id", **more)
+
+
 def pooled_position(estimates: DataFrame, **more) -> DataFrame:
     """All detections as one group, whatever their target."""
     return clustered_position(estimates.withColumn("flag_id", F.lit(0).cast("long")), **more)

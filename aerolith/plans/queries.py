@@ -12,15 +12,16 @@ from ..functions import geo
 from ..functions.geo import rounded
 from ..functions.lens import distort, undistort
 from ..operators import aggregate as agg
+from ..operators import calibrate
 from ..operators.calibrate import calibrate_mount as fit_mount
 from ..operators.dbscan import clustered_position, dbscan
 from ..operators.detect import blobs_to_detections, detections_from_boxes
 from ..operators.localize import central_crop, confident, detector_for, every_nth_frame, in_frame, localize, localize_nadir, project_to_image, without_tilt
-from ..operators.timejoin import exact_join, interpolating_join, nearest_join
-from ..schemas import ABS_GUARD, DECLINATION_DEG, FIELD_CAMERA, FIELD_CAMERA_FLAT, M_PER_DEG_COARSE, NED, SIGNED_GUARD, SWAPPED
+from ..operators.timejoin import exact_join, interpolating_join, last_known, nearest_join
+from ..schemas import ABS_GUARD, DECLINATION_DEG, FIELD_CAMERA, FIELD_CAMERA_FLAT, M_PER_DEG_COARSE, MOUNT_NED, NED, SIGNED_GUARD, SWAPPED
 from ..sources.fixtures import view
 from ..sources.simulate import simulate_flight
-from ..sources.telemetry import camera_from_mapping, checkerboard, frame_table, frames_from_messages, normalize_telemetry, state_rows
+from ..sources.telemetry import camera_from_mapping, checkerboard, frame_table, frames_from_messages, normalize_telemetry, number_frames, state_rows
 from . import pipelines, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,14 +77,15 @@ def undistort_pixel(spark, d):
 
 @query
 def distort_roundtrip(spark, d):
-    """Largest and mean distance, in micro-units of the image plane, after bending a ray and straightening it again."""
+    """Largest and mean distance, in millionths of the image plane's unit, after bending a ray and straightening it again; and how far it was bent."""
     df = in_frame(_det(spark, d))
     x, y = geo.pixel_to_ray(F.col("u"), F.col("v"), FIELD_CAMERA)
     df = df.withColumns({"x0": x, "y0": y})
     xd, yd = distort(F.col("x0"), F.col("y0"), FIELD_CAMERA)
     df = undistort(df.withColumns({"xd": xd, "yd": yd}), "xd", "yd", FIELD_CAMERA)
-    off = F.greatest(F.abs(F.col("xn") - F.col("x0")), F.abs(F.col("yn") - F.col("y0")))
-    return df.agg(F.count("*").alias("n"), (F.max(off) < 1e-6).alias("close"))
+    off = lambda a, b: F.greatest(F.abs(F.col(a) - F.col("x0")), F.abs(F.col(b) - F.col("y0"))) * F.lit(1e6)
+    out = df.agg(F.count("*").alias("n"), F.max(off("xn", "yn")).alias("max_off"), F.avg(off("xn", "yn")).alias("mean_off"), F.avg(off("xd", "yd")).alias("mean_bend"))
+    return _r(out, max_off=3, mean_off=3, mean_bend=3)
 
 
 @query
@@ -127,9 +129,9 @@ def rotation_elements(spark, d):
 
 @query
 def cog_heading(spark, d):
-    t = view(spark, d, "telemetry_v").where("lat is not null")
-    w = Window.partitionBy("flight_id").orderBy("t_ms")
-    h = geo.course_over_ground(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
+    t = view(spark, d, "telemetry_v").where("lat is not null").select("flight_id", "t_ms", "lat", "lon")
+    t = last_known(t, "flight_id", "t_ms", {"lat0": F.col("lat"), "lon0": F.col("lon")}, 60_000.0, before_row=True)
+    h = geo.course_over_ground(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
     return t.select("flight_id", "t_ms", rounded(h, 6).alias("heading_rad"))
 
 
@@ -293,15 +295,15 @@ def dbscan_no_cluster_fallback(spark, d):
 
 
 @query
-def pooled_all_flags(spark, d):
-    """One group of all detections: their weighted mean, which the SQL of this name also takes; for the largest cluster see ``pooled_largest_cluster``."""
+def pooled_weighted_mean(spark, d):
+    """One group of all detections: their weighted mean, which is what clustering falls back to; see ``pooled_all_flags``."""
     pooled = localize(_det(spark, d), FIELD_CAMERA_FLAT).withColumn("flag_id", F.lit(0).cast("long"))
     return _positions(agg.weighted_position(pooled, ["flag_id"]), "n_frames")
 
 
 @query
-def pooled_largest_cluster(spark, d):
-    """All detections as one group, clustered: the weighted mean of the largest cluster. No SQL; tests hold it against brute force."""
+def pooled_all_flags(spark, d):
+    """All detections as one group, clustered: the weighted mean of the largest cluster. Its size takes the grid from a few thousand detections on."""
     return _positions(pipelines.pooled_position(localize(_det(spark, d), FIELD_CAMERA_FLAT)), "n_frames", "n_used", "cluster")
 
 
@@ -341,6 +343,13 @@ def telemetry_pivot_by_frame(spark, d):
     return _r(frames_from_messages(view(spark, d, "messages_v")), lat=7, lon=7)
 
 
+@query
+def telemetry_by_time(spark, d):
+    """Messages numbered into frames of twenty seconds by their time, and pivoted."""
+    messages = view(spark, d, "messages_v").withColumn("t", F.col("t") / F.lit(1000.0))
+    return _r(frames_from_messages(number_frames(messages, 0.05)), lat=7, lon=7)
+
+
 @query
 def telemetry_forward_fill(spark, d):
     return _r(state_rows(view(spark, d, "messages_v")), lat=7, lon=7)
@@ -383,6 +392,11 @@ def mission_total(spark, d):
     return _r(reports.mission_total(_report(spark, d)), share=6)
 
 
+@query
+def error_budget(spark, d):
+    return _r(reports.error_budget(spark), err_m=6)
+
+
 @query
 def error_budget_rss(spark, d):
     return _r(reports.root_sum_square(reports.error_budget(spark)), rss_m=6, rss_averaged_m=6)
@@ -438,9 +452,9 @@ def inject_false_alarms(spark, d):
 
 
 @query
-def scenario_matrix(spark, d):
-    """Median error of each target under six filters of the given detections, of all headings; for the nine simulated scenarios see ``scenario_flights``."""
-    table = F.broadcast(spark.createDataFrame(reports.SCENARIOS, "scenario string, heading double, height double, least double, attitude boolean, frames int"))
+def filter_matrix(spark, d):
+    """Median error of each target under six filters of the given detections, of all headings; for the nine simulated scenarios see ``scenario_matrix``."""
+    table = F.broadcast(spark.createDataFrame(reports.FILTERS, "scenario string, height double, least double, attitude boolean, frames int"))
     det = _det(spark, d).join(table, (F.coalesce("confidence", F.lit(1.0)) >= F.col("least")) & (F.abs(F.col("altitude") - F.col("height")) <= 10.0))
     for c in ("roll_deg", "pitch_deg"):
         det = det.withColumn(c, F.when(F.col("attitude"), F.col(c)).otherwise(F.lit(0.0)))
@@ -456,8 +470,36 @@ def scenario_matrix(spark, d):
 
 @query
 def scenario_flights(spark, d):
-    """The nine scenarios, each with a simulated flight of its own. Their noise is hashed by Spark, so there is no SQL."""
-    return _r(reports.scenario_flights(spark), error_m=3)
+    """The detections that each of the nine scenarios keeps of its own simulated flight."""
+    out = reports.simulated_detections(reports.flight_plans(spark))
+    return _r(out.select("scenario", "frame_idx", "u", "v", "altitude", "pitch_deg", "confidence"), u=4, v=4, altitude=6, pitch_deg=6, confidence=6)
+
+
+@query
+def scenario_matrix(spark, d):
+    """The nine scenarios: simulate, detect, first n, median of the confident, score."""
+    return _r(reports.run_plans(reports.flight_plans(spark)), error_m=3)
+
+
+@query
+def full_mission(spark, d):
+    """Five flags, three passes each, pooled by flag."""
+    return _r(reports.run_plans(reports.mission_plans(spark), "flag"), error_m=3)
+
+
+@query
+def scenario_labels(spark, d):
+    """Number, short title and remark of each scenario's name, and its error as text."""
+    parts = F.split("scenario", r"\. ", 2)
+    text = F.split(parts[1], ",", 2)
+    out = reports.run_plans(reports.flight_plans(spark))
+    return out.select(parts[0].cast("int").alias("number"), F.trim(text[0]).alias("title"), F.trim(F.coalesce(F.get(text, F.lit(1)), F.lit(""))).alias("remark"),
+                      F.format_string("%.1f m", geo.rounded(F.col("error_m"), 1)).alias("error_text"))
+
+
+@query
+def stress_tests(spark, d):
+    return _r(reports.stress_tests(spark), value=3, limit=3)
 
 
 @query
@@ -493,20 +535,46 @@ def full_pipeline_approach3(spark, d):
     return _scored(spark, d, pipelines.clustered_pipeline(_det(spark, d), FIELD_CAMERA_FLAT))
 
 
+@query
+def video_run(spark, d):
+    """Each flight as a video: frames of twenty seconds, every fifth taken, exact telemetry, detector by height, one pooled and clustered position."""
+    messages = view(spark, d, "messages_v").withColumn("t", F.col("t") / F.lit(1000.0))
+    numbered = number_frames(messages, 0.05)
+    det = _det(spark, d).select((F.col("flag_id") % 10).alias("flight_id"), F.floor(F.col("frame_idx") / 200).cast("long").alias("frame_idx"), F.col("frame_idx").alias("det_id"), "u", "v", "confidence")
+    found = pipelines.run_video(numbered.select("flight_id", "frame_idx").distinct(), frames_from_messages(numbered), lambda f: f.join(det, ["flight_id", "frame_idx"]))
+    return _r(found.select("flight_id", "lat", "lon", "n_frames", "n_used", "cluster"), lat=7, lon=7)
+
+
 @query
 def recording_run(spark, d):
-    """Detections on frames, telemetry interpolated, five frames at least: the runner's plan."""
+    """Detections on frames, telemetry interpolated, three frames at least and every frame: the runner's plan, on data too thin for its own 5 and 3."""
     frames = view(spark, d, "frames_v")
     det = _det(spark, d).select("frame_idx", "flag_id", "u", "v", "confidence")
     return _r(pipelines.run_recording(det, frames, view(spark, d, "telemetry_v"), FIELD_CAMERA_FLAT, NED, every=1, least_frames=3), lat=7, lon=7, mean_confidence=6)
 
 
+def _observations(spark, d):
+    return in_frame(_det(spark, d)).where("pitch_deg < 80").withColumns({
+        "true_lat": F.col("lat_uav") + F.col("dn") / F.lit(111320.0), "true_lon": F.col("lon_uav") + F.col("de") / (F.lit(111320.0) * F.cos(F.radians("lat_uav")))})
+
+
 @query
 def calibrate_mount(spark, d):
     """Recovers a planted mount offset; a simplex search is no SQL, so tests hold it against the planted angles."""
-    obs = in_frame(_det(spark, d)).where("pitch_deg < 80").withColumns({
-        "true_lat": F.col("lat_uav") + F.col("dn") / F.lit(111320.0), "true_lon": F.col("lon_uav") + F.col("de") / (F.lit(111320.0) * F.cos(F.radians("lat_uav")))})
-    return fit_mount(obs)
+    return fit_mount(_observations(spark, d))
+
+
+@query
+def mount_objective(spark, d):
+    """What the fit minimizes, per observation and at given offsets; and the older order's, which applies offsets twice."""
+    obs = _observations(spark, d)
+    offsets = [(0.0, 0.0, 0.0), (1.0, -2.0, 3.0), (-0.5, 0.5, 10.0)]
+    out = None
+    for name, mount in (("mount", MOUNT_NED), ("older", None)):
+        part = calibrate.mount_objective(obs, offsets, mount=mount).withColumn("form", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    n = obs.agg(F.count("*").alias("n"))
+    return out.crossJoin(n).select("form", "roll_deg", "pitch_deg", "yaw_deg", rounded(F.sqrt(F.col("squared_m2") / F.col("n")), 4).alias("rms_m"))  # one row
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ FRAME_WIDTH, FRAME_HEIGHT = 1920, 1080
 SIGNED_GUARD, ABS_GUARD, CALIBRATION_GUARD = 0.17, 0.1, 0.05
 DBSCAN_EPS_M, DBSCAN_MIN_POINTS = 15.0, 3
 SCORE_BINS = ((20.0, 15), (30.0, 12), (40.0, 9), (50.0, 6), (60.0, 3))
+BIN_LABELS = ("< 20 m", "20–30 m", "30–40 m", "40–50 m", "50–60 m", "> 60 m")
 MOUNT_NED = ((0, -1, 0), (1, 0, 0), (0, 0, 1))
 MOUNT_SWAPPED = ((0, 1, 0), (1, 0, 0), (0, 0, 1))
 TELEMETRY_ALIASES = {

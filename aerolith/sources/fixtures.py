@@ -35,7 +35,7 @@ truth_v as (select distinct flag_id, flag_lat, flag_lon from detections_v union
 telemetry_v as (select flag_id % 10 as flight_id, event_id * 100e0 as t_ms, flag_lat-dn/111320e0 as lat, flag_lon-de/96360e0 as lon,
   h as alt_m, roll as roll_deg, pitch as pitch_deg, yaw as yaw_deg from tel where event_type = 'view'),
 frames_v as (select event_id as frame_idx, flag_id % 10 as flight_id, event_id * 100e0 as t_ms from tel where event_type = 'purchase'),
-messages_v as (select flag_id % 10 as flight_id, cast(floor(event_id / 10e0) as bigint) as frame_idx, event_id * 100e0 as t,
+messages_v as (select flag_id % 10 as flight_id, cast(floor(event_id / 10e0) as bigint) as frame_idx, event_id * 100e0 as t, event_id as seq,
   case event_type when 'click' then 'GPS' when 'view' then 'ATT' else 'BARO' end as type,
   cast(floor(flag_lat * 1e7) as bigint) as lat_e7, cast(floor(flag_lon * 1e7) as bigint) as lon_e7, roll, pitch, yaw, h as alt
   from tel where event_type in ('click', 'view', 'signup'))"""

@@ -1,4 +1,4 @@
-"""Simulated flights and detections, distributed; noise is seeded by row, and absent where amplitudes are 0."""
+"""Simulated flights and detections, distributed; noise follows from row and seed alone, and is absent where amplitudes are 0."""
 
 from __future__ import annotations
 
@@ -11,40 +11,66 @@ from ..functions import geo
 from ..operators.localize import in_frame, project_to_image
 from ..schemas import FIELD_CAMERA_FLAT, M_PER_DEG, NED, Camera, Convention
 
+#: Modulus of the noise, a prime below 2^31, so that products of two steps stay within a long in every engine.
+PRIME = 2147483647
 
-def _noise(seed: int, channel: int) -> Column:
-    """A standard normal number from row and seed alone, so reruns and other partitionings agree."""
-    unit = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(channel), F.lit(k)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    return F.sqrt(F.lit(-2.0) * F.log(unit(0))) * F.cos(F.lit(2 * math.pi) * unit(1))
+
+def uniform(row: Column, seed: Column, channel: int, k: int) -> Column:
+    """A number in (0, 1) from row and seed, in whole numbers that any SQL engine computes alike."""
+    x = F.pmod(F.pmod(row, F.lit(PRIME)) * 1000003 + seed * 7919 + F.lit(channel * 104729 + k * 15485863 + 12345), F.lit(PRIME))
+    for add, turn in ((0, 65521), (11, 32749)):
+        x = F.pmod(x * 48271 + add, F.lit(PRIME))
+        x = F.pmod(x * (F.pmod(x, F.lit(turn)) + 12345), F.lit(PRIME))
+    return (x + F.lit(0.5)) / F.lit(float(PRIME))
+
+
+def gauss(row: Column, seed: Column, channel: int) -> Column:
+    """A standard normal number, by the cosine of Box and Muller."""
+    return F.sqrt(F.lit(-2.0) * F.log(uniform(row, seed, channel, 0))) * F.cos(F.lit(2 * math.pi) * uniform(row, seed, channel, 1))
+
+
+def simulate_flights(
+    plans: DataFrame, speed_m_s: float = 18.0, pass_duration_s: float = 20.0, fps: float = 30.0, alt_noise_m: float = 1.5, att_noise_deg: float = 1.0,
+    lon_scale: float = NED.lon_scale,
+) -> DataFrame:
+    """A straight pass for every row of ``plans``, with its target at the middle; altitude ripples by half a metre.
+
+    ``plans`` has ``flag_lat, flag_lon, heading, height, wind, gps_noise`` and ``seed``; its columns stay. Adds ``frame_idx, time_s,
+    lat_uav, lon_uav, altitude, roll_deg, pitch_deg, yaw_deg`` and the true offset from the target, ``_n, _e``.
+    """
+    frames = plans.withColumn("frame_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(pass_duration_s * fps) - 1).cast("long"))))
+    t = F.col("frame_idx") / F.lit(fps)
+    north, east = geo.straight_line_offset((t - F.lit(pass_duration_s / 2)) * F.lit(speed_m_s), F.col("heading"))
+    n = lambda k: gauss(F.col("frame_idx"), F.col("seed"), k)
+    return frames.withColumns({
+        "time_s": t, "_n": north, "_e": east,
+        "lat_uav": F.col("flag_lat") + (north + n(0) * F.col("gps_noise")) / F.lit(M_PER_DEG), "lon_uav": F.col("flag_lon") + (east + n(1) * F.col("gps_noise")) / F.lit(lon_scale),
+        "altitude": F.col("height") + F.lit(0.5) * F.sin(F.lit(0.3) * t) + n(2) * F.lit(alt_noise_m),
+        "roll_deg": F.lit(0.0) + n(3) * F.lit(att_noise_deg), "pitch_deg": F.col("wind") + n(4) * F.lit(att_noise_deg), "yaw_deg": F.col("heading") + n(5) * F.lit(att_noise_deg),
+    })
 
 
 def simulate_flight(
-    spark: SparkSession, flag_lat: float, flag_lon: float, altitude_m: float = 80.0, heading_deg: float = 0.0, speed_m_s: float = 18.0,
-    pass_duration_s: float = 20.0, fps: float = 30.0, gps_noise_m: float = 3.0, alt_noise_m: float = 1.5, att_noise_deg: float = 1.0,
-    wind_pitch_deg: float = 2.0, seed: int = 42, lon_scale: float = NED.lon_scale,
+    spark: SparkSession, flag_lat: float, flag_lon: float, altitude_m: float = 80.0, heading_deg: float = 0.0, gps_noise_m: float = 3.0,
+    wind_pitch_deg: float = 2.0, seed: int = 42, **more,
 ) -> DataFrame:
-    """A straight pass with the target at its middle; altitude ripples by half a metre."""
-    t = F.col("id") / F.lit(fps)
-    north, east = geo.straight_line_offset((t - F.lit(pass_duration_s / 2)) * F.lit(speed_m_s), F.lit(heading_deg))
-    n = lambda k, a: _noise(seed, k) * F.lit(a) if a else F.lit(0.0)
-    return spark.range(int(pass_duration_s * fps)).select(
-        F.col("id").alias("frame_idx"), t.alias("time_s"),
-        (F.lit(flag_lat) + (north + n(0, gps_noise_m)) / F.lit(M_PER_DEG)).alias("lat_uav"), (F.lit(flag_lon) + (east + n(1, gps_noise_m)) / F.lit(lon_scale)).alias("lon_uav"),
-        (F.lit(altitude_m) + F.lit(0.5) * F.sin(F.lit(0.3) * t) + n(2, alt_noise_m)).alias("altitude"),
-        n(3, att_noise_deg).alias("roll_deg"), (F.lit(wind_pitch_deg) + n(4, att_noise_deg)).alias("pitch_deg"), (F.lit(heading_deg) + n(5, att_noise_deg)).alias("yaw_deg"),
-        north.alias("_n"), east.alias("_e"),
-    )
+    """One flight; see :func:`simulate_flights`."""
+    plan = spark.range(1).select(*[F.lit(float(v)).alias(n) for n, v in (
+        ("flag_lat", flag_lat), ("flag_lon", flag_lon), ("heading", heading_deg), ("height", altitude_m), ("wind", wind_pitch_deg), ("gps_noise", gps_noise_m))], F.lit(seed).cast("long").alias("seed"))
+    made = simulate_flights(plan, **more)
+    return made.select("frame_idx", "time_s", "lat_uav", "lon_uav", "altitude", "roll_deg", "pitch_deg", "yaw_deg", "_n", "_e")
 
 
 def simulate_detections(
     flight: DataFrame, cam: Camera = FIELD_CAMERA_FLAT, how: Convention = NED, bbox_noise_px: float = 3.0, detection_rate: float = 0.8,
-    conf_noise: float = 0.15, seed: int = 42,
+    conf_noise: float = 0.15, seed: int | Column = 43,
 ) -> DataFrame:
     """Pixels of the target in the frames that see it, kept at ``detection_rate``, with jitter and a confidence."""
-    seen = in_frame(project_to_image(flight.withColumns({"_n": -F.col("_n"), "_e": -F.col("_e"), "id": F.col("frame_idx")}), "_n", "_e", cam, how))
-    seen = seen.withColumn("id", F.col("frame_idx"))
-    kept = seen.where(F.pmod(F.xxhash64("id", F.lit(seed), F.lit("kept")), F.lit(1 << 20)) / F.lit(float(1 << 20)) <= F.lit(detection_rate))
+    s = F.lit(seed).cast("long") if isinstance(seed, int) else seed
+    n = lambda k: gauss(F.col("frame_idx"), s, k)
+    seen = in_frame(project_to_image(flight.withColumns({"_n": -F.col("_n"), "_e": -F.col("_e")}), "_n", "_e", cam, how))
+    kept = seen.where(uniform(F.col("frame_idx"), s, 13, 0) <= F.lit(detection_rate))
     return kept.withColumns({
-        "u": F.col("u") + _noise(seed, 10) * F.lit(bbox_noise_px), "v": F.col("v") + _noise(seed, 11) * F.lit(bbox_noise_px),
-        "confidence": F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.lit(0.75) + _noise(seed, 12) * F.lit(conf_noise))),
-    }).drop("id")
+        "u": F.col("u") + n(10) * F.lit(bbox_noise_px), "v": F.col("v") + n(11) * F.lit(bbox_noise_px),
+        "confidence": F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.lit(0.75) + n(12) * F.lit(conf_noise))),
+    })

@@ -6,8 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.timejoin import last_known
 from ..schemas import DECLINATION_DEG, GROUND_TRUTH, TELEMETRY_ALIASES, TELEMETRY_REQUIRED, Camera
 
 
@@ -35,27 +35,37 @@ def read_phone_csv(spark: SparkSession, path: str) -> DataFrame:
     return normalize_telemetry(spark.read.option("header", True).csv(path))
 
 
+def number_frames(messages: DataFrame, fps: float, by: str = "flight_id", time: str = "t") -> DataFrame:
+    """Set ``frame_idx`` from ``time`` (seconds) since the flight's first message, truncated."""
+    start = messages.groupBy(by).agg(F.min(time).alias("_start"))
+    return messages.drop("frame_idx").join(start, by).withColumn("frame_idx", ((F.col(time) - F.col("_start")) * F.lit(fps)).cast("long")).drop("_start")
+
+
 def frames_from_messages(messages: DataFrame, by: str = "flight_id") -> DataFrame:
     """Last GPS, ATT and BARO values of every frame key, one sparse row a frame; partial frames stay partial.
 
-    ``messages`` has ``frame_idx, t, type, lat_e7, lon_e7, roll, pitch, yaw, alt``.
+    ``messages`` has ``frame_idx, t, type, lat_e7, lon_e7, roll, pitch, yaw, alt``; the last in the log's order wins, ``seq`` if
+    there is such a column, else ``t``.
     """
-    last = lambda c, kind: F.max_by(F.when(F.col("type") == kind, F.col(c)), F.when(F.col("type") == kind, F.col("t")))
+    order = "seq" if "seq" in messages.columns else "t"
+    last = lambda c, kind: F.max_by(F.when(F.col("type") == kind, F.col(c)), F.when(F.col("type") == kind, F.col(order)))
     return messages.groupBy(by, "frame_idx").agg(
         (last("lat_e7", "GPS") / F.lit(1e7)).alias("lat"), (last("lon_e7", "GPS") / F.lit(1e7)).alias("lon"), last("alt", "BARO").alias("h"),
         last("roll", "ATT").alias("roll_deg"), last("pitch", "ATT").alias("pitch_deg"), last("yaw", "ATT").alias("yaw_mag_deg"),
     )
 
 
-def state_rows(messages: DataFrame, by: str = "flight_id", declination_deg: float = DECLINATION_DEG) -> DataFrame:
-    """A row after every message once all three kinds were seen: last known position, attitude and height."""
-    w = Window.partitionBy(by).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = lambda c, kind: F.last(F.when(F.col("type") == kind, F.col(c)), ignorenulls=True).over(w)
-    rows = messages.select(
-        by, "t", (last("lat_e7", "GPS") / F.lit(1e7)).alias("lat"), (last("lon_e7", "GPS") / F.lit(1e7)).alias("lon"), last("alt", "BARO").alias("alt_m"),
-        last("roll", "ATT").alias("roll_deg"), last("pitch", "ATT").alias("pitch_deg"), (last("yaw", "ATT") + F.lit(declination_deg)).alias("yaw_deg"),
-    )
-    return rows.dropna(subset=["lat", "lon", "alt_m", "roll_deg", "pitch_deg", "yaw_deg"])
+def state_rows(messages: DataFrame, by: str = "flight_id", declination_deg: float = DECLINATION_DEG, order: str = "seq", bucket: float = 4096.0) -> DataFrame:
+    """A row after every message once all three kinds were seen: last known position, attitude and height.
+
+    ``order`` is the messages' number in the log, unique in a flight; state is carried over buckets of it, see :func:`last_known`.
+    """
+    of = lambda c, kind: F.when(F.col("type") == kind, F.col(c))
+    known = last_known(messages.select(by, "t", order, "type", "lat_e7", "lon_e7", "alt", "roll", "pitch", "yaw"), by, order, {
+        "lat": of("lat_e7", "GPS") / F.lit(1e7), "lon": of("lon_e7", "GPS") / F.lit(1e7), "alt_m": of("alt", "BARO"),
+        "roll_deg": of("roll", "ATT"), "pitch_deg": of("pitch", "ATT"), "yaw_deg": of("yaw", "ATT") + F.lit(declination_deg)}, bucket)
+    fields = ["lat", "lon", "alt_m", "roll_deg", "pitch_deg", "yaw_deg"]
+    return known.select(by, "t", *fields).dropna(subset=fields)
 
 
 def camera_from_mapping(spec: dict) -> Camera:

@@ -13,7 +13,7 @@ from aerolith.operators.calibrate import euler_matrix, simplex_minimum
 from aerolith.operators.dbscan import clustered_position, dbscan
 from aerolith.operators.localize import confident, detector_for, every_nth_frame, localize, localize_nadir, project_to_image, without_tilt
 from aerolith.operators.timejoin import interpolating_join, nearest_join
-from aerolith.schemas import FIELD_CAMERA, IDEAL_CAMERA, M_PER_DEG, NED, SWAPPED
+from aerolith.schemas import FIELD_CAMERA, FIELD_CAMERA_FLAT, IDEAL_CAMERA, M_PER_DEG, NED, SWAPPED
 from aerolith.sources.telemetry import camera_from_mapping, checkerboard, normalize_telemetry, read_phone_csv, write_results
 
 DET = "frame_idx long, flag_id long, u double, v double, altitude double, lat_uav double, lon_uav double, roll_deg double, pitch_deg double, yaw_deg double, confidence double"
@@ -80,6 +80,7 @@ def test_scores_and_labels(spark):
     e = spark.createDataFrame([(x,) for x in (10.0, 20.0, 25.0, 35.0, 45.0, 55.0, 70.0, None)], "e double")
     assert [r[0] for r in e.select(geo.score(F.col("e"))).collect()] == [15, 15, 12, 9, 6, 3, 0, 0]
     assert [r[0] for r in e.select(geo.bin_label(F.col("e"))).collect()][-2:] == ["> 60 m", "NOT DETECTED"]
+    assert [r[0] for r in e.select(geo.bin_label(F.col("e"))).collect()][1:3] == ["< 20 m", "20–30 m"]
 
 
 def test_haversine_forms_agree(spark):
@@ -197,8 +198,7 @@ def test_every_observation_takes_part_in_the_mount_fit(spark):
     r = calibrate_mount(obs).first()
     a = np.array(obs.collect(), dtype=float)
     rays = np.stack([(a[:, 0] - cam.cx) / cam.fx, (a[:, 1] - cam.cy) / cam.fy, np.ones(n)], axis=1)
-    attitude = np.stack([euler_matrix(*np.radians(x)) for x in a[:, 5:8]])
-    x, v = simplex_minimum(lambda p: squared_error(p, rays, attitude, a[:, 2], a[:, 3:5], a[:, 8:10], np.array(MOUNT_NED, dtype=float)), np.zeros(3))
+    x, v = simplex_minimum(lambda p: squared_error(p, rays, np.radians(a[:, 5:8]), a[:, 2], a[:, 3:5], a[:, 8:10], np.array(MOUNT_NED, dtype=float)), np.zeros(3))
     assert r.n_rows == n and r.rms_m == pytest.approx(math.sqrt(v / n), abs=1e-9)
     assert np.allclose([r.roll_deg, r.pitch_deg, r.yaw_deg], np.degrees(x), atol=1e-3)
 
@@ -215,7 +215,7 @@ def test_pool_of_all_targets_gives_its_largest_cluster(spark, sf):
     sizes = {int(k): int((label == k).sum()) for k in set(label[label >= 0].tolist())}
     best = min(sizes, key=lambda k: (-sizes[k], k))
     used = label == best
-    r = QUERIES["pooled_largest_cluster"](spark, sf).first()
+    r = QUERIES["pooled_all_flags"](spark, sf).first()
     assert (r.n_frames, r.n_used, r.cluster) == (len(o), int(used.sum()), best) and r.n_used < r.n_frames
     assert r.lat == pytest.approx((lat * c)[used].sum() / c[used].sum(), abs=2e-7) and r.lon == pytest.approx((lon * c)[used].sum() / c[used].sum(), abs=2e-7)
     pool = e.withColumn("flag_id", F.lit(0).cast("long"))
@@ -243,13 +243,88 @@ def test_nine_scenarios_fly_as_their_table_says(spark, sf):
     from aerolith.plans import reports
     from aerolith.plans.queries import QUERIES
 
-    rows = {r.scenario: r for r in QUERIES["scenario_flights"](spark, sf).collect()}
+    rows = {r.scenario: r for r in QUERIES["scenario_matrix"](spark, sf).collect()}
     assert {k: r.n_dets for k, r in rows.items()} == {f[0]: f[-1] for f in reports.FLIGHTS} and len(rows) == 9
-    dets = reports.simulated_detections(spark).collect()
+    dets = reports.simulated_detections(reports.flight_plans(spark)).collect()
     for name, heading, altitude, wind, _, attitude, frames in reports.FLIGHTS:
         mine = [r for r in dets if r.scenario == name]
         assert abs(np.mean([r.yaw_deg for r in mine]) - heading) < 4 and abs(np.mean([r.altitude for r in mine]) - altitude) < 6
         assert abs(np.mean([r.pitch_deg for r in mine]) - (wind if attitude else 0.0)) < (4 if attitude else 1e-9)
         assert attitude == (rows[name].error_m < 3) and (rows[name].points == 15) == (rows[name].error_m <= 20)
-    blind = reports.scenario_flights(spark, (("blind", 0.0, -80.0, 0.0, 1.0, True, 5),)).first()
+    blind = reports.run_plans(reports.flight_plans(spark, (("blind", 0.0, -80.0, 0.0, 1.0, True, 5),))).first()
     assert (blind.n_dets, blind.error_m, blind.points) == (0, None, 0)
+
+
+def test_stress_tests_pass_with_their_own_limits(spark):
+    from aerolith.plans import reports
+
+    got = reports.stress_tests(spark).collect()
+    assert {r.test for r in got} == {f"ST-{k}" for k in range(1, 9)} and len(got) == 18 and all(r.passes for r in got)
+    assert {r.limit for r in got if r.test == "ST-1"} == {8.0} and {r.limit for r in got if r.test == "ST-4"} == {20.0, 30.0}
+
+
+def test_noise_is_normal_and_of_the_row_alone(spark):
+    from aerolith.sources.simulate import gauss, uniform
+
+    row = spark.range(20_000).select(gauss(F.col("id"), F.lit(7), 3).alias("g"), gauss(F.col("id"), F.lit(8), 3).alias("o"), uniform(F.col("id"), F.lit(7), 3, 0).alias("u"))
+    r = row.agg(F.avg("g"), F.stddev("g"), F.corr("g", "o"), F.avg("u"), F.min("u"), F.max("u"), F.corr("g", F.col("u"))).first()
+    assert abs(r[0]) < 0.03 and abs(r[1] - 1) < 0.03 and abs(r[2]) < 0.03 and abs(r[3] - 0.5) < 0.01 and 0 < r[4] < r[5] < 1
+
+
+def test_simulated_detections_lead_back_to_the_target(spark):
+    from aerolith.sources.simulate import simulate_detections, simulate_flight
+
+    flight = simulate_flight(spark, 30.06, 31.26, heading_deg=90.0, gps_noise_m=0.0, att_noise_deg=0.0, alt_noise_m=0.0)
+    seen = simulate_detections(flight, bbox_noise_px=0.0)
+    e = localize(seen, FIELD_CAMERA_FLAT).select(geo.haversine(F.col("est_lat"), F.col("est_lon"), F.lit(30.06), F.lit(31.26)).alias("e")).agg(F.max("e"), F.count("*")).first()
+    assert e[0] < 1e-3 and 0.6 * 108 < e[1] < 120  # some 4 s of 30 frames see it, four in five are kept
+
+
+def test_last_known_values_cross_buckets(spark):
+    from aerolith.operators.timejoin import last_known
+
+    rows = [(f, float(k), k * 10 if k % 37 == 3 else None) for f in ("a", "b") for k in range(200)]
+    for before in (False, True):
+        got = last_known(spark.createDataFrame(rows, "f string, k double, v long"), "f", "k", {"x": F.col("v")}, 8.0, before_row=before).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            seen = [k for k in range(200) if k % 37 == 3 and (k < r.k or (k == r.k and not before))]
+            assert r.x == (seen[-1] * 10 if seen else None)
+
+
+def test_detectors_by_height_and_strategy(spark):
+    import pandas as pd
+
+    from aerolith.operators.detect import DETECTION, detect_by_height, detector
+
+    frames = spark.createDataFrame([(k, 80.0 + 5 * k) for k in range(5)], "frame_idx long, altitude double")
+
+    def found(conf):
+        def f(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"frame_idx": part["frame_idx"], "flag_id": 0, "u": 1.0, "v": 2.0, "confidence": conf})
+        return f
+
+    def missing(part):
+        raise ImportError("no tiler here")
+
+    assert {r.frame_idx: r.confidence for r in detect_by_height(frames, found(0.5), found(0.9), DETECTION).collect()} == {0: 0.5, 1: 0.5, 2: 0.5, 3: 0.9, 4: 0.9}
+    assert {r.confidence for r in detect_by_height(frames, found(0.5), missing, DETECTION).collect()} == {0.5}
+    boxes = spark.createDataFrame([(1, 0, 0.0, 0.0, 4.0, 4.0, 0.8)], "frame_idx long, box_idx long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    blobs = spark.createDataFrame([(1, 200.0, 10.0, 50.0, 60.0)], "frame_idx long, area double, m00 double, m10 double, m01 double")
+    assert detector(boxes, blobs).first().confidence == 0.8 and detector(None, blobs).first().u == detector(boxes, blobs, use_colour=True).first().u == 5.0
+
+
+def test_sinks_and_truth_files(spark, tmp_path):
+    from aerolith.sources.telemetry import load_camera, read_ground_truth, save_camera, write_csv
+
+    save_camera(FIELD_CAMERA, str(tmp_path / "c.yaml"))
+    assert load_camera(str(tmp_path / "c.yaml")) == FIELD_CAMERA
+    write_csv(spark.createDataFrame([("a", 1.5, 2.5), ("b", None, 3.5)], "name string, lat double, lon double"), str(tmp_path / "t"))
+    assert sorted(map(tuple, read_ground_truth(spark, str(tmp_path / "t")).collect()), key=str) == [("a", 1.5, 2.5), ("b", None, 3.5)]
+
+
+def test_the_older_mount_form_applies_offsets_twice(spark, sf):
+    from aerolith.plans.queries import QUERIES
+
+    got = {(r.form, r.roll_deg): r.rms_m for r in QUERIES["mount_objective"](spark, sf).collect()}
+    assert len(got) == 6 and got[("mount", 1.0)] != got[("older", 1.0)]

@@ -33,7 +33,7 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_filters_reach_the_scan_and_columns_are_pruned(spark, sf):
+def test_columns_are_pruned_at_the_scan(spark, sf):
     plan = QUERIES["agg_median"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double,props:string>" in plan
 
