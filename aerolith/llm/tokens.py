@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,13 +18,19 @@ from .textkernel import slices
 _SAFE = re.compile(r"(?= \S)")
 #: A space that white space or the end follows, so that a plain split at spaces would not cut safely.
 _UNSAFE_SPACE = re.compile(r" (?=\s|\Z)")
+#: Pieces longer than this are cut further: before other white space that a visible character follows (a line's end is a
+#: pre-token then), and where a letter or digit ends before another visible character, which always begins a pre-token.
+LONG = 1024
+_INNER = re.compile(r"(?=[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]\S)|(?<=[^\W_])(?=[^\w\s]|_)")
+#: A single space between visible characters other than the mark that sentencepiece has for it and puts before every word, the first included.
+_SINGLE = re.compile("(?<=[^\\s\u2581]) (?=[^\\s\u2581])")
 #: Most pieces whose lengths a worker remembers; then it starts anew.
 _REMEMBERED = 1 << 18
-_loaded: dict[str, object] = {}
+_loaded: dict[str, tuple] = {}
 
 
-def load(path: str):
-    """The tokenizer of ``path``, once a worker: ``tokenizers`` for .json, ``sentencepiece`` for .model."""
+def load(path: str) -> tuple[Callable[[list[str]], list[int]], Callable[[str], list[str]] | None]:
+    """The tokenizer of ``path``, once a worker: ``tokenizers`` for .json, ``sentencepiece`` for .model; and how it may cut texts."""
     if path not in _loaded:
         if path.endswith(".json"):
             import os
@@ -33,17 +41,36 @@ def load(path: str):
             t = Tokenizer.from_file(path)
             t.no_truncation()
             t.no_padding()
-            _loaded[path] = lambda texts: [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            special = _byte_level(t.to_str())
+            _loaded[path] = lambda texts: [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)], special and partial(pieces, special=special)
         elif path.endswith(".model"):
             import sentencepiece
 
             p = sentencepiece.SentencePieceProcessor(model_file=path)
-            _loaded[path] = lambda texts: [len(x) for x in p.encode(texts, num_threads=1)]
+            _loaded[path] = lambda texts: [len(x) for x in p.encode(texts, num_threads=1)], _SINGLE.split if _marks_words(p) else None
         else:
             raise ValueError(f"no library for {path}")
     return _loaded[path]
 
 
+def _byte_level(spec: str) -> re.Pattern | None:
+    """A pattern of the special strings of a tokenizer whose pre-tokens may be cut at; None for any other."""
+    spec = json.loads(spec)
+    before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in added):
+        return None
+    return re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
+
+
+def _marks_words(p) -> bool:
+    """Whether no piece of a sentencepiece model reaches from one word into the next, and the first word is marked like the others."""
+    mark = "\u2581"
+    names = [p.id_to_piece(k) for k in range(p.get_piece_size())]
+    apart = all(mark not in n[1:] or not n.strip(mark) for n in names)
+    return apart and p.encode("a a", out_type=str) == 2 * p.encode("a", out_type=str) and p.encode("a", out_type=str)[0].startswith(mark)
+
+
 class _Lengths(dict):
     """Token counts of pieces; each distinct piece of a batch is encoded once, together with the batch's others."""
 
@@ -58,22 +85,26 @@ class _Lengths(dict):
         self.update(zip(new, self.encode(new)))
 
 
-def pieces(text: str) -> list[str]:
-    """A text cut at every safe boundary; joined again they are the text."""
+def pieces(text: str, special: re.Pattern = re.compile(r"(?!)")) -> list[str]:
+    """A text cut at every safe boundary; joined again they are the text. Long pieces that hold a ``special`` string are not cut further."""
     if _UNSAFE_SPACE.search(text):
-        return _SAFE.split(text)
-    head, *rest = text.split(" ")
-    return [head, *map(" ".__add__, rest)]
+        found = _SAFE.split(text)
+    else:
+        head, *rest = text.split(" ")
+        found = [head, *map(" ".__add__, rest)]
+    if len(text) > LONG and any(len(p) > LONG for p in found):
+        found = [q for p in found for q in ([p] if len(p) <= LONG or special.search(p) else _INNER.split(p))]
+    return found
 
 
-def _counts(batches: Iterator[pa.RecordBatch], path: str, batch_bytes: int, cut: bool) -> Iterator[pa.RecordBatch]:
-    encode = load(path)
+def _counts(batches: Iterator[pa.RecordBatch], path: str, batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    encode, cut = load(path)
     lengths = _Lengths(encode)
     for batch in batches:
         for part in slices(batch, "text", batch_bytes):
             texts = [t or "" for t in part.column("text").to_pylist()]
             if cut:
-                found = [pieces(t) for t in texts]
+                found = [cut(t) for t in texts]
                 lengths.learn(found)
                 n = [sum(map(lengths.__getitem__, p)) for p in found]
             else:
@@ -90,23 +121,18 @@ def token_counts(
     """``id_col, n_bytes, n_tokens, over_limit`` of every whole text, as the library of ``path`` counts them.
 
     No begin, end or added tokens, no truncation or padding; special strings inside texts are handled as the
-    library does by default. Rows are encoded in batches of about ``batch_bytes``. For byte-level .json
-    tokenizers texts of any length are cut before spaces that a visible character follows, where pre-tokens
-    begin anyway; a batch's distinct pieces are encoded once and their counts added. Others get whole texts.
+    library does by default. Rows are encoded in batches of about ``batch_bytes``, and a batch's distinct pieces once.
 
-    Null texts count as empty, with 0 tokens; repeated rows are counted each; an empty table gives no rows.
+    Texts are cut where no token reaches over. Byte-level .json tokenizers: before spaces that a visible character follows; a
+    piece still longer than ``LONG`` also before other white space and at the end of letters and digits, so that lines
+    and text without spaces are cut at punctuation. A .model whose pieces end with the word: at single spaces. A single run
+    of letters has no safe boundary and goes whole, as do texts for other tokenizers.
+
+    Null texts count as empty, with 0 tokens; very long texts are counted whole, one being the least a task holds; repeated rows are
+    counted each; an empty table gives no rows; other columns of ``docs`` are not read, whatever their names.
     The file must be readable at ``path`` on every executor.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    cut = path.endswith(".json") and _byte_level(path)
-    out = rows.mapInArrow(lambda it: _counts(it, path, batch_bytes, cut), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(lambda it: _counts(it, path, batch_bytes), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
-
-
-def _byte_level(path: str) -> bool:
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    return (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer")
