@@ -323,22 +323,24 @@ def _rows(batches: Iterator[pa.RecordBatch], model: Crf) -> Iterator[pa.RecordBa
             kept = {c: part.column(c) for c in part.schema.names if c != "text"}
             counts = [pa.array([sum(s[1] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
             yield pa.record_batch([
-                *kept.values(), *counts, pa.array([hashlib.sha256(_written(b).encode()).hexdigest() for b in base]), pa.array([_written(e) for e in every]),
-            ], names=[*kept, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                *kept.values(), *counts, pa.array([hashlib.sha256(_written(b).encode()).hexdigest() for b in base]),
+                pa.array([_written(e) for e in every]), pa.array([len(e) for e in every], pa.int64()),
+            ], names=[*kept, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list | None = None) -> DataFrame:
-    """Spans of personal data in every whole text: ``id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
+    """Spans of personal data in every whole text: ``id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans``.
 
-    The counts and ``base_sha256`` are of the checked patterns; ``spans`` has these and what the random field
-    adds where no base span lies. The field learns from the small ``table`` on the driver, and goes to executors as weights.
+    The counts by kind and ``base_sha256`` are of the checked patterns; ``spans``, and their number, has these and what the
+    random field adds where no base span lies. The field learns from the small ``table`` on the driver, and goes to executors as weights.
     It decodes whole runs of words near digits or an @, however long, in padded numpy batches.
 
-    Null and empty texts have no spans, counts of 0 and the hash of the empty string; repeated rows are
-    searched each; an empty table gives no rows; offsets are code points, ends exclusive.
+    Null and empty texts have no spans, counts of 0 and the hash of the empty string; very long texts are searched whole, one
+    being the least a task holds; repeated rows are searched each; an empty table gives no rows; other columns of ``docs`` are not
+    read, whatever their names; offsets are code points, ends exclusive.
     """
     model = docs.sparkSession.sparkContext.broadcast(train_crf(table or labelled_table()))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    schema = f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long"
     return rows.mapInArrow(lambda it: _rows(it, model.value), schema)
