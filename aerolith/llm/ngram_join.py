@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,27 @@ GROUPS, TILE, FANOUT, BEST = 64, 2048, 16, 1
 FINE_BITS = 20
 
 
-def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Naming:
+    """How sets get their classes: by a first hash, or by a second one where sets of one first hash (``split``) are known to differ."""
+
+    bits: int = 64
+    split: frozenset = frozenset()
+
+    def hashes(self, s: np.ndarray) -> tuple[int | None, int | None]:
+        """Two independent hashes of a set's shingles and their number, the second of 64 bits; none for the empty set."""
+        if not len(s):
+            return None, None
+        x = s ^ U(len(s))
+        a, b = mix(x).sum(dtype=U), mix(x * U(0xC2B2AE3D27D4EB4F) + U(0x165667B19E3779F9)).sum(dtype=U)
+        return int((a >> U(64 - self.bits)).view(np.int64)), int(b.view(np.int64))
+
+    def of(self, s: np.ndarray) -> int | None:
+        a, b = self.hashes(s)
+        return b if a in self.split else a
+
+
+def _classes(batches: Iterator[pa.RecordBatch], words: int, naming: Naming) -> Iterator[pa.RecordBatch]:
     """Id, text hash, set size and the set's two hashes of every row; at the end this task's sketch of shingle counts."""
     from pyspark import TaskContext
 
@@ -44,7 +65,7 @@ def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             n, cls, chk, seen = [], [], [], []
             for s in shingle_sets(part.column("text"), words):
                 n.append(len(s))
-                c, k = _hashes_of(s)
+                c, k = naming.hashes(s)
                 cls.append(c)
                 chk.append(k)
                 seen.append(s)
@@ -80,7 +101,7 @@ def _ranked(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "sketch": pa.array([ranks.tobytes()], pa.binary())})
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, rank: bytes, split: frozenset) -> Iterator[pa.RecordBatch]:
+def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, rank: bytes, naming: Naming) -> Iterator[pa.RecordBatch]:
     """(key, class, set size, position) for the rarest shingles of each class this task meets, keys in the order of rarity."""
     rarity = np.frombuffer(rank, dtype=np.uint8)
     met: set[int] = set()
@@ -90,7 +111,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, ra
             for s in shingle_sets(part.column("text"), words):
                 if not len(s):
                     continue
-                c = _class_of(s, split)
+                c = naming.of(s)
                 if c in met:
                     continue
                 met.add(c)
@@ -108,21 +129,6 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], words: int, percent: int, ra
                 ], names=["key", "cls", "n", "pos"])
 
 
-def _hashes_of(s: np.ndarray) -> tuple[int | None, int | None]:
-    """Two independent 64-bit hashes of a set's shingles and their number; none for the empty set."""
-    if not len(s):
-        return None, None
-    x = s ^ U(len(s))
-    a, b = mix(x).sum(dtype=U), mix(x * U(0xC2B2AE3D27D4EB4F) + U(0x165667B19E3779F9)).sum(dtype=U)
-    return int(a.view(np.int64)), int(b.view(np.int64))
-
-
-def _class_of(s: np.ndarray, split: frozenset) -> int | None:
-    """A set's class: its first hash, or the second where sets of one first hash are known to differ."""
-    a, b = _hashes_of(s)
-    return b if a in split else a
-
-
 def _packed(s: np.ndarray) -> bytes:
     """A fine count vector: the groups of a sorted set in order, with repeats, as differences of one to three bytes."""
     d = np.diff((s >> U(64 - FINE_BITS)).astype(np.int64), prepend=0)
@@ -144,7 +150,7 @@ def _unpacked(raw: np.ndarray) -> np.ndarray:
     return (x << 32) | (np.arange(len(x)) - np.searchsorted(x, x))
 
 
-def _chosen(batches: Iterator[pa.RecordBatch], words: int, split: frozenset, made: dict) -> Iterator[pa.RecordBatch]:
+def _chosen(batches: Iterator[pa.RecordBatch], words: int, naming: Naming, made: dict) -> Iterator[pa.RecordBatch]:
     """Of rows (cls, text) the columns of ``made``, functions of the set; a class once a task.
 
     A row whose text is of another class (a clash of text hashes) gives nothing.
@@ -154,7 +160,7 @@ def _chosen(batches: Iterator[pa.RecordBatch], words: int, split: frozenset, mad
         for part in slices(batch, "text"):
             cls, out = [], [[] for _ in made]
             for c, s in zip(part.column("cls").to_pylist(), shingle_sets(part.column("text"), words)):
-                if c not in met and c == _class_of(s, split):
+                if c not in met and c == naming.of(s):
                     met.add(c)
                     cls.append(c)
                     for x, f in zip(out, made.values()):
@@ -328,16 +334,16 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Itera
 class _Corpus:
     """Whole texts by class: what the classes chosen so far are made of, each read from one row that holds it."""
 
-    def __init__(self, texts: DataFrame, words: int, split: frozenset):
-        self.texts, self.words, self.split = texts, words, split
+    def __init__(self, texts: DataFrame, words: int, naming: Naming):
+        self.texts, self.words, self.naming = texts, words, naming
 
     def of(self, chosen: DataFrame, made: dict) -> DataFrame:
         """A written table ``cls`` and the columns of ``made`` for the classes of ``chosen`` (``cls, low, th``)."""
         c = small_or_not(chosen.select("cls", F.col("low").alias("_low"), F.col("th").alias("_th")), 32)
         # by broadcast when the counted classes are few, else by a shuffled join
         rows = self.texts.join(c, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_low"))).select("cls", "text")
-        words, split = self.words, self.split
-        out = materialize(rows.mapInArrow(lambda it: _chosen(it, words, split, made), "cls long, " + ", ".join(f"{n} binary" for n in made)))
+        words, naming = self.words, self.naming
+        out = materialize(rows.mapInArrow(lambda it: _chosen(it, words, naming, made), "cls long, " + ", ".join(f"{n} binary" for n in made)))
         if out.count() == chosen.count():
             return out
         once = materialize(out.dropDuplicates(["cls"]))  # a repeated row was met by several tasks
@@ -376,7 +382,7 @@ def _with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, first_bits: int = 64,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id`` (smallest id reachable by links), ``class_id``, ``component_class`` and ``text_hash``.
 
@@ -384,7 +390,7 @@ def jaccard_components(
     A-Z lower-cased. Rows of equal sets are one class, so copies never multiply work.
 
     1. A scan gives every row its set size and class (two 64-bit hashes; a first hash that two sets share gives way to
-       the second), and a sketch of all shingles' counts.
+       the second; ``first_bits`` below 64 makes such clashes common, for tests), and a sketch of all shingles' counts.
     2. Every class sends its rarest 1 - percent/100 shingles (and one more). Shingles of one class end; those with the
        same members are one block, so a passage that documents share is one block and not one for each of its shingles.
     3. Every member of a block is verified against two pivots, its smallest and its largest class: linear in the rows.
@@ -408,7 +414,7 @@ def jaccard_components(
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64(text_or_empty("text")))
     first = materialize(texts.mapInArrow(
-        lambda it: _classes(it, words), "doc_id long, th long, n long, cls long, chk long, block int, salt int, sketch binary"))
+        lambda it: _classes(it, words, Naming(first_bits)), "doc_id long, th long, n long, cls long, chk long, block int, salt int, sketch binary"))
     shape = "block int, sketch binary"
     ranks = (
         first.where("block is not null").select("block", "salt", "sketch")
@@ -427,6 +433,7 @@ def jaccard_components(
     hashed = materialize(hashed)
     # different sets of one 64-bit hash: about n^2 / 2^65 of n classes, three of 10^10
     split = frozenset(r[0] for r in hashed.where("chk <> chk2").select("cls").collect())
+    naming = Naming(first_bits, split)
     rows = first.where("block is null").select("doc_id", "th", "n", "cls", "chk")
     classes = hashed.select("cls", "n", "low", "th")
     if split:
@@ -435,10 +442,10 @@ def jaccard_components(
         classes = materialize(again.where("cls is not null").groupBy("cls").agg(
             F.min("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("th", "doc_id").alias("th"), F.min("th").alias("any_th"),
         ).withColumn("th", F.coalesce("th", "any_th")).drop("any_th"))
-    corpus = _Corpus(texts, words, split)
+    corpus = _Corpus(texts, words, naming)
 
     sent = texts.where("text is not null").select("text").mapInArrow(
-        lambda it: _prefix_rows(it, words, percent, rank.value, split), "key long, cls long, n int, pos int")
+        lambda it: _prefix_rows(it, words, percent, rank.value, naming), "key long, cls long, n int, pos int")
     shared = materialize(sent.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key"))
     met = materialize(sent.join(shared, "key", "left_semi").groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
     rank.destroy()  # nothing is computed from it any more: what follows reads written tables

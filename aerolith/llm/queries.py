@@ -92,6 +92,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_join": r"""
+        with recursive w as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) as word,
+            generate_subscripts(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), 1) as pos from documents),
+        five as (select doc_id, pos, count(*) over (partition by doc_id) as n, concat_ws(' ', word, lead(word, 1) over p, lead(word, 2) over p, lead(word, 3) over p, lead(word, 4) over p) as s
+          from w window p as (partition by doc_id order by pos)),
+        sh as (select distinct doc_id, s from five where pos <= n - 4 or (n < 5 and pos = 1)),
+        size as (select doc_id, count(*) as n from sh group by doc_id),
+        both_ as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+        link as (select a, b from both_ join size x on x.doc_id = a join size y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+        reach as (select a as src, a as dst from link union select r.src, l.b from reach r join link l on l.a = r.dst),
+        low as (select src, min(dst) as component from reach group by src)
+        select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(l.component, d.doc_id) as component_id
+        from documents d left join size s using (doc_id) left join low l on l.src = d.doc_id""",
     "op8_exact_dedup": r"""
         with t as (select doc_id, coalesce(text, '') as text,
                      regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
