@@ -268,8 +268,8 @@ def _sequences(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-def found_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
-    """For each text the base spans, and all spans: the base ones and those of the model that overlap none of them."""
+def model_spans(texts: list[str], model: Crf) -> list[list[tuple[int, int, int]]]:
+    """For each text the (start, kind index, end) of what the random field finds on its own."""
     runs, owner = [], []
     for k, t in enumerate(texts):
         for s in _sequences(t):
@@ -296,10 +296,15 @@ def found_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
                 start, stop = a + _core(text[a : spans[first][1]])[0], c + _core(text[c:d])[1]
                 if start < stop:
                     more.setdefault(owner[i], []).append((start, kind, stop))
+    return [more.get(k, []) for k in range(len(texts))]
+
+
+def found_spans(texts: list[str], model: Crf) -> list[tuple[list, list]]:
+    """For each text the base spans, and all spans: the base ones and those of the model that overlap none of them."""
     out = []
-    for k, t in enumerate(texts):
+    for t, own in zip(texts, model_spans(texts, model)):
         base = base_spans(t)
-        extra = [x for x in more.get(k, ()) if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
+        extra = [x for x in own if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
         out.append((base, sorted(base + extra)))
     return out
 

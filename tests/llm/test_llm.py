@@ -19,7 +19,8 @@ from aerolith.llm.kd_shards import kd_shards
 from aerolith.llm.mixing import mix_sources, sainte_lague, source_targets
 from aerolith.llm.ngram_join import CountTree, _packed, _unpacked, jaccard_components
 from aerolith.llm.packing import optimal_boundaries, pack
-from aerolith.llm.textkernel import shingle_sets
+from aerolith.llm.queries import ORACLES, QUERIES
+from aerolith.llm.textkernel import shingle_sets, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, cls string, n string, size string, length string, comp string"
@@ -94,6 +95,46 @@ def test_jaccard_components_match_brute_force(spark, rows):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == near_groups(rows)
 
 
+def near_groups_by_index(rows):
+    """:func:`near_groups` over pairs that share a shingle only."""
+    s = sets_of(rows)
+    at, shared = {}, {}
+    for k, x in enumerate(s):
+        for y in x:
+            at.setdefault(y, []).append(k)
+    for v in at.values():
+        for pair in itertools.combinations(v, 2):
+            shared[pair] = shared.get(pair, 0) + 1
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 75 * (len(s[a]) + len(s[b]) - n):
+            up[find(b)] = find(a)
+    low = {}
+    for k, (i, _, _) in enumerate(rows):
+        low[find(k)] = min(low.get(find(k), i), i)
+    return sorted((i, len(s[k]), low[find(k)] if s[k] else i) for k, (i, _, _) in enumerate(rows))
+
+
+def test_jaccard_components_of_the_whole_table_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = QUERIES["op2_ngram_join"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_groups_by_index([(r.doc_id, r.text, None) for r in docs.collect()])
+
+
+def test_sets_of_one_first_hash_are_told_apart(spark):
+    rng = random.Random(4)
+    base = [words(rng, 40) for _ in range(6)]
+    rows = [(k, t, "s") for k, t in enumerate(base + [t + " more" for t in base] + base[:2])]
+    got = jaccard_components(table(spark, rows), first_bits=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_groups(rows)
+
+
 def test_jaccard_of_a_large_group_of_near_copies(spark):
     rng = random.Random(1)
     base = words(rng, 80).split(" ")
@@ -163,6 +204,34 @@ def test_shards_are_even_and_slots_gapless(spark, shards):
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
 
 
+def naive_shards(rows, leaves, ranges=None, first=0):
+    """The K-d tree by sorting: ``rows`` of (key, size, tie, values); the cut is the nearer end of the row that the goal falls into."""
+    if leaves == 1 or not rows:
+        return {r[0]: first for r in rows}
+    dims = range(len(rows[0][3]))
+    span = [max(r[3][d] for r in rows) - min(r[3][d] for r in rows) for d in dims]
+    ranges = ranges or [max(x, 1e-300) for x in span]
+    d = max(dims, key=lambda k: (span[k] / ranges[k], -k))
+    half = leaves // 2
+    goal, held, left, right = sum(r[1] for r in rows) * half / leaves, 0, [], []
+    for r in sorted(rows, key=lambda r: (r[3][d], r[2])):
+        if not right and held + r[1] < goal or (not right and goal - held > r[1] / 2 and held < goal):
+            left.append(r)
+        else:
+            right.append(r)
+        held += r[1]
+    return naive_shards(left, half, ranges, first) | naive_shards(right, leaves - half, ranges, first + half)
+
+
+@pytest.mark.parametrize("shards", [2, 7])
+def test_shards_match_a_naive_tree(spark, shards):
+    rng = random.Random(9)
+    data = [(k * 7, words(rng, rng.randint(1, 60)), "s") for k in range(120)]
+    got = {r.doc_id: r.shard for r in kd_shards(table(spark, data), ["doc_id", "n_chars"], shards=shards).collect()}
+    ties = {r.doc_id: r.t for r in table(spark, data).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 40)) / float(1 << 40)).alias("t")).collect()}
+    assert got == naive_shards([(i, len(t.encode()) + 1, ties[i], (float(i), float(len(t)))) for i, t, _ in data], shards)
+
+
 def test_shards_of_target_bytes(spark, rows):
     got = kd_shards(table(spark, rows[:60]), ["doc_id"], target_bytes=4000).collect()
     assert len({r.shard for r in got}) == -(-sum(r["size"] for r in got) // 4000)
@@ -242,6 +311,68 @@ def test_packed_batches(spark, rows):
         assert k == 0 or (b, k - 1) in batches
 
 
+def test_long_lengths_pack_by_lengths_of_rows(spark):
+    lengths = [3, 3, 17_000, 17_001, 17_001, 40_000, 40_003, 90_000]
+    docs = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, words long")
+    got = pack(docs, length=F.col("words"), buckets=4, token_budget=100_000).collect()
+    ends = {r.bucket_len for r in got}
+    assert ends <= set(lengths) and len(ends) == 4
+    best = min(sum(min(e for e in (*c, 90_000) if e >= n) - n for n in lengths) for c in itertools.combinations(sorted(set(lengths))[:-1], 3))
+    assert sum(r.bucket_len - r.length for r in got) <= best + sum(n for n in lengths if n > 1 << 14) // (1 << 12)
+
+
+def test_packing_of_the_whole_table_is_optimal(spark):
+    got = QUERIES["op10_length_packing"](spark, "/root/testdata/sf0.001").collect()
+    lengths = sorted({r.length for r in got})
+    count = {n: sum(r.length == n for r in got) for n in lengths}
+    best = {0: 0}  # cost by number of lengths covered, for one more bucket each turn
+    for _ in range(8):
+        nxt = dict(best)
+        for j in range(1, len(lengths) + 1):
+            cost, n = 0, 0
+            for i in range(j - 1, -1, -1):
+                n += count[lengths[i]]
+                cost = lengths[j - 1] * n
+                if i in best:
+                    nxt[j] = min(nxt.get(j, np.inf), best[i] + cost)
+        best = nxt
+    assert sum(r.bucket_len for r in got) == best[len(lengths)] and len({r.bucket_len for r in got}) <= 8
+
+
+def test_quality_scores_are_the_mean_of_leans():
+    rng = np.random.default_rng(3)
+    lean = rng.normal(size=quality.KINDS << quality.BITS).astype(np.float32)
+    texts = ["", "a", "some words, some words again", "ünï cödé " * 40, "x" * 70_000, " \n"]
+    got = quality.score_texts(pa.array(texts, pa.large_string()), lean, 0.25, True)
+    for t, p in zip(texts, got):
+        raw, total, n = t.encode(), 0.0, 0
+        for size in (3, 4):  # byte n-grams, one by one
+            for k in range(len(raw) - size + 1):
+                code = int.from_bytes(raw[k : k + size], "little") * 0x9E3779B1 % (1 << 32) >> (32 - quality.BITS)
+                total, n = total + float(lean[code + ((size - 2) << quality.BITS)]), n + 1
+        whole = [int(h[0]) for h in (word_hashes(*words_of(w)) for w in WORD.findall(t))]
+        buckets = [h >> (64 - quality.BITS) for h in whole] + [((a ^ b) >> (64 - quality.BITS)) + (3 << quality.BITS) for a, b in zip(whole, whole[1:])]
+        total, n = total + sum(float(lean[b]) for b in buckets), n + len(buckets)
+        z = (total / n if n else 0.0) + 0.25
+        assert p == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def words_of(word):
+    raw = np.frombuffer(word.encode(), dtype=np.uint8)
+    return raw, np.array([0]), np.array([len(raw)])
+
+
+def test_quality_learns_from_long_texts_and_of_repeated_ids_from_one(spark):
+    rng = random.Random(8)
+    bad = lambda n: " ".join("zz" + rng.choice("xq") * 3 for _ in range(n))
+    docs = [(k, words(rng, 60) if k % 2 else bad(60), "s") for k in range(60)] + [(100, bad(120_000), "s"), (101, words(rng, 100_000), "s"), (3, bad(9), "s"), (3, words(rng, 9), "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in (*range(40), 100, 101)], "doc_id long, quality int")
+    one = quality.quality_scores(table(spark, docs), labels)
+    got = {(r.doc_id, round(r.score, 9)) for r in one.collect()}
+    again = {(r.doc_id, round(r.score, 9)) for r in quality.quality_scores(table(spark, docs[::-1]).repartition(5), labels).collect()}
+    assert got == again and all((p >= 0.5) == (i % 2 == 1) for i, p in got if i in (100, 101) or 40 <= i < 60)
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -318,6 +449,25 @@ def test_token_counts_are_the_library_s(spark, rows):
     assert all(r.n_tokens > 0 for r in some)
 
 
+def test_texts_without_spaces_are_cut():
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    piece = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    (encode, cut), (encode_p, cut_p) = tokens.load(P.path("byte_bpe_50k.json")), tokens.load(P.path("piece_bpe_32k.model"))
+    for t in ("中文字。" * 7000, "\n".join(["a line"] * 3000), "abc_def-" * 900):
+        assert max(map(len, cut(t))) < 20 and "".join(cut(t)) == t and sum(encode(cut(t))) == len(whole.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(2)
+    alphabet = ["a", "b ", "  ", "\n", "\t ", "1", "'s", "'", "é", "<|endoftext|>", " ", "!", "don't", "\x1c", "\x85", "\u3000", "字", "。", "_", "कि", "²", "\u2581", "😀"]
+    for _ in range(1500):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 16)))
+        long = "字" * 1100 + t  # so that the further cuts are made
+        assert sum(encode(cut(long))) == len(whole.encode(long, add_special_tokens=False).ids)
+        assert sum(encode_p(cut_p(t))) == len(piece.encode(t))
+
+
 def test_base_spans_are_the_patterns():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -361,6 +511,24 @@ def test_an_entity_in_a_long_run_is_not_cut():
     assert pii.shape("a" * 64 + "@9") == "a@91;" and pii.shape("-a" * 30) == "-a" * 30
 
 
+def test_the_field_finds_planted_kinds():
+    """Recall by kind on documents of the tables, where the checked patterns say what is there; the field's own spans, before base ones take their place."""
+    import pyarrow.parquet as pq
+
+    model = pii.train_crf(pii.labelled_table())
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    base = [pii.base_spans(t) for t in texts]
+    seen, found = [0] * 4, [0] * 4
+    own = pii.model_spans(texts, model)
+    for b, m in zip(base, own):
+        for start, kind, stop in b:
+            seen[kind] += 1
+            found[kind] += any(k == kind and a < stop and start < e for a, k, e in m)
+    for kind, name in enumerate(pii.KINDS):
+        assert seen[kind] == 0 or found[kind] >= 0.9 * seen[kind], (name, seen, found)
+    assert sum(seen) >= 50
+
+
 @pytest.mark.parametrize("inner,kept", [
     ("<svg class=x/>", True), ("<svg><svg/><text>hid</text></svg>", True), ("<svg><svg>hid</svg>hid</svg>", True), ("<object data=x>", True), ("<noscript>", True), ("<template>", True),
     ("<object>hid<object>hid</object>hid</object>", True), ("<script>", False), ("<style>", False),
@@ -371,6 +539,37 @@ def test_elements_without_an_end_tag_keep_the_page(inner, kept):
     assert "One before" in said and ("Two after" in said) == kept and "hid" not in said
 
 
+def test_pages_may_use_the_label_attribute_and_nest_deeply():
+    import time
+
+    _, runs = html_extract.parse('<p data-y="12px">a<p data-y="1.5">b<p data-y="">c')
+    assert [t for _, t in runs] == ["a", "b", "c"]
+    n, began = 20_000, time.process_time()
+    nodes, _ = html_extract.parse("<div>" * n + "x" + "</div>" * n)
+    assert len(nodes) == n + 1
+    html_extract.parse("<div>" * n + "<li>x</b></ul></p>" * n)
+    html_extract.parse("<div>" * n + "<p>a<ul>" * n)
+    assert time.process_time() - began < 10
+    nodes, runs = html_extract.parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table><p>h<div>i<button><p>j</button><p>k")
+    assert [t for _, t in runs] == list("abcdefghijk")
+    of = {t: nodes[k] for k, t in runs}
+    assert nodes[of["a"].parent].tag == nodes[of["d"].parent].tag == "ul" and of["a"].parent == of["d"].parent != of["b"].parent == of["c"].parent
+    assert of["e"].parent == of["f"].parent != of["g"].parent and nodes[of["i"].parent].tag == "html" and nodes[of["j"].parent].tag == "button"
+
+
+def test_main_text_of_real_pages(spark):
+    """Pages of the tables against what their markup says: the text of the marked article survives, that of menus, notices and comments doesn't."""
+    rows_ = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(60).collect()
+    model = html_extract.train_tree(html_extract.labelled_pages())
+    for r in rows_:
+        got = html_extract.main_text(r.html or "", model)
+        assert "<" not in got or "&lt;" in r.html
+        for tag in ("nav", "footer", "form"):
+            for inner in re.findall(rf"<{tag}[^>]*>(.*?)</{tag}>", r.html or "", re.S):
+                lines = [html_extract.html.unescape(x).strip() for x in re.split(r"<[^>]*>", inner)]
+                assert not any(len(x) > 12 and x in got for x in lines), (r.page_id, tag)
+
+
 def test_messages_are_exact_marginals():
     model = html_extract.train_tree(html_extract.labelled_pages(40))
     nodes, _ = html_extract.parse("<body><nav><a href=x>y</a></nav><article><p>Some text here.<ul><li>a<li>b</ul></article></body>")
@@ -389,7 +588,7 @@ def test_html_extraction(spark):
     model = html_extract.train_tree(html_extract.labelled_pages())
     right = []
     for page in html_extract.labelled_pages(60, seed=501):
-        nodes, runs = html_extract.parse(page)
+        nodes, runs = html_extract.parse(page, labelled=True)
         y = []
         for k in nodes:
             y.append(k.label if k.label is not None else y[k.parent] if k.parent >= 0 else 0)
@@ -420,6 +619,74 @@ def test_empty_tables(spark):
     assert [d.count() for d in made] == [0] * len(made)
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, an empty table, and columns with the stages' own names."""
+    import corpus_pipeline as c
+
+    sf, rng = "/root/testdata/sf0.001", random.Random(5)
+    names = "_id _times _turn _dropped _hash _their_hash _key_id _key_hash _tkey _kid comp kept id text_hash taken size th cls component_class length _c_th best"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names.split())
+    a, b = words(rng, 60), words(rng, 60)
+    near = " ".join("edit" if k == 3 else w for k, w in enumerate(a.split(" ")))
+    texts = [(3, a), (5, near), (5, b), (5, b), (None, near + " q"), (None, words(rng, 40)), (None, words(rng, 40)), (7, None), (8, ""), (9, " \n"), (10, words(rng, 20_000)), (11, "one two"), (12, "one two"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *[1] * len(names.split())) for i, t in texts], schema)
+    run = lambda stage, df: stage(spark, df, sf)
+    key = lambda df: sorted((-1 if r.doc_id is None else r.doc_id, "" if r.text is None else r.text) for r in df.collect())
+    for _, stage in c.STAGES[:-1]:
+        out = run(stage, docs)
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+        assert run(stage, docs.limit(0)).count() == 0
+    assert run(c.STAGES[-1][1], docs).count() == len(texts) and run(c.STAGES[-1][1], docs.limit(0)).count() == 0
+    exact, joined, mixed = (key(run(c.STAGES[k][1], docs)) for k in (1, 2, 3))
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    assert len(exact) == len({plain(t) for _, t in texts}) and (9, " \n") in exact and (11, "one two") in exact
+    # the near copies of 3 go, of one id and without one; the unlike text under that id stays, once
+    assert joined == sorted([(3, a), (5, b), (-1, texts[5][1]), (-1, texts[6][1]), (7, ""), (8, ""), (9, " \n"), (10, texts[10][1]), (11, "one two"), (-1, "")])
+    assert all(t.strip() for _, t in mixed) and {t for _, t in mixed} <= {t for _, t in texts if t}
+
+
+def test_pipeline_on_the_smallest_table(spark):
+    """``run`` is its stages in turn: each document is there 0, 1 or 2 times, in batches within the budget."""
+    import corpus_pipeline as c
+
+    sf = "/root/testdata/sf0.001"
+    got = c.run(spark, sf).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    times = {}
+    for r in got:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        assert r.length == len(WORD.findall(docs[r.doc_id])) <= r.bucket_len
+    assert set(times.values()) <= {1, 2} and len({re.sub(r"\s", "", docs[i]) for i in times}) == len(times)
+    near = near_groups_by_index([(i, docs[i], None) for i in times])
+    assert all(c_ == i for i, _, c_ in near)  # no two of them link
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_registered_queries_return_their_columns(spark, name):
+    sf = "/root/testdata/sf0.001"
+    want = {
+        "op1": "doc_id size text_crc32 law shard slot grown_shard", "op2": "doc_id n_shingles component_id", "op3": "doc_id held_out score predicted",
+        "op4": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op5": "doc_id size source_size target taken",
+        "op6": "doc_id n_bytes n_tokens over_limit", "op7": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op8": "doc_id keep_id group_size kept text_sha256",
+        "op9": "page_id url text n_chars", "op10": "doc_id length bucket bucket_len batch slot", "pipeline": "doc_id length bucket bucket_len batch slot",
+    }[name.split("_")[0]].split()
+    out = QUERIES[name](spark, sf)
+    assert set(want) <= set(out.columns)
+    if name != "pipeline":
+        assert out.count() == spark.read.parquet(f"{sf}/{'pages' if name.startswith('op9') else 'documents'}.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_registered_queries_match_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(ORACLES[name]).df()
+    got = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
+    assert sorted(map(repr, want.astype(object).itertuples(index=False, name=None))) == sorted(map(repr, got.astype(object).itertuples(index=False, name=None)))
+
+
 def test_pipeline_stages_on_their_own_inputs(spark):
     import corpus_pipeline as c
 
