@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,14 +69,33 @@ def merge(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int], fraction: float
     return kept, min(limit, known)
 
 
-def _ranges(docs: DataFrame, id_col: str, rows: int) -> list[int]:
-    """Descending ids that begin the id ranges; each is an id of the table, the first its largest."""
-    n = max(1, min(-(-rows // 1024), 8192))
-    shares = [k / n for k in range(1, n)]
-    q = [F.max(id_col)] + ([F.percentile_approx(id_col, shares, 4 * n)] if shares else [])
-    first = docs.agg(*q).first()
-    found = [first[0], *((first[1] or []) if shares else [])]
-    return sorted({x for x in found if x is not None}, reverse=True)
+#: Rows of a range of documents on average, and ranges at most.
+RANGE_ROWS, RANGES = 1024, 1 << 16
+
+
+def _starts(ids: DataFrame) -> np.ndarray:
+    """The first keys of the ranges in the order of documents, one line each: whether the id is null, its complement, the text hash.
+
+    Each is a key of the table, the table's first among them; the others are picked by hash, about RANGES at most.
+    """
+    key = lambda df: [(r[0] is None, ~(r[0] or 0), r[1]) for r in df.select("doc_id", "th").collect()]
+    rows = ids.count()
+    every = max(RANGE_ROWS, -(-rows // RANGES))
+    picked = ids.where(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(every)) == 0).select("doc_id", "th").distinct() if rows > every else ids.limit(0)
+    first = ids.orderBy(F.col("doc_id").desc_nulls_last(), "th").limit(1)
+    return np.array(sorted({*key(picked), *key(first)}), dtype=np.int64).reshape(-1, 3)
+
+
+def _range_of(starts: np.ndarray, null: np.ndarray, ids: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """For each row twice the number of its range, and one more if its key begins it."""
+    own = np.stack([null.astype(np.int64), ~np.where(null, 0, ids), th], axis=1)
+    both = np.concatenate([starts, own])
+    order = np.lexsort((np.arange(len(both)) >= len(starts), both[:, 2], both[:, 1], both[:, 0]))
+    place = np.cumsum(order < len(starts)) - 1
+    found = np.empty(len(both), dtype=np.int64)
+    found[order] = place
+    found = found[len(starts) :]
+    return 2 * found + (starts[found] == own).all(axis=1)
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,33 +148,31 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the next document in descending id, the first one after the last. Columns: ``id_col, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
-    Texts move once, into ranges of ids that begin with ids of the table; a range's first row is also sent
-    to the range before it, so a sorted stream of each range sees every row's successor. Ranges are bounded
-    in number (8192), not in size: a task holds two texts and one output batch.
+    Texts move once, into ranges of documents in order of id and text hash, which begin with documents of the table; a range's
+    first row is also sent to the range before it, so a sorted stream of each range sees every row's successor. An id on
+    very many texts is many ranges. A task holds two texts and one output batch.
 
     Null texts count as empty; null ids come after all others, in order of their texts' hashes, as do rows
-    of equal id among themselves; repeated rows are successors of one another; a single row is its own
-    successor; an empty table gives no rows.
+    of equal id among themselves; repeated rows are successors of one another and in one range; a single row is its own
+    successor; very long texts are read whole; an empty table gives no rows; other columns of ``docs`` are not read, whatever their names.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    starts = _ranges(ids, "doc_id", ids.count())
-    marks = spark.sparkContext.broadcast(np.array(starts, dtype=np.int64)[::-1].copy())
-
-    @F.pandas_udf("array<struct<span:int,extra:int>>")
-    def spans(ident):
-        up, n = marks.value, len(marks.value)
-        values = ident.fillna(np.iinfo(np.int64).min).to_numpy(dtype=np.int64) if n else np.zeros(len(ident), np.int64)
-        own = n - 1 - np.searchsorted(up, values) if n else np.zeros(len(ident), np.int64)
-        own = np.where(ident.isna(), max(n - 1, 0), own)
-        is_start = np.isin(values, up) & ~ident.isna().to_numpy() if n else np.zeros(len(ident), bool)
-        import pandas as pd
-
-        return pd.Series([[{"span": int(s), "extra": 0}] + ([{"span": int((s - 1) % n), "extra": 1}] if b else []) for s, b in zip(own, is_start)])
-
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    starts = _starts(ids)
+    n = max(1, len(starts))
+    marks = spark.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("long")
+    def spans(null: pd.Series, ident: pd.Series, th: pd.Series) -> pd.Series:
+        return pd.Series(_range_of(marks.value, null.to_numpy(dtype=bool), ident.to_numpy(dtype=np.int64), th.to_numpy(dtype=np.int64)))
+
+    at = lambda span, extra: F.struct(span.alias("span"), F.lit(extra).alias("extra"))
+    own = F.floor(F.col("_at") / 2).cast("long")
+    places = F.when(F.col("_at") % 2 == 1, F.array(at(own, 0), at(F.pmod(own - 1, F.lit(n)), 1))).otherwise(F.array(at(own, 0)))
     dealt = (
-        ids.withColumn("_to", F.explode(spans("doc_id"))).select("doc_id", "text", "_to.span", "_to.extra")
-        .repartition("span").sortWithinPartitions("span", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+        # no nulls reach Python, where they would make ids doubles
+        ids.withColumn("_at", spans(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "th")).withColumn("_to", F.explode(places)).select("doc_id", "text", "th", "_to.span", "_to.extra")
+        .repartition("span").sortWithinPartitions("span", "extra", F.col("doc_id").desc_nulls_last(), "th").drop("th")
     )
     out = dealt.mapInArrow(_paired, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("doc_id", id_col)

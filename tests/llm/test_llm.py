@@ -434,6 +434,21 @@ def test_fingerprints_over_many_ranges(spark):
         assert got[k] == hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()
 
 
+def test_ranges_of_documents_cut_anywhere(monkeypatch, spark):
+    rng = random.Random(12)
+    monkeypatch.setattr(fp, "RANGE_ROWS", 3)  # read on the driver only
+    big = 1 << 62
+    data = [(rng.choice([7, 7, 7, -5, big + 1, big + 2, None, k]), words(rng, 8), "s") for k in range(400)]
+    got = sorted(r.edited_sha256 for r in fp.fingerprint_pairs(table(spark, data)).collect())
+    th = {r.text: r.h for r in table(spark, data).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), th[r[1]]))
+    want = []
+    for k, (_, t, _) in enumerate(order):
+        n = len(t) // 3
+        want.append(hashlib.sha256((t[: len(t) - n] + order[(k + 1) % len(order)][1][:n]).encode()).hexdigest())
+    assert got == sorted(want)
+
+
 def test_token_counts_are_the_library_s(spark, rows):
     import public_tokenizers as P
     from tokenizers import Tokenizer
