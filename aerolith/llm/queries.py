@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from .common import strip_white_space, text_or_empty
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprint_pairs
@@ -78,7 +76,6 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_kd_shards": op1_kd_shards,
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_classifier": op3_quality_classifier,
