@@ -12,28 +12,80 @@ from ..schemas import DBSCAN_EPS_M, DBSCAN_MIN_POINTS
 from .aggregate import local_metres, weighted
 from .scratch import written
 
-#: Groups up to this many points are clustered in one task each; with a larger one, all take the grid.
-GROUP_LIMIT = 5000
+#: Groups up to this many points are clustered in one task each; larger ones take the grid. Up to SMALL a table of all distances serves.
+GROUP_LIMIT, SMALL = 5000, 512
+_NONE = np.iinfo(np.int64).max
 
 
-def labels_in_memory(x: np.ndarray, y: np.ndarray, order: np.ndarray, eps: float, least: int) -> np.ndarray:
+def labels_in_memory(x: np.ndarray, y: np.ndarray, order: np.ndarray, eps: float, least: int, small: int = SMALL) -> np.ndarray:
     """Labels of one group: the smallest ``order`` of the cluster's core points, -1 for noise.
 
-    A point counts itself; a border point takes the smallest label among its core neighbours.
+    A point counts itself; a border point takes the smallest label among its core neighbours. Groups above ``small`` points are
+    clustered by cells, whose points are all neighbours, in memory linear in the points.
     """
+    if len(x) > small:
+        return _labels_by_cells(np.stack([x, y], axis=1), order, eps, least)
     near = (x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2 <= eps * eps
     core = near.sum(axis=1) >= least
-    label = np.where(core, order, np.iinfo(np.int64).max)
+    label = np.where(core, order, _NONE)
     links = near & core[None, :]
     while True:
-        low = np.where(links, label[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+        low = np.where(links, label[None, :], _NONE).min(axis=1, initial=_NONE)
         new = np.where(core, np.minimum(low, label), label)
         if (new == label).all():
             break
         label = new
-    low = np.where(links, label[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+    low = np.where(links, label[None, :], _NONE).min(axis=1, initial=_NONE)
     label = np.where(core, label, low)
-    return np.where(label == np.iinfo(np.int64).max, -1, label)
+    return np.where(label == _NONE, -1, label)
+
+
+def _labels_by_cells(xy: np.ndarray, order: np.ndarray, eps: float, least: int) -> np.ndarray:
+    cells, of = np.unique(np.floor(xy / (0.7071 * eps)).astype(np.int64), axis=0, return_inverse=True)
+    of = of.ravel()
+    sizes = np.bincount(of)
+    members = np.split(np.argsort(of, kind="stable"), np.cumsum(sizes)[:-1])
+    at = {(int(i), int(j)): k for k, (i, j) in enumerate(cells)}
+    around = [[k for i in range(-2, 3) for j in range(-2, 3) if (k := at.get((a + i, b + j))) is not None] for a, b in cells.tolist()]
+    core = sizes[of] >= least
+
+    def near(these: np.ndarray, those: np.ndarray):
+        """(rows of ``these``, which of ``those`` are within eps), some rows at a time."""
+        step = max(1, (1 << 20) // max(1, len(those)))
+        for lo in range(0, len(these), step):
+            some = these[lo : lo + step]
+            yield some, ((xy[some][:, None] - xy[those][None, :]) ** 2).sum(axis=2) <= eps * eps
+
+    for k in np.flatnonzero(sizes < least):
+        for some, close in near(members[k], np.concatenate([members[m] for m in around[k]])):
+            core[some] = close.sum(axis=1) >= least
+    cores = [m[core[m]] for m in members]
+    up = list(range(len(cells)))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for k, mine in enumerate(cores):
+        for m in around[k]:
+            if m > k and len(mine) and len(cores[m]) and root(k) != root(m) and touch(xy[mine], xy[cores[m]], eps):
+                up[root(m)] = root(k)
+    lowest = np.full(len(cells), _NONE)
+    for k, mine in enumerate(cores):
+        if len(mine):
+            lowest[root(k)] = min(lowest[root(k)], order[mine].min())
+    label = np.full(len(xy), -1, dtype=np.int64)
+    for k, mine in enumerate(cores):
+        label[mine] = lowest[root(k)]
+    for k, m in enumerate(members):
+        loose, those = m[~core[m]], np.concatenate([cores[j] for j in around[k]])
+        if len(loose) and len(those):
+            for some, close in near(loose, those):
+                low = np.where(close, label[those][None, :], _NONE).min(axis=1)
+                label[some] = np.where(low == _NONE, -1, low)
+    return label
 
 
 def _by_group(points: DataFrame, by: str, order: str, eps: float, least: int, together: int = 64) -> DataFrame:
@@ -158,13 +210,18 @@ def dbscan(
     """Add ``x_m, y_m, cluster`` to estimates (rows without one go); noise is -1.
 
     ``order`` is a long, unique in its group; a cluster's number is its smallest core ``order``. ``auto``
-    counts the largest group first: up to ``GROUP_LIMIT`` points each group is one task's arrays, beyond
-    it the grid is used. Both give the same labels.
+    counts groups first: those up to ``GROUP_LIMIT`` points are one task's arrays each, larger ones take the grid.
+    Both give the same labels.
     """
     points = local_metres(df.where("est_lat is not null and est_lon is not null"), [by])
     if method == "auto":
-        largest = df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-        method = "groups" if largest <= GROUP_LIMIT else "grid"
+        sizes = df.groupBy(by).agg(F.count("*").alias("n"))
+        most, fewest = sizes.agg(F.max("n"), F.min("n")).first()
+        method = "groups" if (most or 0) <= GROUP_LIMIT else "grid" if fewest > GROUP_LIMIT else "both"
+    if method == "both":
+        large = written(sizes.where(F.col("n") > GROUP_LIMIT).select(F.col(by).alias("_large")))
+        on = F.col(by).eqNullSafe(F.col("_large"))
+        return _by_grid(written(points.join(large, on, "left_semi")), by, order, eps, least).unionByName(_by_group(points.join(large, on, "left_anti"), by, order, eps, least))
     return (_by_group if method == "groups" else _by_grid)(points, by, order, eps, least)
 
 

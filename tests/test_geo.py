@@ -239,6 +239,26 @@ def test_dense_cells_link_as_points_do(spark, least):
         assert touch(a, b, 15.0) == bool((((a[:, None] - b[None]) ** 2).sum(axis=2) <= 225.0).any())
 
 
+@pytest.mark.parametrize("least", [3, 40])
+def test_cells_in_memory_label_as_all_distances_do(least):
+    from aerolith.operators.dbscan import labels_in_memory
+
+    rng = np.random.default_rng(least)
+    for n, spread in ((1, 1.0), (300, 120.0), (700, 400.0), (900, 30.0)):
+        x, y = np.concatenate([rng.normal(0, spread, n), rng.uniform(-500, 500, 60)]), np.concatenate([rng.normal(0, spread, n), rng.uniform(-500, 500, 60)])
+        order = rng.permutation(n + 60).astype(np.int64)
+        assert labels_in_memory(x, y, order, 15.0, least, small=0).tolist() == labels_in_memory(x, y, order, 15.0, least, small=10_000).tolist()
+
+
+def test_a_dense_cell_of_100_000_points_and_small_groups_together(spark):
+    n = 100_000
+    at = lambda k: (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0 - 0.5) * 8.0 / 111320.0
+    dense = spark.range(n).select(F.lit(1).cast("long").alias("flag_id"), F.col("id").alias("frame_idx"), (F.lit(30.0) + at(1)).alias("est_lat"), (F.lit(31.0) + at(2)).alias("est_lon"), F.lit(0.9).alias("confidence"))
+    few = spark.createDataFrame([(g, k, 30.0 + (0.01 if k == 9 else 0.0), 31.0, 0.9) for g in (2, 3) for k in range(10)], "flag_id long, frame_idx long, est_lat double, est_lon double, confidence double")
+    got = {r.flag_id: (r.n_frames, r.n_used, r.cluster) for r in clustered_position(dense.unionByName(few)).collect()}
+    assert got == {1: (n, n, 0), 2: (10, 9, 0), 3: (10, 9, 0)}
+
+
 def test_nine_scenarios_fly_as_their_table_says(spark, sf):
     from aerolith.plans import reports
     from aerolith.plans.queries import QUERIES
