@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import M_PER_DEG
+from .quantile import quantiles
 
 
 def _valid(df: DataFrame) -> DataFrame:
@@ -18,13 +19,10 @@ def weighted(x: str, w: str = "confidence") -> Column:
     return F.sum(F.col(w) * F.col(x)) / F.nullif(F.sum(w), F.lit(0.0))
 
 
-def median_position(df: DataFrame, by: list[str], least_frames: int = 1) -> DataFrame:
-    """Exact median of each axis on its own; groups with fewer estimates have no row."""
-    return (
-        _valid(df).groupBy(*by)
-        .agg(F.median("est_lat").alias("lat"), F.median("est_lon").alias("lon"), F.count("*").alias("n_frames"))
-        .where(F.col("n_frames") >= least_frames)
-    )
+def median_position(df: DataFrame, by: list[str], least_frames: int = 1, counted: DataFrame | None = None) -> DataFrame:
+    """Exact median of each axis on its own; groups with fewer estimates have no row. For ``counted`` see :func:`quantiles`."""
+    found = quantiles(_valid(df), by, {"lat": "est_lat", "lon": "est_lon"}, counted=counted)
+    return found.withColumnRenamed("n", "n_frames").where(F.col("n_frames") >= least_frames).select(*by, "lat", "lon", "n_frames")
 
 
 def weighted_position(df: DataFrame, by: list[str], least_confidence: float = 0.4, least_frames: int = 10) -> DataFrame:

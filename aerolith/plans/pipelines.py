@@ -16,7 +16,7 @@ from ..schemas import FIELD_CAMERA, NED, SWAPPED, Camera, Convention
 
 def nadir_pipeline(detections: DataFrame, cam: Camera = FIELD_CAMERA, least_frames: int = 3) -> DataFrame:
     """Baseline: straight-down projection, median of each target."""
-    return median_position(localize_nadir(detections, cam), ["flag_id"], least_frames)
+    return median_position(localize_nadir(detections, cam), ["flag_id"], least_frames, counted=detections)
 
 
 def weighted_pipeline(detections: DataFrame, cam: Camera = FIELD_CAMERA, how: Convention = NED, least_frames: int = 10) -> DataFrame:
@@ -29,7 +29,7 @@ def clustered_pipeline(detections: DataFrame, cam: Camera = FIELD_CAMERA, how: C
 
 def median_pipeline(detections: DataFrame, cam: Camera = FIELD_CAMERA, how: Convention = NED, least_confidence: float = 0.4) -> DataFrame:
     """The flagship: confident detections, full geometry, median of each target."""
-    return median_position(localize(confident(detections, least_confidence), cam, how), ["flag_id"])
+    return median_position(localize(confident(detections, least_confidence), cam, how), ["flag_id"], counted=detections)
 
 
 def run_recording(detections: DataFrame, frames: DataFrame, telemetry: DataFrame, cam: Camera, how: Convention, every: int = 3, least_frames: int = 5) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators.calibrate import calibrate_mount as fit_mount
 from ..operators.dbscan import clustered_position, dbscan
 from ..operators.detect import blobs_to_detections, detections_from_boxes
 from ..operators.localize import central_crop, confident, detector_for, every_nth_frame, in_frame, localize, localize_nadir, project_to_image, without_tilt
+from ..operators.quantile import quantiles
 from ..operators.timejoin import exact_join, interpolating_join, last_known, nearest_join
 from ..schemas import ABS_GUARD, DECLINATION_DEG, FIELD_CAMERA, FIELD_CAMERA_FLAT, M_PER_DEG_COARSE, MOUNT_NED, NED, SIGNED_GUARD, SWAPPED
 from ..sources.fixtures import view
@@ -411,7 +412,7 @@ def error_vs_n_prefix_median(spark, d):
 @query
 def imu_ablation(spark, d):
     det = confident(_det(spark, d))
-    full, flat = (agg.median_position(localize(x), ["flag_id"]) for x in (det, without_tilt(det)))
+    full, flat = (agg.median_position(localize(x), ["flag_id"], counted=det) for x in (det, without_tilt(det)))
     truth = view(spark, d, "truth_v")
     err = lambda e, n: reports.against_truth(e, truth).select("flag_id", F.col("error_m").alias(n))
     return _r(err(full, "with_m").join(err(flat, "without_m"), "flag_id"), with_m=3, without_m=3)
@@ -435,7 +436,9 @@ def detection_rate(spark, d):
 def experiment_metrics(spark, d):
     """Spread over frames: 95th percentile and sample deviation of errors, mean bias, share within 20 m."""
     e = _errors(spark, d, geo.haversine)
-    out = e.agg(F.percentile("error_m", F.lit(0.95)).alias("p95_m"), F.stddev_samp("error_m").alias("sd_m"), F.avg("error_m").alias("bias_m"), F.avg((F.col("error_m") <= 20.0).cast("double")).alias("share_20m"))
+    p95 = quantiles(e, [], {"p95_m": "error_m"}, 0.95, counted=_det(spark, d)).drop("n")
+    out = e.agg(F.stddev_samp("error_m").alias("sd_m"), F.avg("error_m").alias("bias_m"), F.avg((F.col("error_m") <= 20.0).cast("double")).alias("share_20m"))
+    out = p95.crossJoin(out)  # one row each
     return _r(out, p95_m=3, sd_m=3, bias_m=3, share_20m=6)
 
 
@@ -460,7 +463,7 @@ def filter_matrix(spark, d):
         det = det.withColumn(c, F.when(F.col("attitude"), F.col(c)).otherwise(F.lit(0.0)))
     w = Window.partitionBy("scenario", "flag_id").orderBy("frame_idx")
     first = det.withColumn("_rn", F.row_number().over(w)).where("_rn <= frames").drop("_rn")
-    est = agg.median_position(localize(first), ["scenario", "flag_id"])
+    est = agg.median_position(localize(first), ["scenario", "flag_id"], counted=first)
     truth = view(spark, d, "truth_v")
     err = geo.haversine(*(F.col(c) for c in ("lat", "lon", "flag_lat", "flag_lon")))
     out = est.join(truth, "flag_id").withColumn("error_m", err).groupBy("scenario").agg(
@@ -507,7 +510,7 @@ def stress_limits(spark, d):
     """Per heading: median error of all frames flown at it, and whether it is within 20 m."""
     e = localize(confident(_det(spark, d))).where("est_lat is not null")
     err = geo.haversine(*(F.col(c) for c in ("est_lat", "est_lon", "flag_lat", "flag_lon")))
-    out = e.groupBy("yaw_deg").agg(F.median(err).alias("error_m"))
+    out = quantiles(e.select("yaw_deg", err.alias("e")), ["yaw_deg"], {"error_m": "e"}, counted=_det(spark, d)).drop("n")
     return _r(out, error_m=3).withColumn("passes", F.col("error_m") <= 20.0)
 
 

@@ -142,6 +142,23 @@ def test_medians_and_means(spark):
     assert [round((r.lat - 30) * M_PER_DEG, 3) for r in prefix_medians(e, ["flag_id"]).orderBy("n").collect()] == [1, 1.5, 2, 3]
 
 
+@pytest.mark.parametrize("share", [0.5, 0.95])
+def test_quantiles_of_large_groups_are_those_of_small_ones(spark, share):
+    from aerolith.operators.quantile import quantiles
+
+    rng = np.random.default_rng(4)
+    rows = [("big", float(v), float(v * 2)) for v in rng.normal(30, 1e-3, 3001)] + [("even", float(v), float(-v)) for v in rng.integers(0, 5, 2000)]
+    rows += [("same", 7.0, 7.0)] * 500 + [(None, float(v), 1.0) for v in rng.normal(0, 1e6, 400)] + [("few", 1.0, None), ("few", 4.0, 2.0), ("big", None, 1e9)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    plain = {r.g: (r.n, r.a, r.b) for r in quantiles(df, ["g"], {"a": "x", "b": "y"}, share).collect()}
+    zoomed = {r.g: (r.n, r.a, r.b) for r in quantiles(df, ["g"], {"a": "x", "b": "y"}, share, limit=20).collect()}
+    assert set(plain) == set(zoomed) == {"big", "even", "same", None, "few"}
+    for g, want in plain.items():
+        assert zoomed[g] == pytest.approx(want, rel=1e-14)
+    one = quantiles(df, [], {"a": "x"}, share, limit=20).first()
+    assert one.a == pytest.approx(quantiles(df, [], {"a": "x"}, share).first().a, rel=1e-14)
+
+
 def test_clusters_both_ways(spark):
     rng = np.random.default_rng(4)
     pts = [(*rng.normal(0, 4, 2), 0.9) for _ in range(30)] + [(*rng.normal(200, 4, 2), 0.9) for _ in range(12)] + [(1000 + 100 * i, 0, 0.9) for i in range(4)]
