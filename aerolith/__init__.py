@@ -8,7 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
+#: By application the folder of what was shipped; it goes when the driver ends.
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 #: Rows of one Arrow batch, where the session doesn't say: documents are far longer than the rows Spark's 10,000 are meant for.
 BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
@@ -21,9 +22,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="aerolith-")) / "aerolith_package.zip"
+    folder = tempfile.TemporaryDirectory(prefix="aerolith-", ignore_cleanup_errors=True)
+    path = Path(folder.name) / "aerolith_package.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("aerolith") / p.relative_to(root))
     context.addPyFile(str(path))
-    _shipped.add(context.applicationId)
+    _shipped[context.applicationId] = folder

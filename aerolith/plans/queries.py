@@ -310,8 +310,9 @@ def pooled_all_flags(spark, d):
 
 @query
 def telemetry_exact_join(spark, d):
-    sparse = frames_from_messages(view(spark, d, "messages_v"))
-    keys = view(spark, d, "frames_v").select("flight_id", F.floor(F.col("frame_idx") / 10).cast("long").alias("frame_idx")).distinct()
+    """Frames of twenty seconds with telemetry of the same number, if position, attitude and height are all there."""
+    sparse = frames_from_messages(number_frames(view(spark, d, "messages_v").withColumn("t", F.col("t") / F.lit(1000.0)), 0.05))
+    keys = view(spark, d, "frames_v").select("flight_id", F.floor(F.col("t_ms") / 20_000).cast("long").alias("frame_idx")).distinct()
     return _r(exact_join(keys, sparse, ["flight_id", "frame_idx"], ("lat", "roll_deg", "h")).select("flight_id", "frame_idx", "lat", "h", "roll_deg"), lat=7)
 
 
@@ -533,6 +534,12 @@ def full_pipeline_approach2(spark, d):
     return _scored(spark, d, pipelines.weighted_pipeline(_det(spark, d)))
 
 
+@query
+def full_pipeline_swapped(spark, d):
+    """The weighted plan in the older axis order, as flown; ``video_run`` is the clustered one."""
+    return _scored(spark, d, pipelines.weighted_pipeline(_det(spark, d), how=SWAPPED))
+
+
 @query
 def full_pipeline_approach3(spark, d):
     return _scored(spark, d, pipelines.clustered_pipeline(_det(spark, d), FIELD_CAMERA_FLAT))
