@@ -69,21 +69,21 @@ def merge(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int], fraction: float
     return kept, min(limit, known)
 
 
-#: Rows of a range of documents on average, and ranges at most.
-RANGE_ROWS, RANGES = 1024, 1 << 16
+#: Rows of a range of documents on average, ranges at most, and keys picked for each of them, so that ranges are about even.
+RANGE_ROWS, RANGES, FINE = 1024, 1 << 14, 8
 
 
 def _starts(ids: DataFrame) -> np.ndarray:
     """The first keys of the ranges in the order of documents, one line each: whether the id is null, its complement, the text hash.
 
-    Each is a key of the table, the table's first among them; the others are picked by hash, about RANGES at most.
+    Each is a key of the table, the table's first among them; the others are every FINE-th in order of keys picked by hash.
     """
-    key = lambda df: [(r[0] is None, ~(r[0] or 0), r[1]) for r in df.select("doc_id", "th").collect()]
+    key = lambda df: sorted((r[0] is None, ~(r[0] or 0), r[1]) for r in df.select("doc_id", "th").collect())
     rows = ids.count()
-    every = max(RANGE_ROWS, -(-rows // RANGES))
-    picked = ids.where(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(every)) == 0).select("doc_id", "th").distinct() if rows > every else ids.limit(0)
+    every = max(1, max(RANGE_ROWS, -(-rows // RANGES)) // FINE)
+    picked = ids.where(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(every)) == 0).select("doc_id", "th").distinct()
     first = ids.orderBy(F.col("doc_id").desc_nulls_last(), "th").limit(1)
-    return np.array(sorted({*key(picked), *key(first)}), dtype=np.int64).reshape(-1, 3)
+    return np.array(sorted({*key(first), *key(picked)[FINE - 1 :: FINE]}), dtype=np.int64).reshape(-1, 3)
 
 
 def _range_of(starts: np.ndarray, null: np.ndarray, ids: np.ndarray, th: np.ndarray) -> np.ndarray:
