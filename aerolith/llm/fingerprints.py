@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, release
 from .textkernel import U, shingle_sets
 
 #: A hash stays if it is below 2**64 * FRACTION; of a document with fewer such hashes the FLOOR smallest stay.
@@ -78,12 +79,15 @@ def _starts(ids: DataFrame) -> np.ndarray:
 
     Each is a key of the table, the table's first among them; the others are every FINE-th in order of keys picked by hash.
     """
-    key = lambda df: sorted((r[0] is None, ~(r[0] or 0), r[1]) for r in df.select("doc_id", "th").collect())
+    key = lambda df: sorted((r[0] is None, ~(r[0] or 0), r[1]) for r in df.collect())
+    ids = materialize(ids.select("doc_id", "th"))  # texts are hashed once
     rows = ids.count()
     every = max(1, max(RANGE_ROWS, -(-rows // RANGES)) // FINE)
-    picked = ids.where(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(every)) == 0).select("doc_id", "th").distinct()
+    picked = ids.where(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(every)) == 0).distinct()
     first = ids.orderBy(F.col("doc_id").desc_nulls_last(), "th").limit(1)
-    return np.array(sorted({*key(first), *key(picked)[FINE - 1 :: FINE]}), dtype=np.int64).reshape(-1, 3)
+    found = np.array(sorted({*key(first), *key(picked)[FINE - 1 :: FINE]}), dtype=np.int64).reshape(-1, 3)
+    release(ids)
+    return found
 
 
 def _range_of(starts: np.ndarray, null: np.ndarray, ids: np.ndarray, th: np.ndarray) -> np.ndarray:
