@@ -19,9 +19,9 @@ def weighted(x: str, w: str = "confidence") -> Column:
     return F.sum(F.col(w) * F.col(x)) / F.nullif(F.sum(w), F.lit(0.0))
 
 
-def median_position(df: DataFrame, by: list[str], least_frames: int = 1, counted: DataFrame | None = None) -> DataFrame:
-    """Exact median of each axis on its own; groups with fewer estimates have no row. For ``counted`` see :func:`quantiles`."""
-    found = quantiles(_valid(df), by, {"lat": "est_lat", "lon": "est_lon"}, counted=counted)
+def median_position(df: DataFrame, by: list[str], least_frames: int = 1, counted: DataFrame | None = None, at_most: int | None = None) -> DataFrame:
+    """Exact median of each axis on its own; groups with fewer estimates have no row. For ``counted`` and ``at_most`` see :func:`quantiles`."""
+    found = quantiles(_valid(df), by, {"lat": "est_lat", "lon": "est_lon"}, counted=counted, at_most=at_most)
     return found.withColumnRenamed("n", "n_frames").where(F.col("n_frames") >= least_frames).select(*by, "lat", "lon", "n_frames")
 
 

@@ -12,15 +12,18 @@ from .scratch import release, written
 LIMIT, BINS = 1 << 20, 1024
 
 
-def quantiles(df: DataFrame, by: list[str], columns: dict[str, str], share: float = 0.5, counted: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], columns: dict[str, str], share: float = 0.5, counted: DataFrame | None = None, at_most: int | None = None, limit: int = LIMIT) -> DataFrame:
     """``by``, ``n`` and for each item of ``columns`` (name: column) its exact quantile, interpolated as Spark's ``percentile`` does.
 
     Groups with more than ``limit`` rows take :func:`zoomed`, which never gathers a group; they are found by counting ``counted``
-    (default ``df``), which may be any table that has at least the rows of ``df`` and is cheaper to count. Null values are left out.
+    (default ``df``), which may be any table that has at least the rows of ``df`` and is cheaper to count: all of it first, which reads
+    no column, then by group. Where no group can have more than ``at_most`` rows, nothing is counted. Null values are left out.
     """
     plain = lambda x: x.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(share)).alias(n) for n, c in columns.items()])
-    sizes = (df if counted is None else counted).groupBy(*by).agg(F.count("*").alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= limit:
+    counted = df if counted is None else counted
+    if (at_most is not None and at_most <= limit) or counted.count() <= limit:
+        return plain(df)
+    if counted.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] <= limit:
         return plain(df)
     rows = written(df.select(*by, *dict.fromkeys(columns.values())))
     large = written(rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > limit))

@@ -464,7 +464,7 @@ def filter_matrix(spark, d):
         det = det.withColumn(c, F.when(F.col("attitude"), F.col(c)).otherwise(F.lit(0.0)))
     w = Window.partitionBy("scenario", "flag_id").orderBy("frame_idx")
     first = det.withColumn("_rn", F.row_number().over(w)).where("_rn <= frames").drop("_rn")
-    est = agg.median_position(localize(first), ["scenario", "flag_id"], counted=first)
+    est = agg.median_position(localize(first), ["scenario", "flag_id"], at_most=max(f[-1] for f in reports.FILTERS))
     truth = view(spark, d, "truth_v")
     err = geo.haversine(*(F.col(c) for c in ("lat", "lon", "flag_lat", "flag_lon")))
     out = est.join(truth, "flag_id").withColumn("error_m", err).groupBy("scenario").agg(
