@@ -10,12 +10,14 @@ from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprint_pairs
 from .html_extract import extract_main_text
 from .kd_shards import kd_shards
+from .merkle import FANOUT, folded, leaf_hash, merkle_manifest, proof_hash
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .packing import pack
 from .pii import find_personal_data
 from .quality import quality_scores
 from .tokens import token_counts
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +77,19 @@ def op10_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(crc % 3 == 0, leaf_hash(*map(F.col, ("doc_id", "source", "lang", "n_chars")), lower))
+    out = merkle_manifest(_table(spark, sf_dir, "documents"), fanout=FANOUT, carry={"tampered": tampered})
+    out = out.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_ngram_join": op2_ngram_join,
@@ -86,6 +101,8 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_length_packing": op10_length_packing,
+    "op11_whitening": op11_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
