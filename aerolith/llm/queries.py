@@ -16,6 +16,8 @@ from .ngram_join import jaccard_components
 from .packing import pack
 from .pii import find_personal_data
 from .quality import quality_scores
+from .secrets import KINDS as SECRET_KINDS
+from .secrets import find_secrets
 from .tokens import token_counts
 from .whitening import whiten
 
@@ -81,6 +83,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["name"].isNull()))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, SECRET_KINDS), F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -102,6 +111,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_length_packing": op10_length_packing,
     "op11_whitening": op11_whitening,
+    "op12_secret_scan": op12_secret_scan,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
