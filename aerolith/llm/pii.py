@@ -53,7 +53,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of the checked patterns, in order of start, then kind."""
     out = [(a, 0, b) for a, b in _emails(text)]
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m.group().split(".")))]
     for m in _CARD.finditer(text):
         d = m.group().replace(" ", "").replace("-", "")
         if 12 <= len(d) <= 19 and luhn(d):
