@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, word_count
+from .common import materialize, text_or_empty, word_count
 
 #: Weights dealt to the sources in code point order, share of all words in the mix, most repeats.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
+#: Rows that copies of one row are counted in, so that a row which is most of the table is many rows.
+PARTS = 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -72,30 +74,33 @@ def mix_sources(
     """How many words the mix takes of every document: ``id_col, size, source_size, target, taken``, ``source`` and ``carry``'s columns.
 
     Documents fall into seeded shards, of about ``shard_words`` words at least and 65536 shards at most, by a
-    hash of id and size. Words of one source in one shard, in seeded order, are cut into blocks of equal size.
+    hash of id and text. Words of one source in one shard, in seeded order, are cut into blocks of equal size.
     Blocks are apportioned to sources by target and inside each source to shards by words, both by the
     highest quotients; a quota takes every block as often as it goes whole into the shard's blocks, and
     one more run of blocks from a seeded start, around the shard's end. ``taken`` is what these blocks cut of a document.
 
     Null texts have size 0 and nothing taken; the null source is a source of its own, sorted last; repeated
-    rows are rows of their own; words of texts of any length are counted whole; an empty table gives no rows; other columns
-    of ``docs`` are not read, whatever their names. A hot source has cells in all shards, so no
-    task orders more than a shard. Reruns agree: nothing depends on partitioning.
+    rows are rows of their own, next to each other in their shard; words of texts of any length are counted whole; an empty table gives
+    no rows; other columns of ``docs`` are not read, whatever their names. A hot source has cells in all shards, and a row that is
+    repeated very often is a few rows with a number of copies until the end, so no task orders more than a shard's different rows.
+    Reruns agree: what rows of one id and text take together, and each of them, does not depend on partitioning.
     """
-    sizes = materialize(docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        *[e.alias(f"_c_{n}") for n, e in (carry or {}).items()],
-    ))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+    read = docs.select(
+        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(text_or_empty(text_col)).alias("_th"), word_count(F.col(text_col)).alias("size"),
+        *[e.alias(f"_c_{n}") for n, e in (carry or {}).items()], F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).alias("_part"),
+    )
+    # copies of one row, in PARTS rows at most, which are interchangeable
+    sizes = materialize(read.groupBy(*read.columns).agg(F.count("*").alias("_copies")).withColumn("_words", F.col("size") * F.col("_copies")))
+    total = sizes.agg(F.sum("_words")).first()[0] or 0
     shard = max(shard_words, -(-total // 65536))
     n_shards, block = max(1, -(-total // shard)), max(1, min(shard >> 10, total >> 20))
     dealt = sizes.withColumns({
         "_src": F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")),
-        "_shard": F.pmod(F.xxhash64(F.col("_id"), F.col("size"), F.lit(seed)), F.lit(n_shards)),
+        "_shard": F.pmod(F.xxhash64(F.col("_id"), F.col("_th"), F.col("size"), F.lit(seed)), F.lit(n_shards)),
     })
-    targets = source_targets(sizes, weights, share, most).withColumn("_src", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))).drop("source")
+    targets = source_targets(sizes.select("source", F.col("_words").alias("size")), weights, share, most).withColumn("_src", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))).drop("source")
     seats = sainte_lague(targets, "target", F.round(F.sum("target").over(Window.partitionBy()) / block), [], [F.col("_src")], "_source_blocks")
-    cells = dealt.groupBy("_src", "_shard").agg(F.sum("size").alias("_words")).join(seats, "_src")
+    cells = dealt.groupBy("_src", "_shard").agg(F.sum("_words").alias("_words")).join(seats, "_src")
     cells = sainte_lague(cells, "_words", F.col("_source_blocks"), ["_src"], [F.col("_shard")], "_quota")
     blocks = F.greatest(F.ceil(F.col("_words") / block), F.lit(1))
     quota = F.least(F.col("_quota"), blocks * most)
@@ -104,8 +109,9 @@ def mix_sources(
         F.floor(quota / blocks).alias("_whole"), F.pmod(quota, blocks).alias("_run"), blocks.alias("_blocks"),
         F.pmod(F.xxhash64("_src", "_shard", F.lit(seed + 1)), blocks).alias("_start"),
     ))
-    upto = Window.partitionBy("_src", "_shard").orderBy(F.xxhash64(F.col("_id"), F.lit(seed + 2)), "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    lines = dealt.withColumn("_hi", F.sum("size").over(upto)).withColumn("_lo", F.col("_hi") - F.col("size"))
+    upto = Window.partitionBy("_src", "_shard").orderBy(F.xxhash64("_id", "_th", F.lit(seed + 2)), "_id", "_th", "size", "_part").rowsBetween(Window.unboundedPreceding, 0)
+    first = dealt.withColumn("_lo", F.sum("_words").over(upto) - F.col("_words")).drop("_words")
+    lines = first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).withColumn("_hi", F.col("_lo") + F.col("_copy") * F.col("size")).withColumn("_lo", F.col("_hi") - F.col("size"))
     overlap = lambda a, b: F.greatest(F.least(F.col("_hi"), b) - F.greatest(F.col("_lo"), a), F.lit(0))
     a, b, end = F.col("_start") * block, (F.col("_start") + F.col("_run")) * block, F.col("_blocks") * block
     taken = F.col("size") * F.col("_whole") + overlap(a, F.least(b, end)) + overlap(F.lit(0), F.greatest(b - end, F.lit(0)))
