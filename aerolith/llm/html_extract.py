@@ -6,7 +6,7 @@ import html
 import math
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -181,11 +181,22 @@ def parse(page: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int
     return nodes, runs
 
 
-def unary(node: Node) -> tuple:
-    """Features of one block: tag, names, and coarse measures of its own text."""
-    size = 0 if not node.chars else min(8, int(math.log2(node.chars + 1)))
+def around(nodes: list[Node]) -> list[int]:
+    """For every block the characters, outside of links, of its own text and of its children's."""
+    out = [node.chars - node.linked for node in nodes]
+    for node in nodes[1:]:
+        out[node.parent] += node.chars - node.linked
+    return out
+
+
+def unary(node: Node, known: frozenset, held: int, beside: int) -> tuple:
+    """Features of one block: tag, names (``known`` ones, else a mark that there are others), coarse measures of its own text, and of the
+    text that it and its children (``held``) and its parent's children (``beside``) hold."""
+    names = [x for x in node.names if x in known] or ["?"] * bool(node.names)
+    size = 0 if not node.chars else min(6, int(math.log2(node.chars + 1)))
     share = 0 if not node.chars else int(3 * node.linked / node.chars)
-    return ("bias", "t=" + node.tag, *("n=" + x for x in node.names), f"z={size}", f"l={share}", f"e={min(node.ends, 1)}", f"t={node.tag} l={share}")
+    return ("bias", "t=" + node.tag, *("n=" + x for x in names), f"z={size}", f"l={share}", f"e={min(node.ends, 1)}", f"t={node.tag} l={share}",
+            f"h={min(7, int(math.log2(held + 1) / 1.5))}", f"b={min(7, int(math.log2(beside + 1) / 1.5))}")
 
 
 def pairwise(node: Node) -> tuple:
@@ -195,10 +206,14 @@ def pairwise(node: Node) -> tuple:
 
 @dataclass
 class TreeModel:
-    """Weights: a number for each unary feature (for content), a table [parent][child] for each edge kind."""
+    """Weights: a number for each unary feature (for content), a table [parent][child] for each edge kind.
+
+    Names of classes and ids outside of ``known`` count as one, so a page of a layout never seen is judged by its structure.
+    """
 
     one: dict[str, float]
     two: dict[str, list]
+    known: frozenset = frozenset()
 
     def marginals(self, nodes: list[Node], edges: bool = False):
         """Content probability of every block, by one sweep of messages to the root and one back.
@@ -209,8 +224,9 @@ class TreeModel:
         one, two = self.one, self.two
         u = [0.0] * n
         table = [None] * n
+        held = around(nodes)
         for k, node in enumerate(nodes):
-            u[k] = sum(one.get(f, 0.0) for f in unary(node))
+            u[k] = sum(one.get(f, 0.0) for f in unary(node, self.known, held[k], held[node.parent] if k else 0))
             if k:
                 a = b = c = d = 0.0
                 for f in pairwise(node):
@@ -253,10 +269,11 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def labelled_pages(pages: int = 240, seed: int = 19) -> list[str]:
+def labelled_pages(pages: int = 480, seed: int = 19) -> list[str]:
     """The labelled pages, written by a seeded rule from usual layouts; ``data-y`` marks blocks as content (1) or not (0).
 
-    Blocks without a mark take their parent's.
+    Blocks without a mark take their parent's. In some pages the article has no element of its own: its blocks, or its bare text
+    between line breaks, stand in the body beside menus and the like. Some wrappers have names that occur once, as names of sites do.
     """
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -290,11 +307,12 @@ def labelled_pages(pages: int = 240, seed: int = 19) -> list[str]:
         return f'<aside data-y="0">{pick([f"<p>{text(3, 40)}</p>", f"<h3>{short()}</h3><ul><li>{link()}</li></ul>", text(3, 20)])}</aside>'
 
     def body() -> str:
+        longest = pick([20, 35, 90, 90])  # words of a paragraph: some articles have short ones only
         out = [f"<h1>{short()}</h1>"] if some(0.8) else []
-        for _ in range(int(rng.integers(1, 8))):
+        for _ in range(int(rng.integers(1, 12))):
             kind = rng.random()
             if kind < 0.7:
-                t = text(1, 90)
+                t = text(1, longest)
                 if some(0.2):
                     t = f"<b>{t}"
                 if some(0.15):
@@ -316,14 +334,35 @@ def labelled_pages(pages: int = 240, seed: int = 19) -> list[str]:
                 out.append(pick([junk, aside, form])())
         return "".join(out)
 
+    def head() -> str:
+        return f'<header data-y="0">{pick([link(), f"<h2>{short()}</h2>", f"<p>{text(2, 14)}</p>"])}{menu() if some(0.4) else ""}</header>'
+
+    def plain() -> str:
+        """A page whose body is the article."""
+        inner = body()
+        if some(0.4):
+            inner = pick(["<br>", "<br><br>", "\n"]).join(text(8, 120) for _ in range(int(rng.integers(1, 7))))
+        before, after = "".join(f() for f in (menu, head, junk) if some(0.4)), "".join(f() for f in (junk, aside, comments, form) if some(0.25))
+        foot = f'<footer data-y="0">{pick([text(3, 20), f"<p>{text(3, 20)}</p>"])}</footer>' if some(0.5) else ""
+        return f'<html><body data-y="1">{before}{inner}{after}{foot}</body></html>'
+
+    def strange() -> tuple[str, str]:
+        """A wrapper with a name that says nothing, or none."""
+        name = word() + pick(["", "-" + word(), f"-{int(rng.integers(1, 99))}"])
+        return pick(["div", "div", "section", "td"]), pick(["", f' class="{name}"', f' id="{name}"', f' class="{name} {word()}"'])
+
     made = []
     for _ in range(pages):
+        if some(0.25):
+            made.append(plain())
+            continue
         wrap = pick([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="article-body"'), ("div", ' class="entry"'), ("section", ' class="story"'), ("div", ' class="post-text"')])
+        wrap = strange() if some(0.25) else wrap
         main = f'<{wrap[0]} data-y="1"{wrap[1]}>{body()}{comments() if some(0.35) else ""}</{wrap[0]}>'
         if some(0.3):
-            main = f'<div class="{pick(["container", "wrap", "page", "row"])}" data-y="0">{main}{aside() if some(0.4) else ""}</div>'
+            main = f'<div class="{pick(["container", "wrap", "page", "row", word()])}" data-y="0">{main}{aside() if some(0.4) else ""}</div>'
         before = [pick([menu(), menu("div").replace("<div", '<div class="menu"', 1), ""])]
-        before += [f'<header data-y="0">{pick([link(), f"<h2>{short()}</h2>", f"<p>{text(2, 14)}</p>"])}{menu() if some(0.4) else ""}</header>'] if some(0.5) else []
+        before += [head()] if some(0.5) else []
         before += [f() for f in (junk, form, aside) if some(0.4)]
         after = [f() for f in (junk, aside, comments, form) if some(0.35)]
         after += [f'<footer data-y="0">{pick([text(3, 40), f"<p>{text(3, 30)}</p>", " ".join(link() for _ in range(3)), f"&copy; {word()} {text(3, 12)}"])}</footer>'] if some(0.85) else []
@@ -332,24 +371,32 @@ def labelled_pages(pages: int = 240, seed: int = 19) -> list[str]:
 
 
 def train_tree(pages: list[str], epochs: int = 8, rate: float = 0.25, seed: int = 23) -> TreeModel:
-    """Likelihood ascent page by page: observed minus expected features, expectations from the model's own messages."""
-    model = TreeModel({}, {})
+    """Likelihood ascent page by page: observed minus expected features, expectations from the model's own messages.
+
+    The result is the mean of the weights after each epoch of the later half, which depends less on the last pages seen.
+    """
     data = []
+    seen: Counter = Counter()
     for p in pages:
         nodes, _ = parse(p, labelled=True)
         y = []
         for node in nodes:
             y.append(node.label if node.label is not None else y[node.parent] if node.parent >= 0 else 0)
         data.append((nodes, y))
+        seen.update({x for node in nodes for x in node.names})
+    model = TreeModel({}, {}, frozenset(x for x, k in seen.items() if k >= 3))
     rng = np.random.default_rng(seed)
+    one, two = defaultdict(float), defaultdict(lambda: [0.0] * 4)
+    later = epochs - epochs // 2
     for epoch in range(epochs):
         lr = rate / (1 + 0.5 * epoch)
         for k in rng.permutation(len(data)):
             nodes, y = data[k]
             prob, pairs = model.marginals(nodes, edges=True)
+            held = around(nodes)
             for i, node in enumerate(nodes):
                 g = lr * (y[i] - prob[i])
-                for f in unary(node):
+                for f in unary(node, model.known, held[i], held[node.parent] if i else 0):
                     model.one[f] = model.one.get(f, 0.0) * 0.9999 + g
                 if i:
                     for f in pairwise(node):
@@ -357,7 +404,12 @@ def train_tree(pages: list[str], epochs: int = 8, rate: float = 0.25, seed: int
                         for c in range(4):
                             w[c] -= lr * pairs[i][c]
                         w[2 * y[node.parent] + y[i]] += lr
-    return model
+        if epoch >= epochs - later:
+            for f, v in model.one.items():
+                one[f] += v / later
+            for f, w in model.two.items():
+                two[f] = [a + b / later for a, b in zip(two[f], w)]
+    return TreeModel(dict(one), dict(two), model.known)
 
 
 def main_text(page: str, model: TreeModel) -> str:
