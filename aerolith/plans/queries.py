@@ -21,8 +21,7 @@ from ..operators.quantile import quantiles
 from ..operators.timejoin import exact_join, interpolating_join, last_known, nearest_join
 from ..schemas import ABS_GUARD, DECLINATION_DEG, FIELD_CAMERA, FIELD_CAMERA_FLAT, M_PER_DEG_COARSE, MOUNT_NED, NED, SIGNED_GUARD, SWAPPED
 from ..sources.fixtures import view
-from ..sources.simulate import simulate_flight
-from ..sources.telemetry import camera_from_mapping, checkerboard, frame_table, frames_from_messages, normalize_telemetry, number_frames, state_rows
+from ..sources.telemetry import frames_from_messages, normalize_telemetry, number_frames, state_rows
 from . import pipelines, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,16 +208,6 @@ def frame_time_mapping(spark, d):
     return _det(spark, d).select("frame_idx", rounded(ms, 4).alias("t_ms"), geo.frame_at(k / F.lit(7.0), 3.0, 60.0).alias("frame_of_time"))
 
 
-@query
-def frame_scan(spark, d):
-    return _r(frame_table(spark, 27000, 30.0, every=10), t_ms=4)
-
-
-@query
-def checkerboard_points(spark, d):
-    return checkerboard(spark)
-
-
 @query
 def conf_filter_strict(spark, d):
     return confident(_det(spark, d), 0.5, strict=True).select("frame_idx", "flag_id")
@@ -366,15 +355,6 @@ def alias_normalize(spark, d):
     return _r(out, lat=7, lon=7, roll_rad=9, pitch_rad=9, yaw_rad=9)
 
 
-@query
-def camera_layouts(spark, d):
-    """The three file layouts read as one camera."""
-    k = [[1432.0, 0.0, 960.0], [0.0, 1431.0, 540.0], [0.0, 0.0, 1.0]]
-    specs = [{"K": k, "dist": [-0.09, 0.06, 0, 0, 0]}, {"camera_matrix": k, "dist_coeffs": [[-0.09, 0.06, 0, 0, 0]]}, {"fx": 1432, "fy": 1431, "cx": 960, "cy": 540, "dist_coeffs": [-0.09, 0.06]}]
-    cams = [camera_from_mapping(s) for s in specs]
-    return spark.createDataFrame([(i, c.fx, c.fy, c.cx, c.cy, *c.coefficients) for i, c in enumerate(cams)], "layout int, fx double, fy double, cx double, cy double, k1 double, k2 double, p1 double, p2 double, k3 double")
-
-
 def _report(spark, d):
     return reports.against_truth(pipelines.median_pipeline(_det(spark, d)), view(spark, d, "truth_v"))
 
@@ -394,16 +374,6 @@ def mission_total(spark, d):
     return _r(reports.mission_total(_report(spark, d)), share=6)
 
 
-@query
-def error_budget(spark, d):
-    return _r(reports.error_budget(spark), err_m=6)
-
-
-@query
-def error_budget_rss(spark, d):
-    return _r(reports.root_sum_square(reports.error_budget(spark)), rss_m=6, rss_averaged_m=6)
-
-
 @query
 def error_vs_n_prefix_median(spark, d):
     m = agg.prefix_medians(localize(confident(_det(spark, d))), ["flag_id"])
@@ -443,12 +413,6 @@ def experiment_metrics(spark, d):
     return _r(out, p95_m=3, sd_m=3, bias_m=3, share_20m=6)
 
 
-@query
-def simulate_flight_deterministic(spark, d):
-    f = simulate_flight(spark, 30.05, 31.25, heading_deg=45.0, gps_noise_m=0.0, alt_noise_m=0.0, att_noise_deg=0.0)
-    return _r(f.drop("_n", "_e"), time_s=6, lat_uav=7, lon_uav=7, altitude=6)
-
-
 @query
 def inject_false_alarms(spark, d):
     mixed = reports.with_false_alarms(_det(spark, d))
@@ -457,7 +421,7 @@ def inject_false_alarms(spark, d):
 
 @query
 def filter_matrix(spark, d):
-    """Median error of each target under six filters of the given detections, of all headings; for the nine simulated scenarios see ``scenario_matrix``."""
+    """Median error of each target under six filters of the given detections, of all headings."""
     table = F.broadcast(spark.createDataFrame(reports.FILTERS, "scenario string, height double, least double, attitude boolean, frames int"))
     det = _det(spark, d).join(table, (F.coalesce("confidence", F.lit(1.0)) >= F.col("least")) & (F.abs(F.col("altitude") - F.col("height")) <= 10.0))
     for c in ("roll_deg", "pitch_deg"):
@@ -472,40 +436,6 @@ def filter_matrix(spark, d):
     return _r(out, mean_error_m=3)
 
 
-@query
-def scenario_flights(spark, d):
-    """The detections that each of the nine scenarios keeps of its own simulated flight."""
-    out = reports.simulated_detections(reports.flight_plans(spark))
-    return _r(out.select("scenario", "frame_idx", "u", "v", "altitude", "pitch_deg", "confidence"), u=4, v=4, altitude=6, pitch_deg=6, confidence=6)
-
-
-@query
-def scenario_matrix(spark, d):
-    """The nine scenarios: simulate, detect, first n, median of the confident, score."""
-    return _r(reports.run_plans(reports.flight_plans(spark)), error_m=3)
-
-
-@query
-def full_mission(spark, d):
-    """Five flags, three passes each, pooled by flag."""
-    return _r(reports.run_plans(reports.mission_plans(spark), "flag"), error_m=3)
-
-
-@query
-def scenario_labels(spark, d):
-    """Number, short title and remark of each scenario's name, and its error as text."""
-    parts = F.split("scenario", r"\. ", 2)
-    text = F.split(parts[1], ",", 2)
-    out = reports.run_plans(reports.flight_plans(spark))
-    return out.select(parts[0].cast("int").alias("number"), F.trim(text[0]).alias("title"), F.trim(F.coalesce(F.get(text, F.lit(1)), F.lit(""))).alias("remark"),
-                      F.format_string("%.1f m", geo.rounded(F.col("error_m"), 1)).alias("error_text"))
-
-
-@query
-def stress_tests(spark, d):
-    return _r(reports.stress_tests(spark), value=3, limit=3)
-
-
 @query
 def stress_limits(spark, d):
     """Per heading: median error of all frames flown at it, and whether it is within 20 m."""

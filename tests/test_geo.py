@@ -276,47 +276,6 @@ def test_a_dense_cell_of_100_000_points_and_small_groups_together(spark):
     assert got == {1: (n, n, 0), 2: (10, 9, 0), 3: (10, 9, 0)}
 
 
-def test_nine_scenarios_fly_as_their_table_says(spark, sf):
-    from aerolith.plans import reports
-    from aerolith.plans.queries import QUERIES
-
-    rows = {r.scenario: r for r in QUERIES["scenario_matrix"](spark, sf).collect()}
-    assert {k: r.n_dets for k, r in rows.items()} == {f[0]: f[-1] for f in reports.FLIGHTS} and len(rows) == 9
-    dets = reports.simulated_detections(reports.flight_plans(spark)).collect()
-    for name, heading, altitude, wind, _, attitude, frames in reports.FLIGHTS:
-        mine = [r for r in dets if r.scenario == name]
-        assert abs(np.mean([r.yaw_deg for r in mine]) - heading) < 4 and abs(np.mean([r.altitude for r in mine]) - altitude) < 6
-        assert abs(np.mean([r.pitch_deg for r in mine]) - (wind if attitude else 0.0)) < (4 if attitude else 1e-9)
-        assert attitude == (rows[name].error_m < 3) and (rows[name].points == 15) == (rows[name].error_m <= 20)
-    blind = reports.run_plans(reports.flight_plans(spark, (("blind", 0.0, -80.0, 0.0, 1.0, True, 5),))).first()
-    assert (blind.n_dets, blind.error_m, blind.points) == (0, None, 0)
-
-
-def test_stress_tests_pass_with_their_own_limits(spark):
-    from aerolith.plans import reports
-
-    got = reports.stress_tests(spark).collect()
-    assert {r.test for r in got} == {f"ST-{k}" for k in range(1, 9)} and len(got) == 18 and all(r.passes for r in got)
-    assert {r.limit for r in got if r.test == "ST-1"} == {8.0} and {r.limit for r in got if r.test == "ST-4"} == {20.0, 30.0}
-
-
-def test_noise_is_normal_and_of_the_row_alone(spark):
-    from aerolith.sources.simulate import gauss, uniform
-
-    row = spark.range(20_000).select(gauss(F.col("id"), F.lit(7), 3).alias("g"), gauss(F.col("id"), F.lit(8), 3).alias("o"), uniform(F.col("id"), F.lit(7), 3, 0).alias("u"))
-    r = row.agg(F.avg("g"), F.stddev("g"), F.corr("g", "o"), F.avg("u"), F.min("u"), F.max("u"), F.corr("g", F.col("u"))).first()
-    assert abs(r[0]) < 0.03 and abs(r[1] - 1) < 0.03 and abs(r[2]) < 0.03 and abs(r[3] - 0.5) < 0.01 and 0 < r[4] < r[5] < 1
-
-
-def test_simulated_detections_lead_back_to_the_target(spark):
-    from aerolith.sources.simulate import simulate_detections, simulate_flight
-
-    flight = simulate_flight(spark, 30.06, 31.26, heading_deg=90.0, gps_noise_m=0.0, att_noise_deg=0.0, alt_noise_m=0.0)
-    seen = simulate_detections(flight, bbox_noise_px=0.0)
-    e = localize(seen, FIELD_CAMERA_FLAT).select(geo.haversine(F.col("est_lat"), F.col("est_lon"), F.lit(30.06), F.lit(31.26)).alias("e")).agg(F.max("e"), F.count("*")).first()
-    assert e[0] < 1e-3 and 0.6 * 108 < e[1] < 120  # some 4 s of 30 frames see it, four in five are kept
-
-
 def test_last_known_values_cross_buckets(spark):
     from aerolith.operators.timejoin import last_known
 
