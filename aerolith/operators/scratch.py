@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _tables: dict[str, SparkSession] = {}
+#: Paths written in the innermost :func:`settled` of this thread.
+_mine: ContextVar[list | None] = ContextVar("_mine", default=None)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing: dict[int, list] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,6 +32,32 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends, or with the :func:`settled` around."""
+    path = f"{shared_root(spark)}/aerolith-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    if _mine.get() is not None:
+        _mine.get().append(path)
+    return path
+
+
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Drop the shuffle files of a write once it is done; the session's own setting is back when no thread writes any more."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        state = _writing.setdefault(key, [0, spark.conf.get(_CLEANUP, "false")])
+        state[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(_CLEANUP, _writing.pop(key)[1])
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -31,15 +65,9 @@ def written(df: DataFrame) -> DataFrame:
     Empty tables keep their schema. The files go when the driver ends, or by :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/aerolith-{uuid.uuid4().hex}"
-    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(option, "false")
-    spark.conf.set(option, "true")  # the shuffle files of this write are not needed once it is done
-    try:
+    path = scratch_path(spark)
+    with _dropping_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(option, before)
-    _tables[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._aerolith_path = path
     return out
@@ -55,11 +83,18 @@ def release(*tables: DataFrame) -> None:
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
-    """Write the result of ``make``, then delete every other table that was written on the way to it."""
-    before = set(_tables)
-    out = written(make())
-    for path in set(_tables) - before - {out._aerolith_path}:
-        _delete(_tables.pop(path), path)
+    """Write the result of ``make``, then delete every other table that this thread wrote on the way to it."""
+    outer, mine = _mine.get(), []
+    token = _mine.set(mine)
+    try:
+        out = written(make())
+    finally:
+        _mine.reset(token)
+    for path in mine:
+        if path != out._aerolith_path and path in _tables:
+            _delete(_tables.pop(path), path)
+    if outer is not None:
+        outer.append(out._aerolith_path)
     return out
 
 

@@ -18,10 +18,12 @@ from ..operators.dbscan import clustered_position, dbscan
 from ..operators.detect import blobs_to_detections, detections_from_boxes
 from ..operators.localize import central_crop, confident, detector_for, every_nth_frame, in_frame, localize, localize_nadir, project_to_image, without_tilt
 from ..operators.quantile import quantiles
+from ..operators.scratch import scratch_path
 from ..operators.timejoin import exact_join, interpolating_join, last_known, nearest_join
 from ..schemas import ABS_GUARD, DECLINATION_DEG, FIELD_CAMERA, FIELD_CAMERA_FLAT, M_PER_DEG_COARSE, MOUNT_NED, NED, SIGNED_GUARD, SWAPPED
 from ..sources.fixtures import view
-from ..sources.telemetry import frames_from_messages, normalize_telemetry, number_frames, state_rows
+from ..sources.flightlog import flight_messages, read_flight_log, write_flight_log
+from ..sources.telemetry import frames_from_messages, normalize_telemetry, number_frames, read_phone_csv, state_rows
 from . import pipelines, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,6 +348,28 @@ def telemetry_forward_fill(spark, d):
     return _r(state_rows(view(spark, d, "messages_v")), lat=7, lon=7)
 
 
+@query
+def telemetry_from_log(spark, d):
+    """The messages written as binary logs, one for each flight, read back in splits, numbered into frames and pivoted: as ``telemetry_by_time``."""
+    path = scratch_path(spark)
+    write_flight_log(view(spark, d, "messages_v").withColumn("time_us", (F.col("t") * 1000).cast("long")), path)
+    return _r(frames_from_messages(number_frames(flight_messages(read_flight_log(spark, path, split=1 << 20)), 0.05)), lat=7, lon=7)
+
+
+@query
+def telemetry_folder(spark, d):
+    """Telemetry written as files of two headers, whose columns differ in name and order and one of which has a column more, and read as one folder."""
+    t, path = view(spark, d, "telemetry_v"), scratch_path(spark)
+    first = t.where("flight_id % 2 = 0").select(F.col("t_ms").alias("time"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("alt_m").alias("altitude"),
+                                               F.col("roll_deg").alias("roll"), F.col("pitch_deg").alias("pitch"), F.col("yaw_deg").alias("azimuth"))
+    second = t.where("flight_id % 2 = 1").select(F.col("flight_id").alias("flight"), F.col("yaw_deg").alias("heading"), "pitch_deg", "roll_deg", F.col("lon").alias("lng"), "lat", F.col("alt_m").alias("alt"),
+                                                F.col("t_ms").alias("timestamp"))
+    for part in (first, second):
+        part.write.mode("append").option("header", True).csv(path)
+    out = read_phone_csv(spark, path)
+    return _r(out.withColumn("flight", F.coalesce(F.col("flight").cast("long"), F.lit(-1))), lat=7, lon=7, roll_rad=9, pitch_rad=9, yaw_rad=9)
+
+
 @query
 def alias_normalize(spark, d):
     t = view(spark, d, "telemetry_v")

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import csv
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import written
 from ..operators.timejoin import last_known
 from ..schemas import DECLINATION_DEG, GROUND_TRUTH, TELEMETRY_ALIASES, TELEMETRY_REQUIRED, Camera
 
+#: Most different headers in one folder.
+MOST_HEADERS = 1000
+
+
+def canonical_names(header: list[str]) -> list[str]:
+    """The known names of a header's columns; others as they are. Two columns for one field, or a missing field, raise ValueError."""
+    names = [TELEMETRY_ALIASES.get(c.strip().lower(), c.strip()) for c in header]
+    twice = sorted(n for n in set(names) if names.count(n) > 1)
+    if twice:
+        raise ValueError(f"more than one column for {twice}")
+    missing = sorted(set(TELEMETRY_REQUIRED) - set(names))
+    if missing:
+        raise ValueError(f"missing columns {missing}; available: {sorted(header)}")
+    return names
+
 
 def normalize_telemetry(raw: DataFrame) -> DataFrame:
     """Alias headers, demand the seven fields, drop rows that lack one, angles to radians.
@@ -17,22 +34,47 @@ def normalize_telemetry(raw: DataFrame) -> DataFrame:
     Unknown columns stay. Two headers for one field, or a missing field, raise ValueError. Rows keep no order;
     operators that need one sort for themselves.
     """
-    names = {c: TELEMETRY_ALIASES.get(c.strip().lower(), c.strip()) for c in raw.columns}
-    twice = sorted(n for n in set(names.values()) if list(names.values()).count(n) > 1)
-    if twice:
-        raise ValueError(f"more than one column for {twice}")
-    missing = sorted(set(TELEMETRY_REQUIRED) - set(names.values()))
-    if missing:
-        raise ValueError(f"missing columns {missing}; available: {sorted(raw.columns)}")
-    df = raw.withColumnsRenamed(names)
+    df = raw.withColumnsRenamed(dict(zip(raw.columns, canonical_names(raw.columns))))
     df = df.withColumns({c: F.col(c).cast("double") for c in TELEMETRY_REQUIRED}).dropna(subset=list(TELEMETRY_REQUIRED))
     turned = {f"{a}_rad": F.radians(f"{a}_deg") for a in ("roll", "pitch", "yaw")}
     return df.withColumns(turned).drop("roll_deg", "pitch_deg", "yaw_deg")
 
 
-def read_phone_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A telemetry CSV with any of the known headers; values are read as text and cast, so no inference pass runs."""
-    return normalize_telemetry(spark.read.option("header", True).csv(path))
+def read_phone_csv(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    """Telemetry of a CSV file or a folder of them, each with its own header: any known names in any order.
+
+    Files are told apart by their first lines, which a pass over the text of their first blocks finds by partial aggregates. Then all
+    files are one scan, in which every line is parsed by the layout of its file, so columns never swap. Only the different headers reach
+    the driver (``MOST_HEADERS`` at most). Columns that only some files have are null in the rows of the others; unknown ones are text. A
+    header without one of the seven fields, or with two columns for one, raises ValueError and names a file. ``file`` names a column
+    for the file's path. Lines equal to their file's header are no rows; a value may be quoted, but not hold a line break.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    clean = F.regexp_replace(F.rtrim("value"), "^\ufeff", "")
+    ranked = lines.where("_block = 0").select("_file", clean.alias("value"), F.monotonically_increasing_id().alias("_at")).where("value <> ''")
+    heads = written(ranked.groupBy("_file").agg(F.min_by("value", "_at").alias("_header")))
+    headers = sorted((r._header, r.example) for r in heads.groupBy("_header").agg(F.min("_file").alias("example")).limit(MOST_HEADERS + 1).collect())
+    if len(headers) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} different headers in {path}")
+    layouts = []
+    for header, example in headers:
+        try:
+            layouts.append(canonical_names(next(csv.reader([header]))))
+        except ValueError as e:
+            raise ValueError(f"{example}: {e}") from None
+    every = list(dict.fromkeys((*TELEMETRY_REQUIRED, *(c for names in layouts for c in names))))
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    if not layouts:
+        return normalize_telemetry(spark.createDataFrame([], ", ".join(f"{c} string" for c in (*every, *filter(None, [file])))))
+    few = heads.count() * 512 <= 32 << 20  # paths and headers
+    known = lines.join(F.broadcast(heads) if few else heads, "_file")
+    row = F.lit(None)
+    for (header, _), names in zip(headers, layouts):
+        parsed = F.from_csv(clean, ", ".join(f"{quoted(c)} string" for c in names))
+        whole = F.struct(*[(parsed[c] if c in names else F.lit(None).cast("string")).alias(c) for c in every])
+        row = F.when((F.col("_header") == header) & (clean != header), whole).otherwise(row)  # a header's own fields stay null and go
+    rows = known.select(row.alias("_row"), F.col("_file"))
+    return normalize_telemetry(rows.select("_row.*", *([F.col("_file").alias(file)] if file else [])))
 
 
 def number_frames(messages: DataFrame, fps: float, by: str = "flight_id", time: str = "t") -> DataFrame:
