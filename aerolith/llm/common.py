@@ -12,6 +12,8 @@ from ..operators.scratch import release, settled, written
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a bin of :func:`dense_index`, and how many times that makes a bin too large for one task.
+BIN_ROWS, HOT = 4096, 16
 
 __all__ = ["BROADCAST_BYTES", "WHITE_SPACE", "dense_index", "free_names", "keep_rows", "materialize", "release", "same_keys", "settled", "small_or_not",
            "strip_white_space", "text_or_empty", "word_count"]
@@ -85,19 +87,29 @@ def dense_index(df: DataFrame, rows: int, group: str, order: list[str], name: st
     ``order`` columns decide a hash bin; rows are numbered inside (group, bin) and shifted by the counts of
     the group's earlier bins. ``rows`` is the table's row count, from which the number of bins follows
     (at most 16384, so the table of counts stays small). Rows equal in all ``order`` columns are
-    interchangeable. ``df`` is read twice, so hand in something cheap to read.
+    interchangeable; where so many are equal that a bin holds ``HOT`` times its share, the bin is cut by where its rows
+    were read. ``df`` is read a few times, so hand in something cheap to read.
     """
-    bins = max(1, min(-(-rows // 4096), 16384))
+    bins = max(1, min(-(-rows // BIN_ROWS), 16384))
     df = df.withColumn("_bin", F.pmod(F.xxhash64(*order), F.lit(bins)))
-    before = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    most = HOT * max(BIN_ROWS, -(-rows // bins))
+    large = df.groupBy(group, "_bin").agg(F.count("*").alias("_cuts")).where(F.col("_cuts") > most)
+    large = materialize(large.withColumn("_cuts", F.ceil(F.col("_cuts") / BIN_ROWS)))  # at most rows / most of them
+    if large.isEmpty():
+        df = df.withColumn("_cut", F.lit(0).cast("long"))
+    else:
+        cut = F.coalesce(F.pmod(F.xxhash64("_at"), F.col("_cuts")), F.lit(0)).cast("long")
+        placed = df.withColumn("_at", F.monotonically_increasing_id()).join(small_or_not(large, 64), [group, "_bin"], "left").withColumn("_cut", cut)
+        df = materialize(placed.drop("_at", "_cuts"))  # as what is read twice must be cut alike
+    before = Window.partitionBy(group).orderBy("_bin", "_cut").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        df.groupBy(group, "_bin").agg(F.count("*").alias("_n"))
-        .select(group, "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+        df.groupBy(group, "_bin", "_cut").agg(F.count("*").alias("_n"))
+        .select(group, "_bin", "_cut", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     )
-    inside = Window.partitionBy(group, "_bin").orderBy(*order)
+    inside = Window.partitionBy(group, "_bin", "_cut").orderBy(*order)
     return (
         df.withColumn("_r", F.row_number().over(inside) - 1)
-        .join(shift, [group, "_bin"])
+        .join(shift, [group, "_bin", "_cut"])
         .withColumn(name, (F.col("_shift") + F.col("_r")).cast("long"))
-        .drop("_bin", "_r", "_shift")
+        .drop("_bin", "_cut", "_r", "_shift")
     )

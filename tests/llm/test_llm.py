@@ -765,3 +765,15 @@ def test_quads_of_very_long_zeros(spark):
     quad = "0" * 5000 + ".0.0.1"
     assert pii.base_spans(quad) == [(0, 1, 5006)] and pii.base_spans("9" * 5000 + ".0.0.1") == [] and pii.base_spans("000.00.0.0256") == []
     assert pii.find_personal_data(table(spark, [(1, quad + " 1.2.3.4", "a")])).first().n_ip == 2
+
+
+def test_equal_rows_are_numbered_in_many_tasks(spark, monkeypatch):
+    """Rows without an id and of one length, or all alike, are no single bin; numbers stay gapless in every group."""
+    from aerolith.llm import common
+
+    monkeypatch.setattr(common, "BIN_ROWS", 64)
+    df = common.materialize(spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("k"), F.lit(7).alias("length"), (F.col("id") % 2).alias("g")).repartition(6))
+    out = common.dense_index(df, 9000, "g", ["k", "length"])
+    for g in (0, 1):
+        assert sorted(r.slot for r in out.where(f"g = {g}").select("slot").collect()) == list(range(4500))
+    assert sorted(out.columns) == ["g", "k", "length", "slot"]
