@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..schemas import DBSCAN_EPS_M, DBSCAN_MIN_POINTS
 from .aggregate import local_metres, weighted
-from .scratch import written
+from .scratch import release, written
 
 #: Groups up to this many points are clustered in one task each; larger ones take the grid. Up to SMALL a table of all distances serves.
 GROUP_LIMIT, SMALL = 5000, 512
@@ -128,7 +128,7 @@ def touch(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
     return False
 
 
-def _components(nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
     """``by, a, label``: the smallest node that each node is linked with; ``links`` has both directions."""
     links = written(links.unionByName(nodes.select(by, "a", F.col("a").alias("b"))))
     label = written(nodes.select(by, "a", F.col("a").alias("label")))
@@ -137,9 +137,12 @@ def _components(nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
         # the label's own node has a label that is as good: halves the way of long chains
         jump = label.withColumnsRenamed({"a": "low", "label": "lower"})
         new = written(spread.join(jump, [by, "low"], "left").select(by, "a", F.least("low", "lower").alias("label")))
-        if not new.join(label.withColumnRenamed("label", "was"), [by, "a"]).where("label <> was").limit(1).count():
-            return new
+        same = new.join(label.withColumnRenamed("label", "was"), [by, "a"]).where("label <> was").isEmpty()
+        release(label)
         label = new
+        if same:
+            release(links)
+            return label
 
 
 def _around(df: DataFrame, half: bool = False) -> DataFrame:
@@ -180,7 +183,7 @@ def _by_grid(points: DataFrame, by: str, order: str, eps: float, least: int) ->
         .select(by, "a", F.col("o_a").alias("b"), F.col("ax").alias("acx"), F.col("ay").alias("acy"), F.col("cx").alias("bcx"), F.col("cy").alias("bcy"),
                 *[c for o in ("", "o_") for c in (f"{o}x0", f"{o}x1", f"{o}y0", f"{o}y1")], met.alias("met")))
     both = lambda df: df.select(by, "a", "b").unionByName(df.select(by, F.col("b").alias("a"), F.col("a").alias("b")))
-    label = _components(cells.select(by, "a"), both(near.where("met")), by)
+    label = components(cells.select(by, "a"), both(near.where("met")), by)
     la, lb = label.withColumnRenamed("label", "la"), label.withColumnsRenamed({"a": "b", "label": "lb"})
     apart = written(near.where("not met").join(la, [by, "a"]).join(lb, [by, "b"]).where("la <> lb"))
     if apart.limit(1).count():
@@ -197,7 +200,7 @@ def _by_grid(points: DataFrame, by: str, order: str, eps: float, least: int) ->
 
         kinds = T.StructType([f for f in apart.select(by, "a", "b").schema.fields])
         more = part("a", "o_").unionByName(part("b", "")).groupBy(by, "a", "b").applyInPandas(test, kinds)
-        label = _components(cells.select(by, "a"), both(near.where("met").select(by, "a", "b").unionByName(more)), by)
+        label = components(cells.select(by, "a"), both(near.where("met").select(by, "a", "b").unionByName(more)), by)
     labelled = core.join(cells.select(*key, "a").join(label, [by, "a"]).select(*key, F.col("label").alias("cluster")), key)
     edge = asks(border).join(labelled, key).where(close).groupBy(by, "a").agg(F.min("cluster").alias("cluster"))
     found = labelled.select(by, F.col("id").alias(order), "cluster").unionByName(edge.withColumnRenamed("a", order))

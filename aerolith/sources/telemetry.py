@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.scratch import written
 from ..operators.timejoin import last_known
 from ..schemas import DECLINATION_DEG, GROUND_TRUTH, TELEMETRY_ALIASES, TELEMETRY_REQUIRED, Camera
+from .jsonlist import JsonList
 
 #: Most different headers in one folder.
 MOST_HEADERS = 1000
@@ -142,8 +143,9 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """JSON lines, one file for each partition; a result has one row per target, so few rows."""
-    df.write.mode("overwrite").json(path)
+    """One JSON file with the list of all rows, in the order of ``df``'s partitions: the whole list is there, or the old file as it was."""
+    df.sparkSession.dataSource.register(JsonList)
+    df.write.format("jsonlist").mode("append").save(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

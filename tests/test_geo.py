@@ -182,7 +182,7 @@ def test_camera_layouts_and_board(spark, tmp_path):
         camera_from_mapping({"x": 1})
     assert checkerboard(spark).count() == 54
     write_results(checkerboard(spark), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 54
+    assert spark.read.option("multiLine", True).json(str(tmp_path / "out")).count() == 54
 
 
 def test_planted_mount_offset_is_recovered(spark, sf):

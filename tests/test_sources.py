@@ -166,3 +166,27 @@ def test_two_threads_keep_each_others_tables(spark):
     with ThreadPoolExecutor(4) as pool:
         assert list(pool.map(work, range(4))) == [500, 1000, 1500, 2000]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_results_are_one_list(spark, tmp_path):
+    import json
+
+    from aerolith.sources.telemetry import write_results
+
+    path = tmp_path / "out.json"
+    df = spark.range(0, 100, 1, 7).select("id", F.when(F.col("id") % 3 == 0, F.lit('é "q"')).alias("name"), F.struct((F.col("id") / 7).alias("x")).alias("s"))
+    write_results(df.where("id % 5 <> 1"), f"file://{path}")
+    assert json.loads(path.read_text()) == [{"id": i, "name": None if i % 3 else 'é "q"', "s": {"x": i / 7}} for i in range(100) if i % 5 != 1]
+    write_results(df.where("id < 0"), str(path))
+    assert json.loads(path.read_text()) == [] and [p.name for p in tmp_path.iterdir()] == ["out.json"]
+
+
+def test_a_failed_task_leaves_the_old_list(spark, tmp_path):
+    from aerolith.sources.telemetry import write_results
+
+    path = tmp_path / "out.json"
+    write_results(spark.range(3), str(path))
+    old = path.read_text()
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|zero"):
+        write_results(spark.range(0, 1000, 1, 8).select((F.lit(1) / (F.col("id") - 777)).alias("x")), str(path))
+    assert path.read_text() == old and [p.name for p in tmp_path.iterdir()] == ["out.json"]
