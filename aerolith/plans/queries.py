@@ -13,12 +13,14 @@ from ..functions.geo import rounded
 from ..functions.lens import distort, undistort
 from ..operators import aggregate as agg
 from ..operators import calibrate
+from ..operators.blobs import blobs, close_and_open
 from ..operators.calibrate import calibrate_mount as fit_mount
 from ..operators.dbscan import clustered_position, dbscan
 from ..operators.detect import blobs_to_detections, detections_from_boxes
 from ..operators.localize import central_crop, confident, detector_for, every_nth_frame, in_frame, localize, localize_nadir, project_to_image, without_tilt
 from ..operators.quantile import quantiles
 from ..operators.scratch import scratch_path
+from ..operators.tiles import merge_boxes, with_tiles
 from ..operators.timejoin import exact_join, interpolating_join, last_known, nearest_join
 from ..schemas import ABS_GUARD, DECLINATION_DEG, FIELD_CAMERA, FIELD_CAMERA_FLAT, M_PER_DEG_COARSE, MOUNT_NED, NED, SIGNED_GUARD, SWAPPED
 from ..sources.fixtures import view
@@ -118,6 +120,30 @@ def blob_detections(spark, d):
     return _r(blobs_to_detections(blobs).select("frame_idx", "u", "v", "confidence"), u=5, v=5, confidence=6)
 
 
+@query
+def tiled_detections(spark, d):
+    """Boxes around the detections as tiles of their frame see them, cut at each tile's border and surer the more is seen; merged they are whole and once."""
+    boxes = with_tiles(_det(spark, d).select(F.floor(F.col("frame_idx") / 4).cast("long").alias("frame_idx"), "confidence", "u", "v"))
+    cut = boxes.select(
+        "frame_idx", F.greatest(F.col("u") - 12, "left").alias("x1"), F.greatest(F.col("v") - 9, "top").alias("y1"), F.least(F.col("u") + 14, "right").alias("x2"), F.least(F.col("v") + 11, "bottom").alias("y2"),
+        "confidence").where("x1 < x2 and y1 < y2")
+    seen = F.col("confidence") * ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / F.lit(520.0))
+    return _r(merge_boxes(cut.withColumn("confidence", seen)), x1=5, y1=5, x2=5, y2=5, confidence=6)
+
+
+@query
+def colour_blobs(spark, d):
+    """Thumbnails of frames, in which detections are painted as rectangles with a hole and a speck beside; closed, opened, labelled, and measured."""
+    c = _det(spark, d).select(F.floor(F.col("frame_idx") / 4).cast("long").alias("frame_idx"), F.floor(F.col("u") / 8).cast("long").alias("cx"), F.floor(F.col("v") / 8).cast("long").alias("cy"),
+                              (F.col("frame_idx") % 3 + 2).alias("size"))
+    side = lambda: F.explode(F.sequence(F.lit(-4).cast("long"), F.lit(6).cast("long")))
+    painted = c.withColumn("dx", side()).withColumn("dy", side()).where(
+        ((F.abs("dx") <= F.col("size")) & (F.abs("dy") <= F.col("size")) & ((F.col("dx") != 0) | (F.col("dy") != 0))) | ((F.col("dx") == 6) & (F.col("dy") == 6)))
+    pixels = painted.select("frame_idx", (F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"))
+    found = blobs(close_and_open(pixels, width=240, height=135), tile=32)
+    return _r(blobs_to_detections(found, least_area=10.0, full_area=200.0).select("frame_idx", "m00", "m10", "m01", "u", "v", "confidence"), u=5, v=5, confidence=6)
+
+
 @query
 def detector_choice(spark, d):
     return detector_for(_det(spark, d)).groupBy("detector").agg(F.count("*").alias("n"))
