@@ -1,4 +1,4 @@
-"""Mount calibration: small offset angles that bring known targets into place, by a simplex search over sums from Spark."""
+"""Mount calibration: small offset angles that bring known targets into place, by normal equations or a simplex search over sums from Spark."""
 
 from __future__ import annotations
 
@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CALIBRATION_GUARD, FIELD_CAMERA_FLAT, M_PER_DEG, MOUNT_NED, Camera
-from .scratch import written
+from .scratch import release, written
+
+#: Step of the derivatives, in radians.
+STEP = 1e-3
 
 
 def euler_matrix(a: float, b: float, c: float) -> np.ndarray:
@@ -59,8 +62,8 @@ def simplex_minimum(
     return points[best], float(values[best])
 
 
-def squared_error(offsets: np.ndarray, rays: np.ndarray, angles: np.ndarray, height: np.ndarray, uav: np.ndarray, truth: np.ndarray, mount: np.ndarray | None) -> float:
-    """Sum of squared ground errors in metres; rays too flat to meet the ground are left out of the sum.
+def ground_errors(offsets: np.ndarray, rays: np.ndarray, angles: np.ndarray, height: np.ndarray, uav: np.ndarray, truth: np.ndarray, mount: np.ndarray | None) -> np.ndarray:
+    """Errors in metres, north and east, of each observation; 0 where the ray is too flat to meet the ground.
 
     With a ``mount`` the offsets turn what it has turned. Without one they are the mount themselves and are added to the
     attitude's ``angles`` too, and the first component is east: the older order, which applies them twice.
@@ -69,13 +72,18 @@ def squared_error(offsets: np.ndarray, rays: np.ndarray, angles: np.ndarray, hei
     added = angles + offsets if mount is None else angles
     w = np.einsum("ijn,nj->ni", euler_matrix(*added.T), turned)
     ok = np.abs(w[:, 2]) >= CALIBRATION_GUARD
-    t = height[ok] / w[ok, 2]
-    north, east = (w[ok, 1], w[ok, 0]) if mount is None else (w[ok, 0], w[ok, 1])
-    lat = uav[ok, 0] + t * north / M_PER_DEG
-    lon = uav[ok, 1] + t * east / (M_PER_DEG * np.cos(np.radians(uav[ok, 0])))
-    n = (lat - truth[ok, 0]) * M_PER_DEG
-    e = (lon - truth[ok, 1]) * M_PER_DEG * np.cos(np.radians(truth[ok, 0]))
-    return float((n * n + e * e).sum())
+    t = np.where(ok, height / np.where(ok, w[:, 2], 1.0), 0.0)
+    north, east = (w[:, 1], w[:, 0]) if mount is None else (w[:, 0], w[:, 1])
+    lat = uav[:, 0] + t * north / M_PER_DEG
+    lon = uav[:, 1] + t * east / (M_PER_DEG * np.cos(np.radians(uav[:, 0])))
+    n = (lat - truth[:, 0]) * M_PER_DEG
+    e = (lon - truth[:, 1]) * M_PER_DEG * np.cos(np.radians(truth[:, 0]))
+    return np.where(ok[:, None], np.stack([n, e], axis=1), 0.0)
+
+
+def squared_error(offsets: np.ndarray, rays: np.ndarray, angles: np.ndarray, height: np.ndarray, uav: np.ndarray, truth: np.ndarray, mount: np.ndarray | None) -> float:
+    """Sum of squared ground errors in metres; see :func:`ground_errors`."""
+    return float(np.square(ground_errors(offsets, rays, angles, height, uav, truth, mount)).sum())
 
 
 COLUMNS = ("u", "v", "altitude", "lat_uav", "lon_uav", "roll_deg", "pitch_deg", "yaw_deg", "true_lat", "true_lon")
@@ -90,35 +98,119 @@ def observed(observations: DataFrame, mount: tuple | None) -> DataFrame:
     return rows
 
 
+def _arrays(batch: pa.RecordBatch, cam: Camera) -> tuple:
+    """Rays, attitude in radians, height, place and truth of a batch of observations."""
+    a = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+    rays = np.stack([(a[:, 0] - cam.cx) / cam.fx, (a[:, 1] - cam.cy) / cam.fy, np.ones(len(a))], axis=1)
+    return rays, np.radians(a[:, 5:8]), a[:, 2], a[:, 3:5], a[:, 8:10]
+
+
 def squared_errors(rows: DataFrame, points: list[np.ndarray], cam: Camera, mount: tuple | None) -> list[float]:
     """The objective at each of ``points`` (offsets in radians), summed over all ``rows`` in Spark; only sums reach the driver."""
     turn = None if mount is None else np.array(mount, dtype=float)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            rays = np.stack([(a[:, 0] - cam.cx) / cam.fx, (a[:, 1] - cam.cy) / cam.fy, np.ones(len(a))], axis=1)
-            angles = np.radians(a[:, 5:8])
-            yield pa.record_batch([pa.array([squared_error(x, rays, angles, a[:, 2], a[:, 3:5], a[:, 8:10], turn)]) for x in points], names=[f"e{i}" for i in range(len(points))])
+            given = _arrays(batch, cam)
+            yield pa.record_batch([pa.array([squared_error(x, *given, turn)]) for x in points], names=[f"e{i}" for i in range(len(points))])
+
+    parts = rows.mapInArrow(sums, ", ".join(f"e{i} double" for i in range(len(points))))
+    return list(parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in parts.columns]).first())
 
-    parts = rows.mapInArrow(sums, ", ".join(f"e{i} double" for i in range(len(points)))).collect()
-    return [math.fsum(p[i] for p in parts) for i in range(len(points))]
+
+_PAIRS = ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))
+
+
+def local_sums(at: np.ndarray, errors: Callable[[np.ndarray], np.ndarray], step: float = STEP) -> np.ndarray:
+    """22 sums over the rows of ``errors``: products of (slope by each angle, error), 4 x 4, and error times second slope, by ``_PAIRS``."""
+    e = step * np.eye(3)
+    here = errors(at)
+    ahead, behind = [errors(at + d) for d in e], [errors(at - d) for d in e]
+    flat = (here == 0).all(axis=1)[:, None]  # no ray, no slope
+    sides = [np.where(flat, 0.0, (p - q) / (2 * step)) for p, q in zip(ahead, behind)]
+    bends = []
+    for i, j in _PAIRS:
+        if i == j:
+            bends.append(((ahead[i] - 2 * here + behind[i]) * here).sum() / step**2)
+        else:
+            both = errors(at + e[i] + e[j]) + errors(at - e[i] - e[j])
+            bends.append(((both - ahead[i] - ahead[j] - behind[i] - behind[j] + 2 * here) * here).sum() / (2 * step**2))
+    a = np.stack([*sides, here], axis=2).reshape(-1, 4)
+    return np.concatenate([(a.T @ a).ravel(), bends])
+
+
+def normal_equations(rows: DataFrame, at: np.ndarray, cam: Camera, mount: tuple | None, step: float = STEP) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """J'J, J'r and r'r of the ground errors r at offsets ``at`` (radians), and the sum of r times its second slopes; one pass, summed in Spark."""
+    turn = None if mount is None else np.array(mount, dtype=float)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(22)
+        for batch in batches:
+            given = _arrays(batch, cam)
+            total += local_sums(at, lambda x: ground_errors(x, *given, turn), step)
+        yield pa.record_batch([pa.array([v]) for v in total], names=[f"s{k}" for k in range(22)])
+
+    parts = rows.mapInArrow(sums, ", ".join(f"s{k} double" for k in range(22)))
+    return equations_of(np.array(list(parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in parts.columns]).first())))
+
+
+def equations_of(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    whole, bend = sums[:16].reshape(4, 4), np.zeros((3, 3))
+    for (i, j), v in zip(_PAIRS, sums[16:]):
+        bend[i, j] = bend[j, i] = v
+    return whole[:3, :3], whole[:3, 3], float(whole[3, 3]), bend
+
+
+def least_squares(equations: Callable, start: np.ndarray, tolerance: float = 1e-6, most: int = 60) -> tuple[np.ndarray, float, int]:
+    """Levenberg-Marquardt: point, value and passes. Each pass gives the sums at a trial point; a worse one only raises the damping.
+
+    Where errors stay large, J'J alone is a poor curvature and steps are short; so the second slopes' part is added where the whole is positive.
+    It ends when a step moves no coordinate by more than ``tolerance``, or lowers the value by less than a billionth.
+    """
+    x, damping = np.array(start, dtype=float), 1e-3
+    a, g, value, bend = equations(x)
+    for done in range(1, most):
+        curve = a + bend if np.linalg.eigvalsh(a + bend).min() > 1e-9 * np.trace(a) else a
+        step = -np.linalg.lstsq(curve + damping * np.diag(np.maximum(np.diag(a), 1e-12)), g, rcond=None)[0]
+        if np.abs(step).max() <= tolerance:
+            return x, value, done
+        trial = equations(x + step)
+        if trial[2] <= value:
+            small = value - trial[2] <= 1e-9 * value
+            x, (a, g, value, bend), damping = x + step, trial, damping / 10
+            if small:
+                return x, value, done + 1
+        else:
+            damping *= 10
+    return x, value, most
+
+
+def normal_sums(observations: DataFrame, offsets_deg: list[tuple], cam: Camera = FIELD_CAMERA_FLAT, mount: tuple | None = MOUNT_NED) -> DataFrame:
+    """What a step of the fit solves, at each of given offsets: ``roll_deg, pitch_deg, yaw_deg, row, a1, a2, a3, g``, J'J by row beside J'r."""
+    rows = written(observed(observations, mount))
+    out = []
+    for o in offsets_deg:
+        a, g, _, _ = normal_equations(rows, np.radians(o), cam, mount)
+        out += [(*map(float, o), k, *map(float, a[k]), float(g[k])) for k in range(3)]
+    release(rows)
+    return observations.sparkSession.createDataFrame(out, "roll_deg double, pitch_deg double, yaw_deg double, row int, a1 double, a2 double, a3 double, g double")
 
 
 def mount_objective(observations: DataFrame, offsets_deg: list[tuple], cam: Camera = FIELD_CAMERA_FLAT, mount: tuple | None = MOUNT_NED) -> DataFrame:
     """``roll_deg, pitch_deg, yaw_deg, squared_m2`` of given offsets: what :func:`calibrate_mount` minimizes."""
     rows = written(observed(observations, mount))
     found = squared_errors(rows, [np.radians(o) for o in offsets_deg], cam, mount)
+    release(rows)
     return observations.sparkSession.createDataFrame([(*map(float, o), e) for o, e in zip(offsets_deg, found)], "roll_deg double, pitch_deg double, yaw_deg double, squared_m2 double")
 
 
-def calibrate_mount(observations: DataFrame, cam: Camera = FIELD_CAMERA_FLAT, mount: tuple | None = MOUNT_NED) -> DataFrame:
+def calibrate_mount(observations: DataFrame, cam: Camera = FIELD_CAMERA_FLAT, mount: tuple | None = MOUNT_NED, simplex: bool = False) -> DataFrame:
     """One row ``roll_deg, pitch_deg, yaw_deg, rms_m, n_rows``: the mount's offsets that fit the observations best.
 
     ``observations`` has ``u, v, altitude, lat_uav, lon_uav, roll_deg, pitch_deg, yaw_deg, true_lat, true_lon``.
-    All of them count: they are written once, each step of the search sums squared errors over them in
-    Spark, and only sums reach the driver. The root mean square counts skipped rows too. No rows give no
-    result row. Without a ``mount`` the older order is fitted, see :func:`squared_error`.
+    All of them count: they are written once, each step is one pass that sums normal equations over them in Spark, and only
+    sums reach the driver. The root mean square counts skipped rows too. No rows give no result row. Without a ``mount`` the older
+    order is fitted, see :func:`ground_errors`. ``simplex`` searches with values alone, which takes some ten times the passes.
     """
     spark = observations.sparkSession
     schema = "roll_deg double, pitch_deg double, yaw_deg double, rms_m double, n_rows long"
@@ -126,6 +218,9 @@ def calibrate_mount(observations: DataFrame, cam: Camera = FIELD_CAMERA_FLAT, mo
     n = rows.count()
     if not n:
         return spark.createDataFrame([], schema)
-    several = lambda points: squared_errors(rows, points, cam, mount)
-    best, value = simplex_minimum(None, np.zeros(3), several=several)
+    if simplex:
+        best, value = simplex_minimum(None, np.zeros(3), several=lambda points: squared_errors(rows, points, cam, mount))
+    else:
+        best, value, _ = least_squares(lambda x: normal_equations(rows, x, cam, mount), np.zeros(3))
+    release(rows)
     return spark.createDataFrame([(*(float(x) for x in np.degrees(best)), math.sqrt(value / n), n)], schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -550,10 +551,19 @@ def _observations(spark, d):
 
 @query
 def calibrate_mount(spark, d):
-    """Recovers a planted mount offset; a simplex search is no SQL, so tests hold it against the planted angles."""
+    """Recovers a planted mount offset; an iteration is no SQL, so tests hold it against the planted angles and a simplex search; for one step see ``mount_step``."""
     return fit_mount(_observations(spark, d))
 
 
+@query
+def mount_step(spark, d):
+    """The normal equations that a step of the fit solves, per observation and in metres a degree, at two offsets."""
+    obs = _observations(spark, d)
+    out = calibrate.normal_sums(obs, [(0.0, 0.0, 0.0), (4.0, -0.5, 1.0)]).crossJoin(obs.agg(F.count("*").alias("n")))  # one row
+    turn = F.lit(math.pi / 180)
+    return out.select("roll_deg", "pitch_deg", "yaw_deg", "row", *[rounded(F.col(c) / F.col("n") * turn * turn, 4).alias(c) for c in ("a1", "a2", "a3")], rounded(F.col("g") / F.col("n") * turn, 4).alias("g"))
+
+
 @query
 def mount_objective(spark, d):
     """What the fit minimizes, per observation and at given offsets; and the older order's, which applies offsets twice."""

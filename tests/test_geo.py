@@ -324,3 +324,32 @@ def test_the_older_mount_form_applies_offsets_twice(spark, sf):
 
     got = {(r.form, r.roll_deg): r.rms_m for r in QUERIES["mount_objective"](spark, sf).collect()}
     assert len(got) == 6 and got[("mount", 1.0)] != got[("older", 1.0)]
+
+
+def test_normal_equations_find_what_the_simplex_finds(spark, sf):
+    """The same offsets in a few passes, also for the older order; sums over all rows and any partitions."""
+    from aerolith.operators import calibrate as c
+    from aerolith.plans.queries import _observations
+
+    obs = _observations(spark, sf)
+    for mount in (c.MOUNT_NED, None):
+        quick, slow = c.calibrate_mount(obs, mount=mount).first(), c.calibrate_mount(obs, mount=mount, simplex=True).first()
+        assert quick.rms_m <= slow.rms_m + 1e-6 and quick.n_rows == slow.n_rows
+        assert all(abs(quick[k] - slow[k]) < 5e-3 for k in range(3))
+    rows = c.observed(obs, c.MOUNT_NED)
+    one, many = (c.normal_equations(rows.repartition(p), np.zeros(3), c.FIELD_CAMERA_FLAT, c.MOUNT_NED) for p in (1, 7))
+    assert np.allclose(one[0], many[0], rtol=1e-9) and np.allclose(one[1], many[1], rtol=1e-6) and math.isclose(one[2], many[2], rel_tol=1e-9)
+    passes = c.least_squares(lambda x: c.normal_equations(rows, x, c.FIELD_CAMERA_FLAT, c.MOUNT_NED), np.zeros(3))[2]
+    assert passes <= 10
+
+
+def test_least_squares_of_a_curved_valley():
+    from aerolith.operators.calibrate import least_squares
+
+    def equations(x):
+        r = np.array([10 * (x[1] - x[0] ** 2), 1 - x[0], 0.5 * (x[2] + 2)])
+        j = np.array([[-20 * x[0], 10, 0], [-1, 0, 0], [0, 0, 0.5]])
+        return j.T @ j, j.T @ r, float(r @ r), np.diag([-20 * r[0], 0, 0])
+
+    x, value, passes = least_squares(equations, np.array([-1.2, 1.0, 0.0]))
+    assert np.allclose(x, [1, 1, -2], atol=1e-4) and value < 1e-8 and passes < 50
