@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..functions.geo import rounded
-from ..functions.lens import distort, undistort
+from ..functions.lens import distort, undistort, undistort_converged
 from ..operators import aggregate as agg
 from ..operators import calibrate
 from ..operators.blobs import blobs, close_and_open
@@ -80,6 +80,14 @@ def undistort_pixel(spark, d):
     return _r(df.select("frame_idx", "xn", "yn"), xn=9, yn=9)
 
 
+@query
+def undistort_to_convergence(spark, d):
+    """Pixels in single precision, straightened until the forward model gives them back."""
+    x, y = geo.pixel_to_ray(F.col("u").cast("float").cast("double"), F.col("v").cast("float").cast("double"), FIELD_CAMERA)
+    df = undistort_converged(in_frame(_det(spark, d)).withColumns({"xd": x, "yd": y}), "xd", "yd", FIELD_CAMERA)
+    return _r(df.select("frame_idx", "xn", "yn"), xn=9, yn=9)
+
+
 @query
 def distort_roundtrip(spark, d):
     """Largest and mean distance, in millionths of the image plane's unit, after bending a ray and straightening it again; and how far it was bent."""

@@ -353,3 +353,21 @@ def test_least_squares_of_a_curved_valley():
 
     x, value, passes = least_squares(equations, np.array([-1.2, 1.0, 0.0]))
     assert np.allclose(x, [1, 1, -2], atol=1e-4) and value < 1e-8 and passes < 50
+
+
+def test_converged_lens_inverse_is_exact(spark, sf):
+    """The forward model gives every pixel of a frame back, for the field camera and for a strong lens."""
+    from aerolith.functions.lens import undistort_converged
+    from aerolith.schemas import Camera
+
+    strong = Camera(900.0, 900.0, 960.0, 540.0, (-0.12, 0.03, 0.001, -0.002, -0.004))
+    pixels = spark.range(0, 1921, 60).select(F.col("id").cast("double").alias("u")).crossJoin(spark.range(0, 1081, 60).select(F.col("id").cast("double").alias("v")))
+    for cam, most in ((FIELD_CAMERA, 1e-14), (strong, 1e-14)):
+        df = pixels.withColumns({"xd": (F.col("u") - cam.cx) / cam.fx, "yd": (F.col("v") - cam.cy) / cam.fy})
+        for steps in (4 if cam is FIELD_CAMERA else 8, 8):
+            found = undistort_converged(df, "xd", "yd", cam, steps=steps)
+            x, y = distort(F.col("xn"), F.col("yn"), cam)
+            assert found.agg(F.max(F.greatest(F.abs(x - F.col("xd")), F.abs(y - F.col("yd"))))).first()[0] <= most
+        coarse = undistort(df, "xd", "yd", cam)
+        x, y = distort(F.col("xn"), F.col("yn"), cam)
+        assert coarse.agg(F.max(F.abs(x - F.col("xd")))).first()[0] > most
