@@ -20,6 +20,7 @@ from ..operators.dbscan import clustered_position, dbscan
 from ..operators.detect import blobs_to_detections, detections_from_boxes
 from ..operators.localize import central_crop, confident, detector_for, every_nth_frame, in_frame, localize, localize_nadir, project_to_image, without_tilt
 from ..operators.quantile import quantiles
+from ..operators.running import LIMIT, running_medians
 from ..operators.scratch import scratch_path
 from ..operators.tiles import merge_boxes, with_tiles
 from ..operators.timejoin import exact_join, interpolating_join, last_known, nearest_join
@@ -439,6 +440,23 @@ def error_vs_n_prefix_median(spark, d):
     return _r(m, lat=7, lon=7)
 
 
+def _running(spark, d, by, limit):
+    e = localize(confident(_det(spark, d))).where("est_lat is not null")
+    return _r(running_medians(e, by, {"lat": "est_lat", "lon": "est_lon"}, "frame_idx", limit), lat=7, lon=7)
+
+
+@query
+def running_median_by_target(spark, d):
+    """The medians of every prefix of every target's estimates, without an end."""
+    return _running(spark, d, ["flag_id"], LIMIT)
+
+
+@query
+def running_median_pooled(spark, d):
+    """The same of all detections as one group, which is cut into buckets: of 1,024 rows here, as the tables are small."""
+    return _running(spark, d, [], 1024)
+
+
 @query
 def imu_ablation(spark, d):
     det = confident(_det(spark, d))
