@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize, release
+from ..operators.ordered import ordered_index
+from .common import materialize
 
 #: Children of a node.
 FANOUT = 8
-#: Rows that one range of the index is meant to hold, and most ranges.
-RANGE_ROWS, MOST_RANGES = 1 << 16, 1 << 14
 
 
 def encoded(value: Column) -> Column:
@@ -29,28 +27,6 @@ def parent_hash(children: Column) -> Column:
     return F.sha2(F.concat_ws("", children).cast("binary"), 256)
 
 
-def ordered_index(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Add ``i``, gapless from 0 in the order of ``order`` (nulls first) inside ``group`` (not null), and ``n``, the group's rows.
-
-    Rows are dealt into ranges of the whole order, numbered inside (group, range), and shifted by the counts of the group's
-    earlier ranges. So neither a group nor a value that holds most rows is one task: rows equal in all of ``order`` are
-    told apart by where they were read, and are interchangeable.
-    """
-    table = materialize(df)
-    ranges = max(1, min(-(-table.count() // RANGE_ROWS), MOST_RANGES))
-    told = table.withColumn("_at", F.xxhash64(F.monotonically_increasing_id()))
-    dealt = materialize(told.repartitionByRange(ranges, group, *order, "_at").withColumn("_range", F.spark_partition_id()))
-    release(table)
-    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_k"))
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    shift = counts.select(group, "_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_shift"), F.sum("_k").over(Window.partitionBy(group)).alias("n"))
-    inside = Window.partitionBy(group, "_range").orderBy(*order, "_at")
-    numbered = dealt.withColumn("_r", F.row_number().over(inside) - 1).join(shift, [group, "_range"])
-    out = materialize(numbered.withColumn("i", (F.col("_shift") + F.col("_r")).cast("long")).drop("_at", "_range", "_r", "_shift"))
-    release(dealt)
-    return out
-
-
 def climb(nodes: DataFrame, fanout: int) -> tuple[list[DataFrame], DataFrame]:
     """Levels above ``nodes`` (``g, i, n, h``) and the top of each ``g``: ``g, depth, h``.
 

@@ -137,3 +137,37 @@ ORACLES = {
         select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.norm) as text_sha256
         from t join g on t.norm = g.norm""",
 }
+
+_FIELD = "case when {0} is null then '-' else strlen(cast({0} as varchar)) || ':' || cast({0} as varchar) end"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """A recursive table of all levels, and one of what stands beside each node in its run."""
+    beside = lambda rows: f"coalesce(string_agg(h, '') over (partition by l, g, i // 8 order by i rows between {rows}), '')"
+    return f"""{name} as (select 0 as l, g, i, n, h from {leaves} union all select l + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from {name} where n > 1 group by l, g, i // 8, n),
+        {name}_by as (select l, g, i, {beside("unbounded preceding and 1 preceding")} as a, {beside("1 following and unbounded following")} as b from {name} where n > 1)"""
+
+
+def _walk(name: str, levels: str, start: str) -> str:
+    """From each start up to where nothing stands beside: the folded hash and all siblings on the way."""
+    return f"""{name}_all as (select * from {start} union all select w.row, w.g0, w.l + 1, w.g, w.i // 8, sha256(s.a || w.h || s.b), w.proof || s.a || s.b
+          from {name}_all w join {levels}_by s on s.l = w.l and s.g = w.g and s.i = w.i),
+        {name} as (select row, g0, arg_max(h, l) as h, arg_max(proof, l) as proof from {name}_all group by row, g0)"""
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+        with recursive crc_table as (select list_transform(range(256), lambda v: list_reduce(list_concat([v], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+        hashed as (select doc_id, coalesce('=' || lang, '') as g, sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) as h,
+          sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} || {_FIELD.format(_LOWER)}) as low,
+          xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) as crc
+          from documents, crc_table),
+        leaves as (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as i, count(*) over (partition by g) as n, row_number() over () as row from hashed),
+        {_levels("tree", "leaves")},
+        subroots as (select g as lang, '' as g, h, row_number() over (order by g) - 1 as i, count(*) over () as n from tree where n = 1),
+        {_levels("above", "subroots")},
+        top as (select h as root from above where n = 1),
+        {_walk("path", "tree", "(select row, g as g0, 0 as l, g, i, case when crc % 3 = 0 then low else h end as h, '' as proof from leaves)")},
+        {_walk("upper", "above", "(select p.row, p.g0, 0 as l, s.g, s.i, p.h, p.proof from path p join subroots s on s.lang = p.g0)")}
+        select v.doc_id, v.h as leaf, s.h as subroot, root, sha256(u.proof) as proof_sha256, u.h as folded_root, u.h = root as verified
+        from leaves v join upper u on u.row = v.row join subroots s on s.lang = v.g, top"""

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolith.llm import merkle
-from aerolith.llm.merkle import folded, merkle_manifest, ordered_index, proof_hash
+from aerolith.llm.merkle import folded, merkle_manifest, proof_hash
 from aerolith.llm.queries import QUERIES
+from aerolith.operators import ordered
 
 H = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -89,12 +90,12 @@ def test_odd_rows(spark, tmp_path):
 
 def test_repeated_rows_and_hot_group(spark, tmp_path, monkeypatch):
     """A row that is most of the table is spread over ranges; equal rows are leaves each."""
-    monkeypatch.setattr(merkle, "RANGE_ROWS", 64)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 64)
     rows = [(1, "s", "en", 1, "Same")] * 700 + [(i, "s", "de", 1, "t") for i in range(50)]
     out = query_on(spark, rows, tmp_path)
     assert got(out) == naive([dict(zip(COLUMNS, r)) for r in rows])
     named = spark.createDataFrame([("g", 5)] * 1000, "g string, v int").repartition(7)
-    indexed = ordered_index(named, "g", ["v"])
+    indexed = ordered.ordered_index(named, "g", ["v"])
     assert [r.i for r in indexed.orderBy("i").collect()] == list(range(1000))
 
 
