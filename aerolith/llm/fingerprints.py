@@ -1,4 +1,4 @@
-"""Document fingerprints: a threshold-scaled sketch of word shingles, with a floor for short documents."""
+"""Document fingerprints: a threshold-scaled sketch, which keeps every shingle hash below a fixed fraction; small sets stay whole."""
 
 from __future__ import annotations
 
@@ -15,20 +15,18 @@ from pyspark.sql import functions as F
 from .common import materialize, release
 from .textkernel import U, shingle_sets
 
-#: A hash stays if it is below 2**64 * FRACTION; of a document with fewer such hashes the FLOOR smallest stay.
-FRACTION = 1 / 8
-FLOOR = 64
+#: A hash stays if it is below 2**64 * FRACTION; sets of at most WHOLE hashes stay whole.
+FRACTION = 1 / 2
+WHOLE = 64
 _EVERY = 1 << 64
 
 
-def sketch(hashes: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> tuple[np.ndarray, int]:
+def sketch(hashes: np.ndarray, fraction: float = FRACTION, whole: int = WHOLE) -> tuple[np.ndarray, int]:
     """Kept hashes of a sorted distinct set, and the limit below which they are complete."""
+    if len(hashes) <= whole:
+        return hashes, _EVERY
     limit = int(_EVERY * fraction)
-    below = int(np.searchsorted(hashes, U(limit)))
-    kept = hashes[: max(below, min(floor, len(hashes)))]
-    if len(kept) == len(hashes):
-        return kept, _EVERY
-    return kept, limit if below >= floor else int(kept[-1]) + 1
+    return hashes[: np.searchsorted(hashes, U(limit))], limit
 
 
 def to_text(kept: np.ndarray, limit: int) -> str:
@@ -39,7 +37,7 @@ def from_text(fingerprint: str, fraction: float = FRACTION) -> tuple[np.ndarray,
     kept = np.frombuffer(base64.b64decode(fingerprint[1:]), dtype="<u8").astype(U)
     if fingerprint[0] == "c":
         return kept, _EVERY
-    return kept, max(int(_EVERY * fraction), int(kept[-1]) + 1)
+    return kept, int(_EVERY * fraction)
 
 
 def _common(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> tuple[int, int, int]:
@@ -62,12 +60,11 @@ def containment(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
     return both / n if n else 1.0 if a[1] == _EVERY else 0.0
 
 
-def merge(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int], fraction: float = FRACTION, floor: int = FLOOR) -> tuple[np.ndarray, int]:
+def merge(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int], fraction: float = FRACTION, whole: int = WHOLE) -> tuple[np.ndarray, int]:
     """The sketch of the union, from the two sketches alone."""
     limit = min(a[1], b[1])
     every = np.union1d(*(k if limit == _EVERY else k[: np.searchsorted(k, U(limit))] for k, _ in (a, b)))
-    kept, known = sketch(every, fraction, floor)
-    return kept, min(limit, known)
+    return sketch(every, fraction, whole) if limit == _EVERY else (every, limit)
 
 
 #: Rows of a range of documents on average, ranges at most, and keys picked for each of them, so that ranges are about even.

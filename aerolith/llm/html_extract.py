@@ -440,6 +440,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple = ("
     the page are not read, whatever their names.
     """
     model = pages.sparkSession.sparkContext.broadcast(train_tree(labelled or labelled_pages()))
-    rows = pages.select(*keep, F.col(html_col).alias("html"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "html") + "text string, n_chars long"
-    return rows.mapInArrow(lambda it: _rows(it, model.value), schema)
+    own = [f"_k{i}" for i in range(len(keep))]
+    rows = pages.select(*[F.col(c).alias(k) for c, k in zip(keep, own)], F.col(html_col).alias("html"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "html") + "text string, n_chars long"
+    found = rows.mapInArrow(lambda it: _rows(it, model.value), schema)
+    return found.select(*[F.col(k).alias(c) for c, k in zip(keep, own)], "text", "n_chars")

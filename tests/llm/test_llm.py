@@ -415,6 +415,23 @@ def test_sketches_estimate_and_merge():
         assert np.array_equal(k, s[0]) and limit == s[1]
 
 
+@pytest.mark.parametrize("n, most", [(20, 0.0), (64, 0.0), (70, 0.06), (230, 0.035), (2000, 0.012)])
+def test_error_of_likeness_by_length(n, most):
+    """Mean error of the estimate for texts of ``n`` shingles of which half are shared; none where sets stay whole, else the sampling error of the fraction."""
+    rng, errors = np.random.default_rng(n), []
+    for _ in range(200):
+        every = rng.integers(0, 1 << 63, n + n // 2, dtype=np.uint64) * np.uint64(2)
+        a, b = np.unique(every[:n]), np.unique(every[n // 2 :])
+        errors.append(abs(fp.likeness(fp.sketch(a), fp.sketch(b)) - len(np.intersect1d(a, b)) / len(np.union1d(a, b))))
+    assert np.mean(errors) <= most
+
+
+def test_kept_columns_may_have_the_operators_names(spark):
+    pages = spark.createDataFrame([(1, "<p>Some text of the page.</p>", "x", 5)], "page_id int, html string, text string, n_chars int")
+    out = html_extract.extract_main_text(pages, keep=("html", "page_id"))
+    assert out.columns == ["html", "page_id", "text", "n_chars"] and out.first().html == pages.first().html
+
+
 def test_fingerprints_follow_the_contract(spark, rows):
     ids = [(i, t, s) for k, (i, t, s) in enumerate(rows) if i is not None and k < len(rows) - 3]
     got = {r.doc_id: r for r in fp.fingerprint_pairs(table(spark, ids)).collect()}
