@@ -88,10 +88,10 @@ def _labels_by_cells(xy: np.ndarray, order: np.ndarray, eps: float, least: int)
     return label
 
 
-def _by_group(points: DataFrame, by: str, order: str, eps: float, least: int, together: int = 64) -> DataFrame:
+def _by_group(points: DataFrame, by: str, order: str, eps: float, least: int, groups: int | None = None, together: int = 64) -> DataFrame:
     """About ``together`` groups, by hash, are one call into Python; each is clustered on its own."""
     schema = T.StructType([*points.schema.fields, T.StructField("cluster", T.LongType())])
-    calls = max(1, -(-points.select(by).distinct().count() // together))
+    calls = max(1, -(-(points.select(by).distinct().count() if groups is None else groups) // together))
 
     def some(pdf: pd.DataFrame) -> pd.DataFrame:
         found = np.empty(len(pdf), dtype=np.int64)
@@ -212,20 +212,21 @@ def dbscan(
 ) -> DataFrame:
     """Add ``x_m, y_m, cluster`` to estimates (rows without one go); noise is -1.
 
-    ``order`` is a long, unique in its group; a cluster's number is its smallest core ``order``. ``auto``
-    counts groups first: those up to ``GROUP_LIMIT`` points are one task's arrays each, larger ones take the grid.
+    ``order`` is a long, unique in its group; a cluster's number is its smallest core ``order``. ``df`` is read a few times, so hand in
+    something cheap to read. ``auto`` counts groups first: those up to ``GROUP_LIMIT`` points are one task's arrays each, larger ones take the grid.
     Both give the same labels.
     """
     points = local_metres(df.where("est_lat is not null and est_lon is not null"), [by])
+    groups = None
     if method == "auto":
         sizes = df.groupBy(by).agg(F.count("*").alias("n"))
-        most, fewest = sizes.agg(F.max("n"), F.min("n")).first()
+        most, fewest, groups = sizes.agg(F.max("n"), F.min("n"), F.count("*")).first()
         method = "groups" if (most or 0) <= GROUP_LIMIT else "grid" if fewest > GROUP_LIMIT else "both"
     if method == "both":
         large = written(sizes.where(F.col("n") > GROUP_LIMIT).select(F.col(by).alias("_large")))
         on = F.col(by).eqNullSafe(F.col("_large"))
-        return _by_grid(written(points.join(large, on, "left_semi")), by, order, eps, least).unionByName(_by_group(points.join(large, on, "left_anti"), by, order, eps, least))
-    return (_by_group if method == "groups" else _by_grid)(points, by, order, eps, least)
+        return _by_grid(written(points.join(large, on, "left_semi")), by, order, eps, least).unionByName(_by_group(points.join(large, on, "left_anti"), by, order, eps, least, groups))
+    return _by_group(points, by, order, eps, least, groups) if method == "groups" else _by_grid(points, by, order, eps, least)
 
 
 def clustered_position(

@@ -21,7 +21,7 @@ from ..operators.detect import blobs_to_detections, detections_from_boxes
 from ..operators.localize import central_crop, confident, detector_for, every_nth_frame, in_frame, localize, localize_nadir, project_to_image, without_tilt
 from ..operators.quantile import quantiles
 from ..operators.running import LIMIT, running_medians
-from ..operators.scratch import scratch_path
+from ..operators.scratch import scratch_path, written
 from ..operators.tiles import merge_boxes, with_tiles
 from ..operators.timejoin import exact_join, interpolating_join, last_known, nearest_join
 from ..schemas import ABS_GUARD, DECLINATION_DEG, FIELD_CAMERA, FIELD_CAMERA_FLAT, M_PER_DEG_COARSE, MOUNT_NED, NED, SIGNED_GUARD, SWAPPED
@@ -308,7 +308,8 @@ def _cluster_points(spark, d):
 
 @query
 def dbscan_labels(spark, d):
-    return dbscan(_cluster_points(spark, d)).select("flag_id", "frame_idx", "cluster")
+    points = written(_cluster_points(spark, d).select("flag_id", "frame_idx", "est_lat", "est_lon"))
+    return dbscan(points).select("flag_id", "frame_idx", "cluster")
 
 
 @query
