@@ -9,13 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import small_or_not
+from .common import materialize, release, small_or_not
 from .textkernel import U, buffers, slices, word_hashes, words
 
 #: Rows of the embedding table for each kind of feature: words, byte 3-grams, byte 4-grams, word pairs.
 BITS = 16
 KINDS = 4
+#: Bytes of all bags that the fit, which is one task, may hold.
+FIT_BYTES = 512 << 20
 
 
 def _features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -175,15 +178,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int, lea
     return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("quality").alias("quality"))
 
 
-def _learnt(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column | None, rows_per_label: int):
+def within_bytes(made: DataFrame, fit_bytes: int) -> DataFrame:
+    """Of the bags, which are few, those of each label whose sizes sum up to half of ``fit_bytes``, in the order of their texts' ids by hash."""
+    size = F.octet_length("ids") + F.octet_length("share")
+    upto = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")  # at most rows_per_label rows of a few bytes
+    held = made.select("doc_id", "quality", size.cast("long").alias("size")).withColumn("upto", F.sum("size").over(upto))
+    return made.join(small_or_not(held.where(F.col("upto") <= fit_bytes // 2).select("doc_id"), 32), "doc_id", "left_semi")
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column | None, rows_per_label: int, fit_bytes: int = FIT_BYTES):
     """The model, learnt in one task from at most 2 * ``rows_per_label`` bags of features, which other tasks make of the texts.
 
-    A bag has at most 2^18 buckets (1.5 MB), whatever its text's length. The driver gets one number a bucket.
+    A bag has at most 2^18 buckets (2 MiB), whatever its text's length, and all bags of the task ``fit_bytes`` at most. The driver gets one number a bucket.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = labelled_sample(named, labels, rows_per_label, F.lit(True) if learn is None else learn)
-    made = sample.mapInArrow(_bag_rows, "doc_id string, quality int, ids binary, share binary")
-    model = made.repartition(1).mapInArrow(_fitted, "lean binary, bias double").collect()
+    made = materialize(sample.mapInArrow(_bag_rows, "doc_id string, quality int, ids binary, share binary"))
+    model = within_bytes(made, fit_bytes).repartition(1).mapInArrow(_fitted, "lean binary, bias double").collect()
+    release(made)
     lean = np.frombuffer(model[0]["lean"], np.float32) if model else np.zeros(1, np.float32)
     return docs.sparkSession.sparkContext.broadcast(lean), model[0]["bias"] if model else 0.0, bool(model)
 
@@ -203,7 +215,7 @@ def quality_scores(
     """Every row's ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``, with ``id_col`` and the columns of ``keep``.
 
     The model learns from a bounded sample of the labelled rows for which ``learn`` (over ``labels``) holds:
-    ``rows_per_label`` is that bound. It sees texts only. Since the hidden vector is a mean, the logit is a
+    ``rows_per_label`` is that bound, and ``FIT_BYTES`` bounds the bags of the sample. It sees texts only. Since the hidden vector is a mean, the logit is a
     mean of one number for each bucket; executors get that table (1 MiB, whatever the corpus) and score whole texts.
 
     Null and empty texts get the model's score of no features; very long texts are scored whole, one being the least a task
@@ -211,7 +223,9 @@ def quality_scores(
     repeated rows are scored each; an empty table gives no rows; clashing names don't matter, as only named columns are read.
     """
     lean, bias, known = _learnt(docs, labels, id_col, text_col, learn, rows_per_label)
-    kept = docs.select(F.col(id_col), *(keep or []), F.col(text_col).alias("text"))
+    own = [id_col, *(keep or [])]
+    kept = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(own)], F.col(text_col).alias("text"))
     types = {f.name: f.dataType.simpleString() for f in kept.schema if f.name != "text"}
-    schema = ", ".join(f"`{n}` {t}" for n, t in types.items()) + ", score double"
-    return kept.mapInArrow(lambda it: _scores(it, lean.value, bias, known), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = ", ".join(f"{n} {t}" for n, t in types.items()) + ", score double"
+    found = kept.mapInArrow(lambda it: _scores(it, lean.value, bias, known), schema)
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(own)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -396,6 +396,20 @@ def test_quality_on_held_out_documents(spark):
     assert kept.columns == docs.columns and 0.6 * docs.count() < kept.count() < docs.count()
 
 
+def test_the_fit_is_bounded_in_bytes(spark):
+    """Of too many or too large bags those of the first texts by hash are kept, the same for any partitions; keeping columns of any names."""
+    bags = spark.createDataFrame([(str(i), i % 2, bytes(4 * (i + 1)), bytes(4 * (i + 1))) for i in range(100)], "doc_id string, quality int, ids binary, share binary")
+    some = [sorted((r.doc_id, len(r.ids) + len(r.share)) for r in quality.within_bytes(b, 8000).collect()) for b in (bags.coalesce(1), bags.repartition(7))]
+    assert some[0] == some[1] and 0 < len(some[0]) < 100
+    for q in (0, 1):
+        assert sum(n for d, n in some[0] if int(d) % 2 == q) <= 4000
+    assert quality.within_bytes(bags, 1 << 30).count() == 100
+    docs = spark.createDataFrame([(1, "some words", 2.0), (2, None, 3.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    out = quality.quality_scores(docs, labels, keep=["text"])
+    assert out.columns == ["doc_id", "text", "score", "predicted"] and {r.text for r in out.collect()} == {"some words", None}
+
+
 def test_quality_without_labels(spark, rows):
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.quality_scores(table(spark, rows), labels).collect()} == {0.5}
