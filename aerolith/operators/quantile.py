@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from .scratch import release, written
 
 #: Values of one group that one task may hold, and cells of one zoom.
 LIMIT, BINS = 1 << 20, 1024
+_MOST = sys.float_info.max
 
 
 def quantiles(df: DataFrame, by: list[str], columns: dict[str, str], share: float = 0.5, counted: DataFrame | None = None, at_most: int | None = None, limit: int = LIMIT) -> DataFrame:
@@ -43,6 +46,7 @@ def zoomed(rows: DataFrame, groups: DataFrame, by: list[str], column: str, share
 
     A turn counts the interval's values in ``BINS`` cells, by partial aggregates, and goes on in the cell that holds the wanted rank, between
     the least and the largest value there, until it has at most ``limit`` values or one value. So no task holds more than ``limit`` values.
+    Infinities and NaN, which counts as the largest value, have cells of their own.
     """
     keyed = lambda df: df.withColumn("_g", F.struct(*[F.col(k).alias(k) for k in by]) if by else F.lit(0))
     x = keyed(rows.join(groups, [rows[k].eqNullSafe(groups[k]) for k in by], "left_semi") if by else rows).select("_g", F.col(column).cast("double").alias("x")).where("x is not null")
@@ -52,8 +56,9 @@ def zoomed(rows: DataFrame, groups: DataFrame, by: list[str], column: str, share
     goal = written(ends.select("_g", "lo", "hi", F.col("n").alias("left"), (at - F.floor(at)).alias("part"), wanted.alias("w")).select("_g", "lo", "hi", "left", "part", "w.t", "w.rank"))
     inside = lambda df, goals: df.join(goals, "_g").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
     while not goal.where((F.col("left") > limit) & (F.col("lo") < F.col("hi"))).isEmpty():
-        cell = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
-        cell = F.when(F.col("hi") > F.col("lo"), cell).otherwise(F.lit(0))
+        a, b = (F.greatest(F.least(F.when(F.isnan(c), F.lit(_MOST)).otherwise(F.col(c)), F.lit(_MOST)), F.lit(-_MOST)) / 2 for c in ("lo", "hi"))  # halves, as their difference can't overflow
+        cell = F.when(b > a, F.least(F.floor((F.col("x") / 2 - a) / (b - a) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+        cell = F.when(F.isnan("x"), F.lit(BINS + 1)).when(F.col("x") == float("inf"), F.lit(BINS)).when(F.col("x") == float("-inf"), F.lit(-1)).otherwise(cell)
         cells = inside(x, goal).groupBy("_g", "t", "part", "rank", cell.alias("cell")).agg(F.count("*").alias("k"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         upto = Window.partitionBy("_g", "t").orderBy("cell")  # at most BINS rows
         counted = cells.withColumn("c", F.sum("k").over(upto))
@@ -64,4 +69,4 @@ def zoomed(rows: DataFrame, groups: DataFrame, by: list[str], column: str, share
     held = inside(x, goal.where("lo < hi")).groupBy("_g", "t", "part", "rank").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     value = held.select("_g", "t", "part", F.get("xs", F.col("rank").cast("int")).alias("v")).unionByName(goal.where("lo = hi").select("_g", "t", "part", F.col("lo").alias("v")))
     low, high = (F.max(F.when(F.col("t") == k, F.col("v"))) for k in (0, 1))
-    return value.groupBy("_g", "part").agg((low + F.col("part") * (high - low)).alias("q")).select(*[F.col(f"_g.{k}").alias(k) for k in by], "q")
+    return value.groupBy("_g", "part").agg(F.when(low == high, low).otherwise(low + F.col("part") * (high - low)).alias("q")).select(*[F.col(f"_g.{k}").alias(k) for k in by], "q")

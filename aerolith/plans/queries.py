@@ -491,6 +491,27 @@ def experiment_metrics(spark, d):
     return _r(out, p95_m=3, sd_m=3, bias_m=3, share_20m=6)
 
 
+@query
+def error_sensitivity(spark, d):
+    """How far a change of each input moves the localization error of the given detections."""
+    return _r(reports.sensitivity(_det(spark, d)), err_m=5)
+
+
+@query
+def error_sensitivity_rss(spark, d):
+    """The changes together: root of the summed squares, and with the pixel's averaged over ten frames."""
+    return _r(reports.root_sum_square(reports.sensitivity(_det(spark, d))), rss_m=4, rss_averaged_m=4)
+
+
+@query
+def straight_line_offsets(spark, d):
+    """Where an aircraft at 18 m/s would be, in metres north and east of its flight's first sample, had it kept each sample's heading since."""
+    t = view(spark, d, "telemetry_v")
+    first = t.groupBy("flight_id").agg(F.min("t_ms").alias("t0"))
+    north, east = geo.straight_line_offset((F.col("t_ms") - F.col("t0")) / F.lit(1000.0) * F.lit(18.0), F.col("yaw_deg"))
+    return _r(t.join(first, "flight_id").select("flight_id", "t_ms", north.alias("north_m"), east.alias("east_m")), north_m=4, east_m=4)
+
+
 @query
 def inject_false_alarms(spark, d):
     mixed = reports.with_false_alarms(_det(spark, d))

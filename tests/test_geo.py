@@ -371,3 +371,13 @@ def test_converged_lens_inverse_is_exact(spark, sf):
         coarse = undistort(df, "xd", "yd", cam)
         x, y = distort(F.col("xn"), F.col("yn"), cam)
         assert coarse.agg(F.max(F.abs(x - F.col("xd")))).first()[0] > most
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 1.0])
+def test_zoom_ends_with_infinities(spark, share):
+    from aerolith.operators.quantile import quantiles
+
+    values = [float("-inf")] * 40 + [float("inf")] * 30 + [1.7e308, -1.7e308] * 20 + [float(k) for k in range(200)]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, x double").repartition(3)
+    zoom, plain = quantiles(df, ["g"], {"q": "x"}, share, limit=16).first(), quantiles(df, ["g"], {"q": "x"}, share).first()
+    assert zoom.n == plain.n == 310 and zoom.q == plain.q
