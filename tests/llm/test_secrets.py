@@ -103,3 +103,14 @@ def test_odd_rows(spark):
     assert found == [(0, []), (1, []), (2, [(7, 16)]), (2, [(7, 16)]), (3, [(300008, 300017)])]
     assert find_secrets(table.limit(0)).count() == 0
     assert find_secrets(table.selectExpr("doc_id as text", "text as doc_id"), "text", "doc_id").columns == ["text", "spans"]
+
+
+def test_the_lexer_alone_finds_the_assignments_of_the_documents(spark):
+    """Every span of the assign pattern has a literal that the lexer finds on its own, and it finds none elsewhere in prose."""
+    found = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        base, own = base_spans(r.text or ""), lexed_spans(r.text or "")
+        assert all(any(a <= x and y <= b for x, y, *_ in own) for a, k, b in base if k == 0)
+        assert all(any(a < y and x < b for a, _, b in base) for x, y, *_ in own)
+        found += len(own)
+    assert found > 10
