@@ -17,6 +17,7 @@ from aerolith.llm.components import connected_components
 from aerolith.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from aerolith.llm.kd_shards import kd_shards
 from aerolith.llm.mixing import mix_sources, sainte_lague, source_targets
+from aerolith.llm import ngram_join
 from aerolith.llm.ngram_join import CountTree, _packed, _unpacked, jaccard_components
 from aerolith.llm.packing import optimal_boundaries, pack
 from aerolith.llm.queries import ORACLES, QUERIES
@@ -148,6 +149,50 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
     assert got == near_groups(rows)
 
 
+def near_copies(many, words_each=80, edits=4, seed=1):
+    rng = random.Random(seed)
+    base = words(rng, words_each).split(" ")
+    rows = []
+    for k in range(many):
+        w = list(base)
+        for e in range(rng.randint(0, edits)):
+            w[rng.randrange(words_each)] = f"x{rng.randrange(1000)}"
+        rows.append((k, " ".join(w), "s"))
+    return rows
+
+
+def test_a_tile_of_near_copies_returns_no_more_rows_than_members():
+    rows = near_copies(300)
+    sets = list(shingle_sets(pa.array([t for _, t, _ in rows])))
+    many, zero = len(sets), np.zeros(len(sets), dtype=np.int64)
+    ids = np.arange(many)
+    table = pa.table({
+        "block": zero, "ti": zero.astype(np.int32), "tj": zero.astype(np.int32), "side": zero.astype(np.int32), "stray": np.ones(many, dtype=bool), "cls": ids, "comp": ids,
+        "n": np.array([len(s) for s in sets], dtype=np.int32), "pos": zero.astype(np.int32), "point": pa.array([ngram_join._point(s) for s in sets]),
+        "fine": pa.array([_packed(s) for s in sets]), "set": pa.array([s.tobytes() for s in sets]),
+    })
+    run = lambda on: [b for b in ngram_join._tiles(iter(table.to_batches(max_chunksize=70)), 75, on)]
+    assert sum(b.num_rows for b in run("set")) < many
+    label = ids.copy()
+    for b in run("set"):
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+            assert label[x] != label[y]  # a forest
+            label[label == label[y]] = label[x]
+    low = [int(np.flatnonzero(label == label[k])[0]) for k in range(many)]
+    assert low == [c for _, _, c in near_groups(rows)]
+    linked = {x for x in range(many) if (np.array(low) == low[x]).sum() > 1}
+    for on in ("point", "fine"):
+        kept = [x for b in run(on) for x in b.column("cls").to_pylist()]
+        assert len(kept) == len(set(kept)) and linked <= set(kept)
+
+
+def test_jaccard_of_blocks_larger_than_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 24)
+    rows = near_copies(150, 60, 5, 2) + [(200 + k, t, s) for k, t, s in near_copies(60, 40, 9, 3)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows)).collect())
+    assert got == near_groups(rows)
+
+
 def test_count_tree_bound_loses_no_pair():
     rng = np.random.default_rng(2)
     points = rng.poisson(1.0, (300, 32)).astype(np.uint8)
