@@ -14,7 +14,7 @@ from ..functions.geo import rounded
 from ..functions.lens import distort, undistort, undistort_converged
 from ..operators import aggregate as agg
 from ..operators import calibrate
-from ..operators.blobs import blobs, close_and_open
+from ..operators.blobs import cleaned_blobs
 from ..operators.calibrate import calibrate_mount as fit_mount
 from ..operators.dbscan import clustered_position, dbscan
 from ..operators.detect import blobs_to_detections, detections_from_boxes
@@ -144,13 +144,16 @@ def tiled_detections(spark, d):
 @query
 def colour_blobs(spark, d):
     """Thumbnails of frames, in which detections are painted as rectangles with a hole and a speck beside; closed, opened, labelled, and measured."""
-    c = _det(spark, d).select(F.floor(F.col("frame_idx") / 4).cast("long").alias("frame_idx"), F.floor(F.col("u") / 8).cast("long").alias("cx"), F.floor(F.col("v") / 8).cast("long").alias("cy"),
-                              (F.col("frame_idx") % 3 + 2).alias("size"))
+    at = [F.floor(F.col(c) / 8).cast("long").alias(n) for c, n in (("u", "cx"), ("v", "cy"))]
+    # as a generator's output (see localize), so that filters on pixels aren't rewritten through the projection
+    c = _det(spark, d).select(F.floor(F.col("frame_idx") / 4).cast("long").alias("frame_idx"), (F.col("frame_idx") % 3 + 2).alias("size"), F.inline(F.array(F.struct(*at))))
+    # a detection becomes some fifty pixels, so a small file of few splits is dealt to all cores first
+    c = c.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     side = lambda: F.explode(F.sequence(F.lit(-4).cast("long"), F.lit(6).cast("long")))
     painted = c.withColumn("dx", side()).withColumn("dy", side()).where(
         ((F.abs("dx") <= F.col("size")) & (F.abs("dy") <= F.col("size")) & ((F.col("dx") != 0) | (F.col("dy") != 0))) | ((F.col("dx") == 6) & (F.col("dy") == 6)))
     pixels = painted.select("frame_idx", (F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"))
-    found = blobs(close_and_open(pixels, width=240, height=135), tile=32)
+    found = cleaned_blobs(pixels, width=240, height=135, tile=32)
     return _r(blobs_to_detections(found, least_area=10.0, full_area=200.0).select("frame_idx", "m00", "m10", "m01", "u", "v", "confidence"), u=5, v=5, confidence=6)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from aerolith.operators.blobs import ELLIPSE, RANGES, blobs, close_and_open, in_colour
+from aerolith.operators.blobs import ELLIPSE, RANGES, blobs, cleaned_blobs, close_and_open, in_colour
 from aerolith.operators.tiles import detect_tiled, merge_boxes, tile_starts, with_tiles
 
 BOXES = "frame_idx long, x1 double, y1 double, x2 double, y2 double, confidence double"
@@ -145,3 +145,41 @@ def test_colour_ranges(spark):
     df = spark.createDataFrame(rows, "h int, s int, v int").withColumn("hit", in_colour(F.col("h"), F.col("s"), F.col("v")))
     plain = lambda p: None not in p and any(all(a <= x <= b for x, a, b in zip(p, *r)) for r in RANGES)
     assert [r.hit for r in df.collect()] == [plain(p) for p in rows]
+
+
+@pytest.mark.parametrize("tile, kernel", [(8, ELLIPSE), (32, ELLIPSE), (32, ((0, 0), (1, 0), (3, -1), (-2, 2)))])
+def test_blobs_are_cleaned_and_labelled_in_one_pass(spark, tile, kernel):
+    """The same as cleaning first, over borders of tiles and of the frame; rows with a null are left out, and names of columns don't clash."""
+    rng = random.Random(tile)
+    rows = [(f"f{f}", x, y) for f in range(3) for x in range(-2, 72) for y in range(-1, 46) if rng.random() < (0.4, 0.8, 0.97)[f]]
+    pixels = spark.createDataFrame([*rows, *rows[:50], (None, 3, 3), ("f0", None, 3)], "line string, x int, y long").repartition(5)
+    found, want = {}, {}
+    for r in cleaned_blobs(pixels, "line", 70, 45, kernel, tile).collect():
+        assert r.area == r.m00
+        found.setdefault(r.line, []).append((r.blob, r.m00, r.m10, r.m01))
+    clean = close_and_open(pixels, "line", 70, 45, kernel).toPandas()
+    for f, part in clean.groupby("line"):
+        ps = set(zip(part.x.tolist(), part.y.tolist()))
+        want[f] = plain_blobs(ps)
+        assert {b[0] for b in found[f]} <= {(y << 32) + x for x, y in ps}
+    assert {f: sorted(b[1:] for b in bs) for f, bs in found.items()} == want and len(want) == 3
+
+
+def test_cleaning_shuffles_bits_and_not_each_step(spark):
+    """Each of the four steps was a shuffle of the kernel's rows for each pixel; now blocks of 64 pixels move, twice."""
+    from pyspark.sql import functions as F
+
+    pixels = spark.range(32400 * 40).select(F.expr("id div 32400 % 4 as frame_idx"), F.expr("id % 240 as x"), F.expr("id div 240 % 135 as y"))
+    clean = close_and_open(pixels, width=240, height=135)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 2
+    assert clean.count() == 4 * 240 * 135 and [tuple(r)[2:] for r in blobs(clean.where("frame_idx = 1")).collect()] == [(32400.0, 32400, 120 * 135 * 239, 120 * 135 * 134)]
+
+
+def test_filters_on_pixels_do_not_repeat_the_projection(spark, sf, monkeypatch):
+    from aerolith.plans import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "cleaned_blobs", lambda pixels, **_: seen.append(pixels) or blobs(pixels.limit(0)))
+    queries.QUERIES["colour_blobs"](spark, sf)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(seen[0].where("x between 0 and 239 and y between 0 and 134").dropna()).count("COS(") == plan(queries._det(spark, sf).select("u", "v")).count("COS(") > 0
