mount_objective: observations are computed once for both forms

Symptom: mount_objective took 1745 CPU seconds of tasks a GB of input (JVM 1622, Python 23, GC 34), and 20 s on 3 executors of 2 cores over the events of scale factor 0.1.
Evidence: four stages (5, 4, 5 and 2 s) each computed the observations from the events: a table for each form, the older form's means, and the count. In three of them the filter on missing values was pushed into that computation and repeated its expressions (get_json_object stands 14 times in the plan with the filter, 9 times without).
Fix: the query writes the ten columns that the fit reads once, with rows that lack a value; the count, the means and both forms read that table, and missing values are filtered there. mount_objective itself reads once and writes no copy. In Python, what no offset changes is computed once a batch, and a task returns one row of sums.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 2942 -> 823 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.40 -> 0.40 GB, longest task 157 -> 104 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 19396 -> 3871 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 2.66 -> 2.50 GB, longest task 504 -> 314 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 3309 -> 870 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.40 -> 0.41 GB, longest task 174 -> 107 s, most memory of a task 0 -> 0 MB.

@@ -62,23 +62,32 @@ def simplex_minimum(
     return points[best], float(values[best])
 
 
+def errors_at(rays: np.ndarray, angles: np.ndarray, height: np.ndarray, uav: np.ndarray, truth: np.ndarray, mount: np.ndarray | None) -> Callable[[np.ndarray], np.ndarray]:
+    """:func:`ground_errors` of these observations by offsets; what no offset changes is computed once."""
+    given = rays if mount is None else rays @ mount.T
+    attitude = None if mount is None else euler_matrix(*angles.T)
+    per_lon, true_cos = M_PER_DEG * np.cos(np.radians(uav[:, 0])), np.cos(np.radians(truth[:, 0]))
+
+    def errors(offsets: np.ndarray) -> np.ndarray:
+        turned = given @ euler_matrix(*offsets).T
+        w = np.einsum("ijn,nj->ni", euler_matrix(*(angles + offsets).T) if mount is None else attitude, turned)
+        ok = np.abs(w[:, 2]) >= CALIBRATION_GUARD
+        t = np.where(ok, height / np.where(ok, w[:, 2], 1.0), 0.0)
+        north, east = (w[:, 1], w[:, 0]) if mount is None else (w[:, 0], w[:, 1])
+        n = (uav[:, 0] + t * north / M_PER_DEG - truth[:, 0]) * M_PER_DEG
+        e = (uav[:, 1] + t * east / per_lon - truth[:, 1]) * M_PER_DEG * true_cos
+        return np.where(ok[:, None], np.stack([n, e], axis=1), 0.0)
+
+    return errors
+
+
 def ground_errors(offsets: np.ndarray, rays: np.ndarray, angles: np.ndarray, height: np.ndarray, uav: np.ndarray, truth: np.ndarray, mount: np.ndarray | None) -> np.ndarray:
     """Errors in metres, north and east, of each observation; 0 where the ray is too flat to meet the ground.
 
     With a ``mount`` the offsets turn what it has turned. Without one they are the mount themselves and are added to the
     attitude's ``angles`` too, and the first component is east: the older order, which applies them twice.
     """
-    turned = (rays if mount is None else rays @ mount.T) @ euler_matrix(*offsets).T
-    added = angles + offsets if mount is None else angles
-    w = np.einsum("ijn,nj->ni", euler_matrix(*added.T), turned)
-    ok = np.abs(w[:, 2]) >= CALIBRATION_GUARD
-    t = np.where(ok, height / np.where(ok, w[:, 2], 1.0), 0.0)
-    north, east = (w[:, 1], w[:, 0]) if mount is None else (w[:, 0], w[:, 1])
-    lat = uav[:, 0] + t * north / M_PER_DEG
-    lon = uav[:, 1] + t * east / (M_PER_DEG * np.cos(np.radians(uav[:, 0])))
-    n = (lat - truth[:, 0]) * M_PER_DEG
-    e = (lon - truth[:, 1]) * M_PER_DEG * np.cos(np.radians(truth[:, 0]))
-    return np.where(ok[:, None], np.stack([n, e], axis=1), 0.0)
+    return errors_at(rays, angles, height, uav, truth, mount)(offsets)
 
 
 def squared_error(offsets: np.ndarray, rays: np.ndarray, angles: np.ndarray, height: np.ndarray, uav: np.ndarray, truth: np.ndarray, mount: np.ndarray | None) -> float:
@@ -110,9 +119,11 @@ def squared_errors(rows: DataFrame, points: list[np.ndarray], cam: Camera, mount
     turn = None if mount is None else np.array(mount, dtype=float)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(points))
         for batch in batches:
-            given = _arrays(batch, cam)
-            yield pa.record_batch([pa.array([squared_error(x, *given, turn)]) for x in points], names=[f"e{i}" for i in range(len(points))])
+            errors = errors_at(*_arrays(batch, cam), turn)
+            total += [np.square(errors(x)).sum() for x in points]
+        yield pa.record_batch([pa.array([v]) for v in total], names=[f"e{i}" for i in range(len(points))])
 
     parts = rows.mapInArrow(sums, ", ".join(f"e{i} double" for i in range(len(points))))
     return list(parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in parts.columns]).first())
@@ -197,10 +208,11 @@ def normal_sums(observations: DataFrame, offsets_deg: list[tuple], cam: Camera =
 
 
 def mount_objective(observations: DataFrame, offsets_deg: list[tuple], cam: Camera = FIELD_CAMERA_FLAT, mount: tuple | None = MOUNT_NED) -> DataFrame:
-    """``roll_deg, pitch_deg, yaw_deg, squared_m2`` of given offsets: what :func:`calibrate_mount` minimizes."""
-    rows = written(observed(observations, mount))
-    found = squared_errors(rows, [np.radians(o) for o in offsets_deg], cam, mount)
-    release(rows)
+    """``roll_deg, pitch_deg, yaw_deg, squared_m2`` of given offsets: what :func:`calibrate_mount` minimizes.
+
+    The observations are read once, and without a ``mount`` once more before, for their means.
+    """
+    found = squared_errors(observed(observations, mount), [np.radians(o) for o in offsets_deg], cam, mount)
     return observations.sparkSession.createDataFrame([(*map(float, o), e) for o, e in zip(offsets_deg, found)], "roll_deg double, pitch_deg double, yaw_deg double, squared_m2 double")
 
 

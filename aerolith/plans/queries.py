@@ -21,7 +21,7 @@ from ..operators.detect import blobs_to_detections, detections_from_boxes
 from ..operators.localize import central_crop, confident, detector_for, every_nth_frame, in_frame, localize, localize_nadir, project_to_image, without_tilt
 from ..operators.quantile import quantiles
 from ..operators.running import LIMIT, running_medians
-from ..operators.scratch import scratch_path, written
+from ..operators.scratch import release, scratch_path, written
 from ..operators.tiles import merge_boxes, with_tiles
 from ..operators.timejoin import exact_join, interpolating_join, last_known, nearest_join
 from ..schemas import ABS_GUARD, DECLINATION_DEG, FIELD_CAMERA, FIELD_CAMERA_FLAT, M_PER_DEG_COARSE, MOUNT_NED, NED, SIGNED_GUARD, SWAPPED
@@ -619,13 +619,15 @@ def mount_step(spark, d):
 def mount_objective(spark, d):
     """What the fit minimizes, per observation and at given offsets; and the older order's, which applies offsets twice."""
     obs = _observations(spark, d)
+    rows = written(obs.select(*calibrate.COLUMNS))  # computed once for both forms, the means and the count; rows with nulls count too
     offsets = [(0.0, 0.0, 0.0), (1.0, -2.0, 3.0), (-0.5, 0.5, 10.0)]
     out = None
     for name, mount in (("mount", MOUNT_NED), ("older", None)):
-        part = calibrate.mount_objective(obs, offsets, mount=mount).withColumn("form", F.lit(name))
+        part = calibrate.mount_objective(rows, offsets, mount=mount).withColumn("form", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    n = obs.agg(F.count("*").alias("n"))
-    return out.crossJoin(n).select("form", "roll_deg", "pitch_deg", "yaw_deg", rounded(F.sqrt(F.col("squared_m2") / F.col("n")), 4).alias("rms_m"))  # one row
+    n = rows.count()
+    release(rows)
+    return out.withColumn("n", F.lit(n)).select("form", "roll_deg", "pitch_deg", "yaw_deg", rounded(F.sqrt(F.col("squared_m2") / F.col("n")), 4).alias("rms_m"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,3 +381,40 @@ def test_zoom_ends_with_infinities(spark, share):
     df = spark.createDataFrame([("a", v) for v in values], "g string, x double").repartition(3)
     zoom, plain = quantiles(df, ["g"], {"q": "x"}, share, limit=16).first(), quantiles(df, ["g"], {"q": "x"}, share).first()
     assert zoom.n == plain.n == 310 and zoom.q == plain.q
+
+
+def counted_observations(spark):
+    """Twelve observations, three of which lack a value (one as NaN), and how many times a row of them was computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    data = [(500.0 + 90 * k, 300.0 + 40 * k, 80.0 + k, 30.0, 31.0, k / 5 - 1, 2.0, 45.0 * k, 30.0002, 31.0001 + k / 1e5) for k in range(12)]
+    data[3], data[5], data[8] = (None, *data[3][1:]), (*data[5][:9], None), (*data[8][:2], math.nan, *data[8][3:])
+    schema = ", ".join(f"{c} double" for c in ("u", "v", "altitude", "lat_uav", "lon_uav", "roll_deg", "pitch_deg", "yaw_deg", "true_lat", "true_lon"))
+    return spark.createDataFrame(data, schema).mapInPandas(rows, schema), seen
+
+
+def test_observations_of_the_mount_objective_are_computed_once(spark, monkeypatch):
+    """Both forms, the means and the count read what was computed once; rows that lack a value count only in the mean's number."""
+    from aerolith.operators import calibrate as c
+    from aerolith.plans import queries
+    from aerolith.schemas import FIELD_CAMERA_FLAT
+
+    obs, seen = counted_observations(spark)
+    a = np.array([[math.nan if x is None else x for x in r] for r in obs.collect()])
+    before = seen.value
+    monkeypatch.setattr(queries, "_observations", lambda *_: obs)
+    got = {(r.form, r.roll_deg): r.rms_m for r in queries.QUERIES["mount_objective"](spark, "").collect()}
+    assert seen.value - before == 12 and len(got) == 6
+    a = a[~np.isnan(a).any(axis=1)]
+    assert len(a) == 9
+    rays = np.stack([(a[:, 0] - FIELD_CAMERA_FLAT.cx) / FIELD_CAMERA_FLAT.fx, (a[:, 1] - FIELD_CAMERA_FLAT.cy) / FIELD_CAMERA_FLAT.fy, np.ones(9)], axis=1)
+    means = np.broadcast_to(a[:, 2:5].mean(axis=0), (9, 3))
+    for o in ((0.0, 0.0, 0.0), (1.0, -2.0, 3.0), (-0.5, 0.5, 10.0)):
+        for form, mount, place in (("mount", np.array(c.MOUNT_NED, dtype=float), a[:, 2:5]), ("older", None, means)):
+            value = c.squared_error(np.radians(o), rays, np.radians(a[:, 5:8]), place[:, 0], place[:, 1:], a[:, 8:], mount)
+            assert got[(form, o[0])] == pytest.approx(math.sqrt(value / 12), abs=1e-4)
