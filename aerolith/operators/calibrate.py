mount_step: observations are computed once, and one pass sums at both offsets

Symptom: mount_step took 836 and 872 CPU seconds of tasks a GB of input in two runs (JVM 749 and 767, Python 54 and 53, GC 15 and 22) and 10 s on 3 executors of 2 cores over the events of scale factor 0.1.
Evidence: two stages (5 and 2 s) each computed the observations from the events, one for the table of the fit, with the filter on missing values pushed into the computation, one for the count; then each offset was a pass of its own. In Python each of the 13 error evaluations of an offset made the attitude's rotation again.
Fix: the query writes the ten columns that the fit reads once, with rows that lack a value, and the count and the sums read that table. normal_equations takes a list of offsets and sums at all of them in one pass, with the rotation once a batch; the second slopes' part is still summed. normal_sums writes no copy.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1555 -> 872 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.32 -> 0.17 GB, longest task 162 -> 115 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 8852 -> 4312 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 1.99 -> 1.09 GB, longest task 508 -> 358 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 1534 -> 750 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.32 -> 0.17 GB, longest task 156 -> 96 s, most memory of a task 0 -> 0 MB.

@@ -150,19 +150,27 @@ def local_sums(at: np.ndarray, errors: Callable[[np.ndarray], np.ndarray], step:
     return np.concatenate([(a.T @ a).ravel(), bends])
 
 
-def normal_equations(rows: DataFrame, at: np.ndarray, cam: Camera, mount: tuple | None, step: float = STEP) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """J'J, J'r and r'r of the ground errors r at offsets ``at`` (radians), and the sum of r times its second slopes; one pass, summed in Spark."""
-    turn = None if mount is None else np.array(mount, dtype=float)
+def normal_equations(
+    rows: DataFrame, at: np.ndarray | list[np.ndarray], cam: Camera, mount: tuple | None, step: float = STEP,
+) -> tuple[np.ndarray, np.ndarray, float, np.ndarray] | list[tuple[np.ndarray, np.ndarray, float, np.ndarray]]:
+    """J'J, J'r and r'r of the ground errors r at offsets ``at`` (radians), and the sum of r times its second slopes; one pass, summed in Spark.
+
+    For a list of offsets a list of these, from the same pass.
+    """
+    turn, points = None if mount is None else np.array(mount, dtype=float), at if isinstance(at, list) else [at]
+    names = [f"s{k}" for k in range(22 * len(points))]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(22)
+        total = np.zeros((len(points), 22))
         for batch in batches:
-            given = _arrays(batch, cam)
-            total += local_sums(at, lambda x: ground_errors(x, *given, turn), step)
-        yield pa.record_batch([pa.array([v]) for v in total], names=[f"s{k}" for k in range(22)])
+            errors = errors_at(*_arrays(batch, cam), turn)
+            total += [local_sums(x, errors, step) for x in points]
+        yield pa.record_batch([pa.array([v]) for v in total.ravel()], names=names)
 
-    parts = rows.mapInArrow(sums, ", ".join(f"s{k} double" for k in range(22)))
-    return equations_of(np.array(list(parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in parts.columns]).first())))
+    parts = rows.mapInArrow(sums, ", ".join(f"{c} double" for c in names))
+    total = np.array(list(parts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in names]).first()))
+    found = [equations_of(v) for v in total.reshape(-1, 22)]
+    return found if isinstance(at, list) else found[0]
 
 
 def equations_of(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
@@ -197,13 +205,12 @@ def least_squares(equations: Callable, start: np.ndarray, tolerance: float = 1e-
 
 
 def normal_sums(observations: DataFrame, offsets_deg: list[tuple], cam: Camera = FIELD_CAMERA_FLAT, mount: tuple | None = MOUNT_NED) -> DataFrame:
-    """What a step of the fit solves, at each of given offsets: ``roll_deg, pitch_deg, yaw_deg, row, a1, a2, a3, g``, J'J by row beside J'r."""
-    rows = written(observed(observations, mount))
-    out = []
-    for o in offsets_deg:
-        a, g, _, _ = normal_equations(rows, np.radians(o), cam, mount)
-        out += [(*map(float, o), k, *map(float, a[k]), float(g[k])) for k in range(3)]
-    release(rows)
+    """What a step of the fit solves, at each of given offsets: ``roll_deg, pitch_deg, yaw_deg, row, a1, a2, a3, g``, J'J by row beside J'r.
+
+    The observations are read once, and without a ``mount`` once more before, for their means.
+    """
+    found = normal_equations(observed(observations, mount), [np.radians(o) for o in offsets_deg], cam, mount) if offsets_deg else []
+    out = [(*map(float, o), k, *map(float, a[k]), float(g[k])) for o, (a, g, _, _) in zip(offsets_deg, found) for k in range(3)]
     return observations.sparkSession.createDataFrame(out, "roll_deg double, pitch_deg double, yaw_deg double, row int, a1 double, a2 double, a3 double, g double")
 
 

@@ -610,7 +610,9 @@ def calibrate_mount(spark, d):
 def mount_step(spark, d):
     """The normal equations that a step of the fit solves, per observation and in metres a degree, at two offsets."""
     obs = _observations(spark, d)
-    out = calibrate.normal_sums(obs, [(0.0, 0.0, 0.0), (4.0, -0.5, 1.0)]).crossJoin(obs.agg(F.count("*").alias("n")))  # one row
+    rows = written(obs.select(*calibrate.COLUMNS))  # computed once for the sums and the count; rows with nulls count too
+    out = calibrate.normal_sums(rows, [(0.0, 0.0, 0.0), (4.0, -0.5, 1.0)]).withColumn("n", F.lit(rows.count()))
+    release(rows)
     turn = F.lit(math.pi / 180)
     return out.select("roll_deg", "pitch_deg", "yaw_deg", "row", *[rounded(F.col(c) / F.col("n") * turn * turn, 4).alias(c) for c in ("a1", "a2", "a3")], rounded(F.col("g") / F.col("n") * turn, 4).alias("g"))
 

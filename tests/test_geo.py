@@ -418,3 +418,25 @@ def test_observations_of_the_mount_objective_are_computed_once(spark, monkeypatc
         for form, mount, place in (("mount", np.array(c.MOUNT_NED, dtype=float), a[:, 2:5]), ("older", None, means)):
             value = c.squared_error(np.radians(o), rays, np.radians(a[:, 5:8]), place[:, 0], place[:, 1:], a[:, 8:], mount)
             assert got[(form, o[0])] == pytest.approx(math.sqrt(value / 12), abs=1e-4)
+
+
+def test_observations_of_the_mount_step_are_computed_once_and_read_in_one_pass(spark, monkeypatch):
+    """The sums at both offsets come from one pass; rows that lack a value count only in the mean's number."""
+    from aerolith.operators import calibrate as c
+    from aerolith.plans import queries
+    from aerolith.schemas import FIELD_CAMERA_FLAT
+
+    obs, seen = counted_observations(spark)
+    offsets = [np.radians(o) for o in ((0.0, 0.0, 0.0), (4.0, -0.5, 1.0))]
+    want = [c.normal_equations(obs.dropna(), o, FIELD_CAMERA_FLAT, c.MOUNT_NED) for o in offsets]
+    before = seen.value
+    both = c.normal_equations(c.observed(obs, c.MOUNT_NED), offsets, FIELD_CAMERA_FLAT, c.MOUNT_NED)
+    assert seen.value - before == 12 and all(np.allclose(x, y, rtol=1e-12) for p, q in zip(want, both) for x, y in zip(p, q))
+    monkeypatch.setattr(queries, "_observations", lambda *_: obs)
+    before, turn = seen.value, math.pi / 180
+    got = {(r.roll_deg, r.row): r for r in queries.QUERIES["mount_step"](spark, "").collect()}
+    assert seen.value - before == 12 and len(got) == 6
+    for o, (a, g, _, _) in zip((0.0, 4.0), want):
+        for k in range(3):
+            r = got[(o, k)]
+            assert np.allclose([r.a1, r.a2, r.a3, r.g], [*a[k] / 12 * turn**2, g[k] / 12 * turn], atol=1e-4)
