@@ -18,6 +18,8 @@ TILE, OVERLAP, SAME = 512, 0.2, 0.5
 CELL = 64.0
 TILE_BOX = "frame_idx long, left long, top long, x1 double, y1 double, x2 double, y2 double, confidence double"
 _SIDES = ("x1", "y1", "x2", "y2")
+#: What a round makes of a box, the least over its cells.
+_OPEN, _KEPT, _ALONE = range(3)
 
 
 def tile_starts(length: int, tile: int = TILE, overlap: float = OVERLAP) -> list[int]:
@@ -56,8 +58,8 @@ def overlap_share(a: Callable[[str], Column], b: Callable[[str], Column], of_sma
 
 
 def _cells(df: DataFrame, cell: float) -> DataFrame:
-    """A row for every cell that a box lies in."""
-    span = lambda p, q: F.explode(F.sequence(F.floor(F.col(p) / F.lit(cell)).cast("long"), F.floor(F.col(q) / F.lit(cell)).cast("long")))
+    """A row for every cell that a box ``r`` lies in."""
+    span = lambda p, q: F.explode(F.sequence(F.floor(F.col(f"r.{p}") / F.lit(cell)).cast("long"), F.floor(F.col(f"r.{q}") / F.lit(cell)).cast("long")))
     return df.withColumn("_cx", span("x1", "x2")).withColumn("_cy", span("y1", "y2"))
 
 
@@ -67,36 +69,36 @@ def merge_boxes(boxes: DataFrame, by: str = "frame_idx", same: float = SAME, of_
     In order of confidence (then of coordinates) a box that overlaps none of those kept before by at least ``same`` is kept; any other goes to
     the first kept box that it overlaps so. A kept box grows around what went to it; ``parts`` counts boxes. Boxes meet in cells of the frame,
     never all pairs: in a round a box is kept if it is the first of all its cells, and undecided ones that it overlaps are done with.
-    A round decides at least the first box of each frame, in practice all but chains of boxes that each overlap the next; each round is written.
+    A round decides at least the first box of each frame, in practice all but chains of boxes that each overlap the next; each round is written,
+    parted by what became of the boxes, and later steps read only those they need. Boxes with no other in their cells are done with the first round.
     Equal boxes are one with the best confidence; rows with a null in place or confidence are left out; a frame with most boxes is many cells.
     """
     rank = F.struct((-F.col("confidence")).alias("c"), *_SIDES)
     rows = boxes.select(by, *[F.col(s).cast("double").alias(s) for s in _SIDES], F.col("confidence").cast("double").alias("confidence")).dropna()
     rows = rows.groupBy(by, *_SIDES).agg(F.max("confidence").alias("confidence"), F.count("*").alias("parts"))
-    every = written(rows.withColumn("r", rank))
-    narrow = every.select(by, "r", *_SIDES)
-    place, open_, kept = [by, "_cx", "_cy"], narrow, None
-    near = lambda left, right: overlap_share(lambda s: F.col(f"{left}.{s}"), lambda s: F.col(f"{right}.{s}"), of_smaller) >= F.lit(same)
-    while not open_.isEmpty():
+    open_ = written(rows.select(by, rank.alias("r"), "parts"))
+    key, place = [by, "r", "parts"], [by, "_cx", "_cy"]
+    whole = lambda df: df.select(by, *[F.col(f"r.{s}").alias(s) for s in _SIDES], (-F.col("r.c")).alias("confidence"), "parts")
+    tops = lambda df: _cells(df, cell).select(*place, F.col("r").alias("top"))
+    near = overlap_share(lambda s: F.col(f"r.{s}"), lambda s: F.col(f"top.{s}"), of_smaller) >= F.lit(same)
+    alone = kept = gone = None
+    while alone is None or not open_.isEmpty():
         in_cells = _cells(open_, cell)
-        first = in_cells.groupBy(*place).agg(F.min("r").alias("top"))
-        tops = in_cells.join(first, place).groupBy(by, "r", *_SIDES).agg(F.min("top").alias("top"))
-        decided = written(tops.withColumn("kept", F.col("r") == F.col("top")).drop("top"))
-        won = decided.where("kept").drop("kept")
-        meet = _cells(decided.where("not kept"), cell).alias("a").join(_cells(won, cell).alias("b"), place)  # one of these a cell at most
-        gone = meet.where(near("a", "b")).select(by, F.col("a.r").alias("r")).distinct()
-        left = written(decided.where("not kept").drop("kept").join(gone, [by, "r"], "left_anti"))
-        kept = won if kept is None else kept.unionByName(won)
-        if open_ is not narrow:
-            release(open_)
-        open_ = left
-    if kept is None:
-        return every.drop("r").select(by, *_SIDES, "confidence", "parts")
-    kept = written(kept)
-    others = narrow.join(kept.select(by, "r"), [by, "r"], "left_anti")
-    meet = _cells(others, cell).alias("a").join(_cells(kept, cell).alias("b"), place).where(near("a", "b"))
-    owner = meet.groupBy(by, F.col("a.r").alias("r")).agg(F.min("b.r").alias("owner"))
-    owner = owner.unionByName(kept.select(by, "r", F.col("r").alias("owner")))
-    grown = every.join(owner, [by, "r"]).groupBy(by, "owner").agg(
-        *[F.min(s).alias(s) for s in _SIDES[:2]], *[F.max(s).alias(s) for s in _SIDES[2:]], F.sum("parts").cast("long").alias("parts"))
-    return grown.select(by, *_SIDES, (-F.col("owner.c")).alias("confidence"), "parts")
+        first = in_cells.groupBy(*place).agg(F.min("r").alias("top"), F.count("*").alias("_n"))
+        # first in all its cells, and alone in them; only in the first round are all boxes there
+        state = F.when(F.col("r") != F.col("top"), _OPEN).when((F.col("_n") > 1) | F.lit(alone is not None), _KEPT).otherwise(_ALONE)
+        decided = written(in_cells.join(first, place).groupBy(*key).agg(F.min(state).alias("_state")), "_state")
+        now = {s: decided.where(F.col("_state") == s).drop("_state") for s in (_OPEN, _KEPT, _ALONE)}
+        # a cell has one of those kept now at most
+        meet = _cells(now[_OPEN], cell).join(tops(now[_KEPT]), place, "left")
+        left = written(meet.groupBy(*key).agg(F.bool_or(F.col("top").isNotNull() & near).alias("_gone")), "_gone")
+        release(open_)
+        alone = now[_ALONE] if alone is None else alone
+        kept = now[_KEPT] if kept is None else kept.unionByName(now[_KEPT])
+        done, open_ = left.where("_gone").drop("_gone"), left.where("not _gone").drop("_gone")
+        gone = done if gone is None else gone.unionByName(done)
+    owner = _cells(gone, cell).join(tops(kept), place).where(near).groupBy(*key).agg(F.min("top").alias("owner"))
+    owner = owner.unionByName(kept.withColumn("owner", F.col("r")))
+    grown = owner.groupBy(by, "owner").agg(
+        *[F.min(f"r.{s}").alias(s) for s in _SIDES[:2]], *[F.max(f"r.{s}").alias(s) for s in _SIDES[2:]], F.sum("parts").cast("long").alias("parts"))
+    return grown.select(by, *_SIDES, (-F.col("owner.c")).alias("confidence"), "parts").unionByName(whole(alone))

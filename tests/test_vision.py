@@ -63,6 +63,29 @@ def test_a_chain_of_boxes_takes_rounds(spark):
     assert merged(spark, rows) == greedy(rows)
 
 
+def test_rounds_read_only_the_boxes_they_need(spark, monkeypatch):
+    """Boxes with no other in their cells are read again only for the result, which doesn't shuffle them; rounds read what the round before left."""
+    from aerolith.operators import tiles
+
+    relations, tables = [], []
+
+    def seen(df, *by):
+        relations.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        tables.append(tiles_written(df, *by))
+        return tables[-1]
+
+    tiles_written = tiles.written
+    monkeypatch.setattr(tiles, "written", seen)
+    alone = [(f, 200.0 * k, 70.0 * f, 200.0 * k + 20, 70.0 * f + 15, (k + 1) / 10) for f in range(3) for k in range(8)]
+    rows = alone + [(9, 6.0 * k, 0.0, 6.0 * k + 14, 10.0, (4 - k) / 4) for k in range(4)] + [(9, 300.0, 300.0, 300.0, 309.0, 0.25), (9, 420.0, 400.0, 400.0, 409.0, 0.5)]
+    result = tiles.merge_boxes(spark.createDataFrame(rows, BOXES).repartition(5))
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, result.collect())) == greedy(rows)
+    assert relations == [0, 2, 2, 2, 2] and [{r[0]: r[1] for r in t.groupBy(t.columns[-1]).count().collect()} for t in tables[1:]] == [
+        {tiles._ALONE: 26, tiles._KEPT: 1, tiles._OPEN: 3}, {True: 1, False: 2}, {tiles._KEPT: 1, tiles._OPEN: 1}, {True: 1}]
+    assert plan.count("Relation [") == 7 and plan.startswith("Union") and [plan.count(x) for x in ("Join ", "Aggregate [")] == [1, 2]
+
+
 def test_tiles_cover_the_frame():
     assert tile_starts(1920) == [0, 410, 820, 1230, 1408] and tile_starts(1080) == [0, 410, 568] and tile_starts(512) == [0] and tile_starts(100) == [0]
 
