@@ -440,3 +440,13 @@ def test_observations_of_the_mount_step_are_computed_once_and_read_in_one_pass(s
         for k in range(3):
             r = got[(o, k)]
             assert np.allclose([r.a1, r.a2, r.a3, r.g], [*a[k] / 12 * turn**2, g[k] / 12 * turn], atol=1e-4)
+
+
+def test_no_observations_and_no_offsets_of_the_mount(spark):
+    from aerolith.operators import calibrate as c
+
+    obs = spark.createDataFrame([(None, *[1.0] * 9)], ", ".join(f"{x} double" for x in c.COLUMNS))
+    for mount in (c.MOUNT_NED, None):
+        assert [tuple(r) for r in c.mount_objective(obs, [(1.0, 0.0, 0.0)], mount=mount).collect()] == [(1.0, 0.0, 0.0, 0.0)]
+        assert [tuple(r) for r in c.normal_sums(obs, [(1.0, 0.0, 0.0)], mount=mount).collect()] == [(1.0, 0.0, 0.0, k, 0.0, 0.0, 0.0, 0.0) for k in range(3)]
+    assert c.normal_sums(obs, []).count() == 0

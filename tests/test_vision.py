@@ -86,6 +86,12 @@ def test_rounds_read_only_the_boxes_they_need(spark, monkeypatch):
     assert plan.count("Relation [") == 7 and plan.startswith("Union") and [plan.count(x) for x in ("Join ", "Aggregate [")] == [1, 2]
 
 
+def test_boxes_without_a_frame_or_with_nan_are_left_out_and_repeated_ones_counted(spark):
+    nan = float("nan")
+    rows = [(None, 0.0, 0.0, 9.0, 9.0, 0.5), (1, nan, 0.0, 9.0, 9.0, 0.5), (1, 0.0, 0.0, 9.0, 9.0, nan), *[(1, 0.0, 0.0, 9.0, 9.0, 0.0)] * 3, *[(1, 1.0, 0.0, 9.0, 9.0, 0.2)] * 2, (2, -70.0, -0.0, -60.0, 5.0, 0.1), (2, -70.0, 0.0, -60.0, 5.0, 0.3)]
+    assert merged(spark, rows) == [(1, 0.0, 0.0, 9.0, 9.0, 0.2, 5), (2, -70.0, 0.0, -60.0, 5.0, 0.3, 2)]
+
+
 def test_tiles_cover_the_frame():
     assert tile_starts(1920) == [0, 410, 820, 1230, 1408] and tile_starts(1080) == [0, 410, 568] and tile_starts(512) == [0] and tile_starts(100) == [0]
 
